@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesift.llm.simhash import simhash_dedup
 from codesift.llm.substring_dedup import substring_dedup
 from codesift.llm.suffix_dedup import suffix_dedup
+from codesift.llm.toxicity import toxicity_scores
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.hex(F.reverse("fingerprint"))).alias("fingerprint"), "component_id")
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op6_suffix_dedup, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op4_simhash, op6_suffix_dedup, op8_toxicity, op9_substring_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}

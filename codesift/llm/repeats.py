@@ -199,7 +199,7 @@ def compare_contexts(rule: Rule):
 
 def repeated(docs: DataFrame, rule: Rule) -> DataFrame:
     """For each document of ``identified()`` that has any: ``_uid`` and ``spans``, unmerged ranges of units to remove."""
-    texts = docs.repartition("_uid")  # one exchange, used here and by callers
+    texts = by_uid(docs)
     run, schema = find_phrases(rule)
     rows = docs.mapInArrow(run, spark_schema(schema)).repartition("route")
     same_key = Window.partitionBy("route")
@@ -222,7 +222,7 @@ def repeated(docs: DataFrame, rule: Rule) -> DataFrame:
     run, schema = send_contexts(rule)
     contexts = (
         texts.join(per_doc.where(F.size("phrases") > 0).select("_uid", "phrases"), "_uid")
-        .select("_ord", "_uid", "_text", "phrases")
+        .select(F.coalesce("_id", F.lit(-(1 << 63))).alias("_ord"), "_uid", "_text", "phrases")
         .mapInArrow(run, spark_schema(schema))
         .repartition("key")
         .sortWithinPartitions("key")
@@ -233,6 +233,11 @@ def repeated(docs: DataFrame, rule: Rule) -> DataFrame:
     return both.groupBy("_uid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+def by_uid(docs: DataFrame) -> DataFrame:
+    """The texts dealt out by row.  Always the same columns, so that all joins of a query share one exchange."""
+    return docs.select("_uid", "_id", "_text").repartition("_uid")
+
+
 def spark_schema(schema: pa.Schema):
     from pyspark.sql.pandas.types import from_arrow_schema
 

@@ -54,4 +54,4 @@ def substring_dedup(docs: DataFrame, length: int = 20, anchor: int = 8, id_col:
     rule = repeats.Rule("word", length, min(anchor, length), earlier=True)
     rows = identified(docs, id_col, text_col)
     spans = repeats.repeated(rows, rule)
-    return rows.repartition("_uid").join(spans, "_uid", "left").select("_id", "_text", "spans").mapInArrow(cut_words, repeats.spark_schema(SCHEMA))
+    return repeats.by_uid(rows).join(spans, "_uid", "left").select("_id", "_text", "spans").mapInArrow(cut_words, repeats.spark_schema(SCHEMA))

@@ -60,4 +60,4 @@ def suffix_dedup(docs: DataFrame, length: int = 400, trigger: int = 256, id_col:
     rule = repeats.Rule("byte", length, min(trigger, length), earlier=False)
     rows = identified(docs, id_col, text_col)
     spans = repeats.repeated(rows, rule)
-    return rows.repartition("_uid").join(spans, "_uid", "left").select("_id", "_text", "spans").mapInArrow(cut_bytes, repeats.spark_schema(SCHEMA))
+    return repeats.by_uid(rows).join(spans, "_uid", "left").select("_id", "_text", "spans").mapInArrow(cut_bytes, repeats.spark_schema(SCHEMA))
