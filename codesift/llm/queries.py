@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesift.llm.decontamination import contaminated
+from codesift.llm.line_dedup import line_dedup
+from codesift.llm.mixing import mix
 from codesift.llm.simhash import simhash_dedup
 from codesift.llm.substring_dedup import substring_dedup
 from codesift.llm.suffix_dedup import suffix_dedup
@@ -15,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex(F.reverse("fingerprint"))).alias("fingerprint"), "component_id")
@@ -25,6 +32,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,6 +45,31 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash, op6_suffix_dedup, op8_toxicity, op9_substring_dedup)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.col("text").alias("before"))
+    lines = lambda c: F.size(F.split(c, "\n", -1))
+    found = line_dedup(docs)
+    return found.select(
+        "doc_id",
+        "source",
+        lines("before").cast("long").alias("n_lines"),
+        (F.length("before") - F.length("text")).cast("long").alias("n_chars_removed"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op4_simhash, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": """
+        WITH docs AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+        totals AS (SELECT source, count(*) AS total FROM docs GROUP BY source),
+        once AS (SELECT DISTINCT doc_id, source, line FROM (SELECT doc_id, source, unnest(lines) AS line FROM docs) WHERE length(trim(line, ' ')) > 0),
+        counts AS (SELECT source, line, count(*) AS pages FROM once GROUP BY source, line HAVING count(*) >= 5),
+        flagged AS (SELECT c.source, list(c.line) AS gone FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE c.pages > 0.1 * t.total GROUP BY c.source),
+        kept AS (SELECT d.doc_id, d.source, d.text AS before, d.lines,
+                 CASE WHEN f.gone IS NULL THEN d.text ELSE array_to_string(list_filter(d.lines, lambda x: NOT list_contains(f.gone, x)), chr(10)) END AS text
+                 FROM docs d LEFT JOIN flagged f ON d.source IS NOT DISTINCT FROM f.source)
+        SELECT doc_id, source, len(lines)::BIGINT AS n_lines, (length(before) - length(text))::BIGINT AS n_chars_removed, sha256(text) AS kept_sha256 FROM kept
+    """,
+}
