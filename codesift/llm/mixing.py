@@ -5,8 +5,8 @@ taken; for the rest all documents start with the same inclusion probability,
 and the flight moves them, three at a time, along the null space of the two
 balancing constraints, number of documents and number of words, until one of
 the three reaches 0 or 1.  Blocks of a source fly apart from each other, the
-few that each leaves open fly together on the next level, and the last one or
-two of a source land where the words come nearest.
+few that each leaves open fly together on the next level, and the last few of a
+source land on the combination that keeps the words nearest.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from codesift.llm.tables import identified, n_words, written
 #: Documents of a block of the flight; 24 bytes each.
 BLOCK = 4096
 EXACT = 1e-9
+#: Documents of a block that do not fly and, with the two the flight leaves, land together or go to the next level.
+GROUND = 12
 
 
 def targets(sizes: Sequence[float], weights: Sequence[float], most: float = 3.0) -> list[float]:
@@ -68,19 +70,26 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> None:
 
 
 def land(p: np.ndarray, size: np.ndarray) -> None:
-    """Rounds the open probabilities where the words come nearest; among equals, where the documents do."""
+    """Rounds the open probabilities, a few at most, to the combination that keeps words, and then documents, nearest."""
     left = np.flatnonzero((p > 0) & (p < 1))
-    best = min(range(1 << left.size), key=lambda bits: (abs(sum(((bits >> k & 1) - p[j]) * size[j] for k, j in enumerate(left))), abs(sum((bits >> k & 1) - p[j] for k, j in enumerate(left))), bits))
-    for k, j in enumerate(left):
-        p[j] = best >> k & 1
+    choices = np.arange(1 << left.size)[:, None] >> np.arange(left.size) & 1
+    moved = choices - p[left]
+    cost = np.abs(moved @ size[left]) + 0.05 * size.mean() * np.abs(moved.sum(axis=1)) if left.size else np.zeros(1)
+    p[left] = choices[cost.argmin()]
 
 
 def fly(last: bool):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # Long documents fly first, so those left open are short and the landing moves few words.
-        rows = rows.sort_values(["size", "place", "_ord", "_uid"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+        rows = rows.sort_values(["size", "place", "_ord", "_uid"], kind="stable").reset_index(drop=True)
         p, size = rows["p"].to_numpy(dtype=float, copy=True), rows["size"].to_numpy(dtype=float)
-        flight(p, size, np.random.default_rng([int(k) & (1 << 32) - 1 for k in key]))
+        # Some documents of all lengths stay on the ground: they make the landing exact.
+        ground = np.unique(np.linspace(0, p.size - 1, min(GROUND, p.size)).round().astype(int))
+        air = np.setdiff1d(np.arange(p.size), ground)
+        order = np.argsort(rows["place"].to_numpy()[air], kind="stable")
+        flying = p[air[order]]
+        flight(flying, size[air[order]], np.random.default_rng([int(k) & (1 << 32) - 1 for k in key]))
+        p[air[order]] = flying
+        p[p < EXACT], p[p > 1 - EXACT] = 0, 1
         if last:
             land(p, size)
         rows["p"] = p
@@ -118,7 +127,7 @@ def copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float =
         done = settled if done is None else done.unionByName(settled)
         if last:
             break
-        level, blocks = level + 1, math.ceil(2 * blocks / BLOCK)
+        level, blocks = level + 1, math.ceil((GROUND + 2) * blocks / BLOCK)
         small = flown.where("p > 0 and p < 1").withColumn("block", F.pmod(F.xxhash64("place", F.lit(level)), F.lit(blocks)))
     return rows.join(done, "_uid").select("_uid", "_id", "size", "source_size", "target", (F.col("whole") + F.col("more")).alias("copies"))
 
