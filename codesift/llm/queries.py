@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codesift.llm.decontamination import contaminated
 from codesift.llm.line_dedup import line_dedup
 from codesift.llm.mixing import mix
+from codesift.llm.neighbours import nearest
 from codesift.llm.simhash import simhash_dedup
 from codesift.llm.substring_dedup import substring_dedup
 from codesift.llm.suffix_dedup import suffix_dedup
@@ -22,6 +23,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex(F.reverse("fingerprint"))).alias("fingerprint"), "component_id")
@@ -58,7 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op4_simhash, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_decontamination, op3_neighbours, op4_simhash, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op10_line_dedup": """
