@@ -12,13 +12,19 @@ from codesift.llm.neighbours import nearest
 from codesift.llm.simhash import simhash_dedup
 from codesift.llm.substring_dedup import substring_dedup
 from codesift.llm.suffix_dedup import suffix_dedup
+from codesift.llm.token_counts import token_counts
 from codesift.llm.toxicity import toxicity_scores
+from codesift.llm.url_filter import WORD_RULES, judged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,6 +38,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex(F.reverse("fingerprint"))).alias("fingerprint"), "component_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
@@ -63,9 +73,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op3_neighbours, op4_simhash, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_neighbours, op4_simhash, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
+
+def _words_sql() -> str:
+    """The word rule that decides, longest name first, as a chain of conditions."""
+    order = sorted(range(len(WORD_RULES)), key=lambda i: (-len(WORD_RULES[i].name), i))
+    return " ".join(f"WHEN regexp_matches(host || path, '{WORD_RULES[i].pattern}') THEN '{WORD_RULES[i].name}'" for i in order)
+
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filter": f"""
+        WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+        hosts AS (SELECT *, CASE
+            WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/es/') THEN 'net/es/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+            WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM parts),
+        judged AS (SELECT *, CASE WHEN rule IS NOT NULL THEN NULL {_words_sql()} END AS words FROM hosts)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR words IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, words
+        FROM judged
+    """,
     "op10_line_dedup": """
         WITH docs AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
         totals AS (SELECT source, count(*) AS total FROM docs GROUP BY source),
