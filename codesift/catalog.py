@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "lines_explode"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from codesift.queries import detect
+
+FLAGSHIP = "detect_injection"
+MODULES = (detect,)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
