@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codesift.queries import detect
+from codesift.queries import detect, files, findings
 
-FLAGSHIP = "detect_injection"
-MODULES = (detect,)
+FLAGSHIP = "summary_findings"
+MODULES = (detect, files, findings)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -30,8 +30,12 @@ def positions(line: Column, java: str, prefix: str = "") -> Column:
     The expression must have no capturing groups.  It is wrapped so that each
     match also takes the gap before it; lengths of gaps and hits give the columns.
     """
-    wrapped = f"{prefix}([\\s\\S]*?)({java})"
-    pairs = F.arrays_zip(F.regexp_extract_all(line, F.lit(wrapped), F.lit(1)).alias("gap"), F.regexp_extract_all(line, F.lit(wrapped), F.lit(2)).alias("hit"))
+    return placed(line, F.lit(f"{prefix}([\\s\\S]*?)({java})"))
+
+
+def placed(line: Column, wrapped: Column) -> Column:
+    """As ``positions``, of an expression that is wrapped already: group 1 the gap, group 2 the hit."""
+    pairs = F.arrays_zip(F.regexp_extract_all(line, wrapped, F.lit(1)).alias("gap"), F.regexp_extract_all(line, wrapped, F.lit(2)).alias("hit"))
     start = F.named_struct(F.lit("at"), F.lit(1), F.lit("out"), F.array().cast("array<struct<col:int,hit:string>>"))
     return F.aggregate(
         pairs,

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.detectors import COMMENT, DEFINITION, Pattern
-from codesift.functions.text import positions
+from codesift.functions.text import placed
 
 SHORT = 10
 
@@ -29,14 +29,6 @@ def literal_of(p: Pattern) -> str | None:
     return max(runs, key=len).lower() if runs else None
 
 
-def prefilter(low: Column, patterns: Sequence[Pattern]) -> Column | None:
-    """A cheap test that drops most lines before any expression runs; None if a pattern has no sure text."""
-    literals = [literal_of(p) for p in patterns]
-    if any(x is None for x in literals):
-        return None
-    return reduce(lambda a, b: a | b, (low.contains(x) for x in sorted(set(literals))))
-
-
 def any_of(column: Column, expressions: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, (column.rlike(e) for e in expressions), F.lit(False))
 
@@ -59,11 +51,8 @@ def matches(lines: DataFrame, patterns: Sequence[Pattern], flags: dict[str, Colu
     """
     patterns = list(patterns)
     line, path = F.col("line"), F.col("path")
-    rows = lines.where(not_comment(line) & not_definition(line))
-    some = prefilter(F.lower(line), patterns)
-    if some is not None:
-        rows = rows.where(some)
-    tests = []
+    rows = lines.where(not_comment(line) & not_definition(line)).withColumn("_low", F.lower(line))
+    tests: dict[str | None, list[Column]] = {}
     for k, p in enumerate(patterns):
         test = line.rlike(p.java)
         if p.need_line:
@@ -74,16 +63,17 @@ def matches(lines: DataFrame, patterns: Sequence[Pattern], flags: dict[str, Colu
             test &= ~any_of(path, p.skip_path)
         for e in p.skip_file:
             test &= ~F.col(file_flag(e))
-        tests.append(F.when(test, F.lit(k)))
-    rows = rows.withColumn("pattern_ord", F.explode(F.filter(F.array(*tests), lambda k: k.isNotNull())))
-    at = F.lit(None).cast("array<struct<col:int,hit:string>>")
-    for k, p in enumerate(patterns):
-        at = F.when(F.col("pattern_ord") == k, positions(line, p.regex, "" if p.case else "(?i)")).otherwise(at)
-    rows = rows.select("path", "line_no", "line", "pattern_ord", F.explode(at).alias("m")).select("path", "line_no", "line", "pattern_ord", F.col("m.col").alias("col"), F.col("m.hit").alias("hit"))
-    for e in sorted({e for p in patterns for e in p.skip_hit}):
-        held = [k for k, p in enumerate(patterns) if e in p.skip_hit]
-        rows = rows.where(~(F.col("pattern_ord").isin(held) & F.col("hit").rlike(e)))
-    return rows
+        tests.setdefault(literal_of(p), []).append(F.when(test, F.lit(k)))
+    # Expressions run only on lines that hold the text their matches must hold.
+    none = F.array().cast("array<int>")
+    gated = [F.array(*t) if text is None else F.when(F.col("_low").contains(text), F.array(*t)).otherwise(none) for text, t in tests.items()]
+    hit = F.filter(F.concat(*gated), lambda k: k.isNotNull())
+    rows = rows.select("path", "line_no", "line", F.explode(hit).alias("pattern_ord"))
+    # Few lines are left: their expressions come from a table, and places are found for them only.
+    table = lines.sparkSession.createDataFrame([(k, f"{'' if p.case else '(?i)'}([\\s\\S]*?)({p.regex})", "|".join(f"(?:{e})" for e in p.skip_hit) or None) for k, p in enumerate(patterns)], "pattern_ord int, _wrapped string, _skip string")
+    rows = rows.join(F.broadcast(table), "pattern_ord").select("path", "line_no", "line", "pattern_ord", "_skip", F.explode(placed(line, F.col("_wrapped"))).alias("m"))
+    rows = rows.select("path", "line_no", "line", "pattern_ord", "_skip", F.col("m.col").alias("col"), F.col("m.hit").alias("hit"))
+    return rows.where(F.col("_skip").isNull() | ~F.rlike("hit", F.col("_skip"))).drop("_skip")
 
 
 def file_flag(expression: str) -> str:
