@@ -41,8 +41,8 @@ def not_definition(line: Column) -> Column:
     return ~any_of(line, DEFINITION)
 
 
-def matches(lines: DataFrame, patterns: Sequence[Pattern], flags: dict[str, Column] | None = None) -> DataFrame:
-    """path, line_no, line, pattern_ord (place in ``patterns``), col and hit of every match that no filter drops.
+def matches(lines: DataFrame, patterns: Sequence[Pattern], keep: Sequence[str] = ()) -> DataFrame:
+    """path, line_no, line, pattern_ord (place in ``patterns``), col, hit and the columns to ``keep`` of every match that no filter drops.
 
     ``lines`` has path, line_no and line, and for patterns with skip_file a
     boolean column for each of those expressions, named by ``file_flag``.
@@ -68,11 +68,11 @@ def matches(lines: DataFrame, patterns: Sequence[Pattern], flags: dict[str, Colu
     none = F.array().cast("array<int>")
     gated = [F.array(*t) if text is None else F.when(F.col("_low").contains(text), F.array(*t)).otherwise(none) for text, t in tests.items()]
     hit = F.filter(F.concat(*gated), lambda k: k.isNotNull())
-    rows = rows.select("path", "line_no", "line", F.explode(hit).alias("pattern_ord"))
+    rows = rows.select("path", "line_no", "line", *keep, F.explode(hit).alias("pattern_ord"))
     # Few lines are left: their expressions come from a table, and places are found for them only.
     table = lines.sparkSession.createDataFrame([(k, f"{'' if p.case else '(?i)'}([\\s\\S]*?)({p.regex})", "|".join(f"(?:{e})" for e in p.skip_hit) or None) for k, p in enumerate(patterns)], "pattern_ord int, _wrapped string, _skip string")
-    rows = rows.join(F.broadcast(table), "pattern_ord").select("path", "line_no", "line", "pattern_ord", "_skip", F.explode(placed(line, F.col("_wrapped"))).alias("m"))
-    rows = rows.select("path", "line_no", "line", "pattern_ord", "_skip", F.col("m.col").alias("col"), F.col("m.hit").alias("hit"))
+    rows = rows.join(F.broadcast(table), "pattern_ord").select("path", "line_no", "line", *keep, "pattern_ord", "_skip", F.explode(placed(line, F.col("_wrapped"))).alias("m"))
+    rows = rows.select("path", "line_no", "line", *keep, "pattern_ord", "_skip", F.col("m.col").alias("col"), F.col("m.hit").alias("hit"))
     return rows.where(F.col("_skip").isNull() | ~F.rlike("hit", F.col("_skip"))).drop("_skip")
 
 
