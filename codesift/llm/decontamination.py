@@ -1,8 +1,8 @@
 """Benchmark decontamination (operator 2): rare n-gram seeds, then Smith-Waterman alignment.
 
-Of every few neighbouring n-grams of a test item, the one that is rarest in the
-corpus is a seed, so even an item that leaked into a third of all documents
-keeps its seeds, and a copy that was edited in places still holds some.  Seeds
+The n-grams of a test item that are rare in the corpus are its seeds, and of
+every few neighbours the rarest that occurs at all, so even an item that leaked
+into a third of all documents keeps seeds, and so does an edited copy.  Seeds
 join passages of documents to items; only there the words are aligned.
 
 Items go to the executors in blocks of bounded size, one pass over the
@@ -26,6 +26,8 @@ from codesift.llm.tables import identified
 U64 = np.uint64
 #: Words of a seed; neighbouring seed places of which the rarest is taken.
 SEED, STRIDE = 4, 4
+#: Occurrences in all documents up to which an n-gram is rare in any case.
+RARE = 100
 #: Smith-Waterman weights of equal words, different words and gaps.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of items in a block: about 50 MB on each executor.
@@ -101,10 +103,11 @@ class Items:
             n = min(SEED, w.size)
             own = grams(w, n).tolist()
             for a in range(0, len(own), STRIDE):
-                part = range(a, min(a + STRIDE, len(own)))
-                rarest = min(part, key=lambda k: (frequency.get(n, {}).get(own[k], 0), k))
-                rows.setdefault(n, []).append((own[rarest], i, rarest))
+                times = {k: t for k in range(a, min(a + STRIDE, len(own))) if (t := frequency.get(n, {}).get(own[k], 0))}
+                least = min(times.values(), default=0)
+                rows.setdefault(n, []).extend((own[k], i, k) for k, t in times.items() if t <= max(RARE, least))
         self.lookups, self.owners = {}, {}
+        rows = {n: found for n, found in rows.items() if found}
         for n, found in rows.items():
             found.sort()
             key, item, offset = (np.array(c, dtype=t) for c, t in zip(zip(*found, strict=True), (U64, np.int64, np.int64), strict=True))

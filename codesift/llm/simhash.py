@@ -238,5 +238,5 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     bits = 256
     radius = math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     rows = near_groups(fingerprints(docs, words, bits // 64, id_col, text_col), radius, exact=False)
-    keep = rows.groupBy("root").agg(F.min(F.struct("_ord", "_uid"))["_uid"].alias("_uid")).select("_uid")
-    return docs.withColumn("_uid", F.monotonically_increasing_id()).join(keep, "_uid", "left_semi").drop("_uid")
+    keep = rows.groupBy("root").agg(F.min(F.struct("_ord", "_uid"))["_uid"].alias("_cs_uid")).select("_cs_uid")
+    return docs.withColumn("_cs_uid", F.monotonically_increasing_id()).join(keep, "_cs_uid", "left_semi").drop("_cs_uid")
