@@ -35,7 +35,8 @@ def powers(base: int, n: int, inverse: bool = False) -> np.ndarray:
     key = (base, inverse)
     have = _powers.get(key)
     if have is None or have.size < n:
-        size = max(n, CHUNK_BYTES + 4096)
+        have = None
+        size = max(4096, 1 << (n - 1).bit_length())
         step = np.full(size, pow(base, -1, 1 << 64) if inverse else base, dtype=U64)
         step[0] = 1
         have = np.multiply.accumulate(step)

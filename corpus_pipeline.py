@@ -12,7 +12,7 @@ from codesift.llm.tables import written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a toxicity score of 0.5 or more go; the model learns from the labels of the rows that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    score = toxicity.scorer(spark, toxicity.train(docs, labels))
+    score = toxicity.scorer(*toxicity.train(docs, labels))
     return docs.where(score(F.col("text")) < 0.5)
 
 
