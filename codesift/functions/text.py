@@ -30,7 +30,9 @@ def positions(line: Column, java: str, prefix: str = "") -> Column:
     The expression must have no capturing groups.  It is wrapped so that each
     match also takes the gap before it; lengths of gaps and hits give the columns.
     """
-    return placed(line, F.lit(f"{prefix}([\\s\\S]*?)({java})"))
+    none = F.array().cast("array<struct<col:int,hit:string>>")
+    # Lines without a match are the most; the wrapped expression would try every gap of them.
+    return F.when(line.rlike(f"{prefix}{java}"), placed(line, F.lit(f"{prefix}([\\s\\S]*?)({java})"))).otherwise(none)
 
 
 def placed(line: Column, wrapped: Column) -> Column:
