@@ -44,7 +44,8 @@ def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Only what an operator reads, under names that no other column can clash with.
 
     ``_uid`` tells rows apart even if ids repeat or are null; it follows the
-    order of the input's files.  ``_ord`` orders documents: their id, null first.
+    order of the input's files, so an input must be a table or other scan that
+    gives its rows in the same order each time (else write it first).  ``_ord`` orders documents: their id, null first.
     """
     key = F.col(f"`{id_col}`").cast("long")
     return df.select(key.alias("_id"), F.col(f"`{text_col}`").alias("_text")).select(
