@@ -1,9 +1,9 @@
-"""Benchmark decontamination (operator 2): rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination (operator 2): n-gram seeds, then Smith-Waterman alignment.
 
-The n-grams of a test item that are rare in the corpus are its seeds, and of
-every few neighbours the rarest that occurs at all, so even an item that leaked
-into a third of all documents keeps seeds, and so does an edited copy.  Seeds
-join passages of documents to items; only there the words are aligned.
+Every n-gram of a test item is its seed, however often it occurs: an edited
+copy of an item that leaked often lacks just the rarer ones.  Seeds join
+passages of documents to items; only there the words are aligned, and only
+where enough of them are words of the item to reach the threshold.
 
 Items go to the executors in blocks of bounded size, one pass over the
 documents for each; the documents are never shuffled.
@@ -24,10 +24,8 @@ from codesift.llm import tokens
 from codesift.llm.tables import identified
 
 U64 = np.uint64
-#: Words of a seed; neighbouring seed places of which the rarest is taken.
-SEED, STRIDE = 4, 4
-#: Occurrences in all documents up to which an n-gram is rare in any case.
-RARE = 100
+#: Words of a seed.
+SEED = 4
 #: Smith-Waterman weights of equal words, different words and gaps.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of items in a block: about 50 MB on each executor.
@@ -79,40 +77,28 @@ class Lookup:
 
 @dataclass
 class Items:
-    """A block of test items: ids, words, and after counting, seeds as (key, item, offset) sorted by key."""
+    """A block of test items: ids, words, and their n-grams as (key, item, offset) sorted by key."""
 
     ids: list[int | None]
     words: list[np.ndarray]
-    lookups: dict[int, Lookup] | None = None
-    owners: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None
-
-    def all_grams(self) -> dict[int, np.ndarray]:
-        """By length (SEED, or all words of a shorter item): the distinct n-grams of the block."""
-        found: dict[int, list[np.ndarray]] = {}
-        for w in self.words:
+    lookups: dict[int, Lookup]
+    owners: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+    @staticmethod
+    def of(ids: list[int | None], words: list[np.ndarray]) -> Items:
+        """Seeds by length: SEED, or all words of a shorter item."""
+        rows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for i, w in enumerate(words):
             if w.size:
-                n = min(SEED, w.size)
-                found.setdefault(n, []).append(grams(w, n))
-        return {n: np.unique(np.concatenate(g)) for n, g in found.items()}
-
-    def choose(self, frequency: dict[int, dict[int, int]]) -> None:
-        rows: dict[int, list[tuple[int, int, int]]] = {}
-        for i, w in enumerate(self.words):
-            if not w.size:
-                continue
-            n = min(SEED, w.size)
-            own = grams(w, n).tolist()
-            for a in range(0, len(own), STRIDE):
-                times = {k: t for k in range(a, min(a + STRIDE, len(own))) if (t := frequency.get(n, {}).get(own[k], 0))}
-                least = min(times.values(), default=0)
-                rows.setdefault(n, []).extend((own[k], i, k) for k, t in times.items() if t <= max(RARE, least))
-        self.lookups, self.owners = {}, {}
-        rows = {n: found for n, found in rows.items() if found}
+                own = grams(w, min(SEED, w.size))
+                rows.setdefault(min(SEED, w.size), []).append((own, np.full(own.size, i), np.arange(own.size)))
+        items = Items(ids, words, {}, {})
         for n, found in rows.items():
-            found.sort()
-            key, item, offset = (np.array(c, dtype=t) for c, t in zip(zip(*found, strict=True), (U64, np.int64, np.int64), strict=True))
-            keys, first = np.unique(key, return_index=True)
-            self.lookups[n], self.owners[n] = Lookup(keys), (np.append(first, key.size), item, offset)
+            key, item, offset = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((offset, item, key))
+            keys, first = np.unique(key[order], return_index=True)
+            items.lookups[n], items.owners[n] = Lookup(keys), (np.append(first, key.size), item[order], offset[order])
+        return items
 
 
 def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -130,9 +116,15 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def best_alignment(text: np.ndarray, item: np.ndarray, diagonals: np.ndarray) -> tuple[float, int, int]:
-    """Share of the item's own score, and the aligned words of the text, over the stretches that seeds point to."""
+def best_alignment(text: np.ndarray, item: np.ndarray, diagonals: np.ndarray, threshold: float) -> tuple[float, int, int]:
+    """Share of the item's own score, and the aligned words of the text, over the stretches that seeds point to.
+
+    Stretches that cannot reach ``threshold`` are left out.
+    """
     slack = max(8, item.size // 2)
+    # A share s needs s * n equal words, and beyond n words of text each costs a gap.
+    span, least = item.size + int(MATCH * item.size * (1 - threshold) / -GAP + 1e-9), threshold * item.size - 1e-9
+    own = np.unique(item)
     found = (0.0, 0, 0)
     diagonals = np.unique(diagonals)
     for group in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > slack) + 1):
@@ -141,6 +133,9 @@ def best_alignment(text: np.ndarray, item: np.ndarray, diagonals: np.ndarray) ->
                 return 1.0, d, d + item.size
         lo = max(0, int(group[0]) - slack)
         part = text[lo : int(group[-1]) + item.size + slack]
+        common = np.concatenate([[0], np.cumsum(own[np.minimum(np.searchsorted(own, part), own.size - 1)] == part)])
+        if (common[min(span, part.size) :] - common[: max(1, common.size - span)]).max() < least:
+            continue
         score, end, item_end = align(part, item)
         share = score / (MATCH * item.size)
         if share > found[0]:
@@ -173,46 +168,22 @@ def matches(chunk: tokens.Chunk, items: Items, threshold: float) -> Iterator[tup
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         d, i = int(doc[a]), int(item[a])
         text = hashes[bounds[d] : bounds[d + 1]]
-        share, begin, end = best_alignment(text, items.words[i], diagonal[a:b])
+        share, begin, end = best_alignment(text, items.words[i], diagonal[a:b], threshold)
         if share >= threshold:
             own = place[bounds[d] : bounds[d + 1]]
             yield d, i, share, int(own[begin]), int(own[end - 1]) + 1
 
 
-def count_seeds(held: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = {n: Lookup(keys) for n, keys in held.value.items()}
-        total = {n: np.zeros(x.keys.size, dtype=np.int64) for n, x in wanted.items()}
-        for batch in batches:
-            for chunk in tokens.chunks(batch.column("_text")):
-                hashes, bounds, _ = plain_words(chunk)
-                for n, lookup in wanted.items():
-                    if hashes.size >= n:
-                        at, which = lookup.places(grams(hashes, n))
-                        inside = at + n <= bounds[np.searchsorted(bounds, at, side="right")]
-                        total[n] += np.bincount(which[inside], minlength=total[n].size)
-        for n, count in total.items():
-            some = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(some.size, n)), pa.array(tokens.signed(wanted[n].keys[some])), pa.array(count[some])], names=["n", "gram", "times"])
-
-    return run
-
-
 def item_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Broadcast]:
-    """Blocks of items with seeds chosen by how often their n-grams occur in all documents."""
+    """Blocks of items with their seeds."""
     spark = docs.sparkSession
     ids: list = []
     words: list = []
 
     def block() -> Broadcast:
-        items = Items(list(ids), list(words))
+        items = Items.of(list(ids), list(words))
         ids.clear()
         words.clear()
-        wanted = spark.sparkContext.broadcast(items.all_grams())
-        frequency: dict[int, dict[int, int]] = {}
-        for r in docs.select("_text").mapInArrow(count_seeds(wanted), "n long, gram long, times long").groupBy("n", "gram").agg(F.sum("times").alias("times")).toLocalIterator():
-            frequency.setdefault(r.n, {})[r.gram & (1 << 64) - 1] = r.times
-        items.choose(frequency)
         return spark.sparkContext.broadcast(items)
 
     chosen = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"))

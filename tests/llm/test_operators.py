@@ -258,6 +258,14 @@ def test_decontamination(spark):
     assert decontamination.contaminated(d, b.limit(0)).count() == 0 and decontamination.contaminated(d.limit(0), b).count() == 0
 
 
+def test_edited_copy_of_an_item_that_leaked_often(spark):
+    item = [f"w{k}" for k in range(30)]
+    edited = ["other" if k % 7 == 6 else w for k, w in enumerate(item)]
+    d = spark.createDataFrame([(i, " ".join(item)) for i in range(1000)] + [(1000, " ".join(edited))], "doc_id long, text string")
+    found = {r.doc_id: r.score for r in decontamination.contaminated(d, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()}
+    assert len(found) == 1001 and found[1000] == 0.8
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(2)
     for _ in range(60):
