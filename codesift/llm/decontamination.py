@@ -121,9 +121,9 @@ def best_alignment(text: np.ndarray, item: np.ndarray, diagonals: np.ndarray, th
 
     Stretches that cannot reach ``threshold`` are left out.
     """
-    slack = max(8, item.size // 2)
-    # A share s needs s * n equal words, and beyond n words of text each costs a gap.
-    span, least = item.size + int(MATCH * item.size * (1 - threshold) / -GAP + 1e-9), threshold * item.size - 1e-9
+    # Gaps that an alignment of the threshold's score can hold.  That score needs threshold * n equal words.
+    slack = int(MATCH * item.size * (1 - threshold) / -GAP + 1e-9)
+    span, least = item.size + slack, threshold * item.size - 1e-9
     own = np.unique(item)
     found = (0.0, 0, 0)
     diagonals = np.unique(diagonals)

@@ -266,6 +266,13 @@ def test_edited_copy_of_an_item_that_leaked_often(spark):
     assert len(found) == 1001 and found[1000] == 0.8
 
 
+def test_item_split_by_an_insertion(spark):
+    item = [f"w{k}" for k in range(40)]
+    text = [*(f"a{k}" for k in range(9)), *item[:20], *(f"b{k}" for k in range(26)), *item[20:], "z"]
+    d, b = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert [(r.score, r.begin, r.end) for r in decontamination.contaminated(d, b).collect()] == [((80 - 26) / 80, 9, 75)]
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(2)
     for _ in range(60):
