@@ -28,6 +28,9 @@ U64 = np.uint64
 LEAF = 16
 #: Fingerprints a shard may hold; a larger shard is dealt out as pairs of blocks of that size.
 SHARD = 20_000
+#: Bands of minima, and minima in a band: Jaccard 0.8 shares no band with probability 0.0008.
+BANDS, ROWS = 18, 5
+SALTS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS).astype(U64) * U64(2) + U64(1)
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -81,12 +84,13 @@ def exact_keys(n: int, bits: int, radius: int) -> list[np.ndarray]:
     return [np.concatenate(x) for x in combinations(blocks, c)]
 
 
-def sampled_keys(n: int, bits: int, radius: int, miss: float = 0.01) -> list[np.ndarray]:
-    """Random bit positions of so many keys that two fingerprints at the very radius miss all with probability ``miss``."""
-    width = max(4, round(math.log2(max(n, 2))) - 7)
-    agree = (1 - radius / bits) ** width
-    rng = np.random.default_rng(42)
-    return [np.sort(rng.choice(bits, width, replace=False)) for _ in range(math.ceil(math.log(miss) / math.log(1 - agree)))]
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of ``ROWS`` minima of the shingles: texts of Jaccard J agree on one with probability J ** ROWS."""
+    least = np.full(SALTS.size, np.iinfo(U64).max, dtype=U64)
+    for a in range(0, shingles.size, 4096):
+        np.minimum(least, np.multiply.outer(SALTS, shingles[a : a + 4096]).min(axis=1), out=least)
+    mixed = tokens.mix(least.reshape(BANDS, ROWS) + np.arange(ROWS, dtype=U64) * U64(0x9E3779B97F4A7C15))
+    return tokens.mix(np.bitwise_xor.reduce(mixed, axis=1) + np.arange(BANDS, dtype=U64) * U64(0xD6E8FEB86659FD93))
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,18 +152,35 @@ def deal(keys: list[np.ndarray]):
     return run, schema
 
 
-def search(radius: int):
-    """Rows come sorted by shard; the last shard of a batch waits for the next batch."""
+def root_links(points: np.ndarray, radius: int, roots: np.ndarray) -> list[tuple[int, int]]:
+    """All pairs within the radius whose roots differ."""
+    links, step = [], max(1, (1 << 20) // len(points))
+    if (roots == roots[0]).all():
+        return links
+    for lo in range(0, len(points), step):
+        some = slice(lo, lo + step)
+        near = (roots[some][:, None] != roots[None]) & (distance(points[some][:, None], points[None]) <= radius)
+        i, j = np.nonzero(near)
+        links.extend(zip((i + lo)[i + lo < j].tolist(), j[i + lo < j].tolist(), strict=True))
+    return links
+
+
+def search(radius: int, rooted: bool = False):
+    """Rows come sorted by shard; the last shard of a batch waits for the next batch.
+
+    Links of a forest, or if ``rooted``, all that lead from one root to another.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(table: pa.Table) -> pa.RecordBatch:
         shard, node = table.column("shard").to_numpy(), table.column("node").to_numpy()
         points = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), dtype=U64).reshape(len(node), -1)
+        roots = table.column("root").to_numpy() if rooted else node
         edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         a, b = [], []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if hi - lo > 1:
-                for i, j in tree_links(points[lo:hi], radius):
+                for i, j in root_links(points[lo:hi], radius, roots[lo:hi]) if rooted else tree_links(points[lo:hi], radius):
                     a.append(node[lo + i])
                     b.append(node[lo + j])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
@@ -182,34 +203,76 @@ def search(radius: int):
     return run, schema
 
 
-def near_groups(prints: DataFrame, radius: int, exact: bool = True) -> DataFrame:
+def shard_links(dealt: DataFrame, radius: int, rooted: bool = False) -> DataFrame:
+    """Links (a, b) within the radius among the rows (key, node, fingerprint, and root if ``rooted``) of equal key."""
+    rest = ["node", "fingerprint", *(["root"] if rooted else [])]
+    # At most (rows / SHARD) keys are over the limit, few enough to broadcast.
+    large = dealt.groupBy("key").agg(F.ceil(F.count("node") / SHARD).cast("int").alias("blocks")).where("blocks > 1")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = (
+        dealt.join(F.broadcast(large), "key", "left")
+        .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+        .select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other"))).alias("shard"), *rest)
+    )
+    run, schema = search(radius, rooted)
+    return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, spark_schema(schema))
+
+
+def near_groups(prints: DataFrame, radius: int) -> DataFrame:
     """_uid, _ord, _id, fingerprint and root (equal within a component) of the rows of ``fingerprints()``.
 
     Fingerprints link at ``radius`` or fewer differing bits.  Equal ones are
-    one node.  ``exact``: every link is found; otherwise links at the radius
-    itself are missed with probability 0.01, closer ones less often.
+    one node.  Every link is found.
     """
     prints = written(prints, "fingerprints")
     nodes = written(prints.groupBy("fingerprint").agg(F.min("_uid").alias("node")), "nodes")
     some = nodes.agg(F.count("node"), F.max(F.length("fingerprint"))).first()
     n, bits = some[0], 8 * (some[1] or 8)
-    run, schema = deal((exact_keys if exact else sampled_keys)(n, bits, radius))
-    dealt = nodes.mapInArrow(run, spark_schema(schema))
-    # At most (rows / SHARD) keys are over the limit, few enough to broadcast.
-    large = dealt.groupBy("key").agg(F.ceil(F.count("node") / SHARD).cast("int").alias("blocks")).where("blocks > 1")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    dealt = (
-        dealt.join(F.broadcast(large), "key", "left")
-        .withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
-        .select(F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other"))).alias("shard"), "node", "fingerprint")
-    )
-    run, schema = search(radius)
-    links = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, spark_schema(schema))
-    roots = components(links)
+    run, schema = deal(exact_keys(n, bits, radius))
+    roots = components(shard_links(nodes.mapInArrow(run, spark_schema(schema)), radius))
     found = nodes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("root"))
     return prints.join(found, "fingerprint")
 
 
+def profiles(rows: DataFrame, words: int, lanes: int) -> DataFrame:
+    """_uid, _ord, and of the text's distinct shingles: a digest, the fingerprint and the band keys.  ``rows``: of ``identified()``."""
+    schema = pa.schema([("_uid", pa.int64()), ("_ord", pa.int64()), ("digest", pa.binary()), ("fingerprint", pa.binary()), ("keys", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in tokens.binary(batch.column("_text"))]
+            digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            prints = [simhash(x, lanes).tobytes() for x in sets]
+            keys = [tokens.signed(band_keys(x)) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("_uid"), batch.column("_ord"), *(pa.array(c, t) for c, t in zip((digests, prints, keys), schema.types[2:], strict=True))], schema=schema)
+
+    return rows.mapInArrow(run, spark_schema(schema))
+
+
+def alike(links: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The distinct links (a, b: _uid of ``rows``) whose texts' sets of shingles have that Jaccard index or more."""
+    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    ends = links.select(F.explode(F.array("a", "b")).alias("_uid")).distinct()
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in tokens.binary(batch.column("_text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("_uid"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, dtype=U64), np.frombuffer(y, dtype=U64)
+                both = np.intersect1d(x, y, assume_unique=True).size
+                keep.append(both >= similarity * (x.size + y.size - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = written(rows.join(ends, "_uid", "left_semi").select("_uid", "_text").mapInArrow(shingles, "node long, shingles binary"), "shingles")
+    first, second = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return written(links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "alike")
+
+
 def simhash_dedup(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (binary, least significant byte first) and component_id of every row.
 
@@ -230,13 +293,25 @@ def simhash_dedup(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: the smallest id of each group stays.
 
-    Similarity is the Jaccard index of ``words``-word shingles, estimated by
-    256-bit fingerprints: at Jaccard J the cosine of equally long texts is
-    2J / (1 + J), and the angle is the share of differing bits.  Empty texts
-    are copies of each other.  Rows repeated with equal ids keep the first.
+    Texts link if the Jaccard index of their sets of ``words``-word shingles
+    is ``similarity`` or more; that is checked on the shingles.  Candidates
+    share a band key and have 256-bit fingerprints within a radius: at Jaccard
+    J the cosine of equally long texts is 2J / (1 + J), the angle is the share
+    of differing bits, and the radius is five deviations more.  A first search
+    links candidates by forests; a second takes all candidates that the checked
+    links of the first leave apart.
+
+    Empty texts are copies of each other.  Rows repeated with equal ids keep the first.
     """
     bits = 256
-    radius = math.floor(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    rows = near_groups(fingerprints(docs, words, bits // 64, id_col, text_col), radius, exact=False)
-    keep = rows.groupBy("root").agg(F.min(F.struct("_ord", "_uid"))["_uid"].alias("_cs_uid")).select("_cs_uid")
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.floor(bits * angle + 5 * math.sqrt(bits * angle * (1 - angle)))
+    rows = identified(docs, id_col, text_col)
+    known = written(profiles(rows, words, bits // 64), "profiles")
+    nodes = written(known.groupBy("digest").agg(F.min("_uid").alias("node"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("keys").alias("keys")), "nodes")
+    links = alike(shard_links(nodes.select(F.explode("keys").alias("key"), "node", "fingerprint"), radius), rows, words, similarity)
+    apart = nodes.join(components(links), "node", "left").select(F.explode("keys").alias("key"), "node", "fingerprint", F.coalesce("root", "node").alias("root"))
+    links = links.unionByName(alike(shard_links(apart, radius, rooted=True), rows, words, similarity))
+    found = nodes.join(components(links), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    keep = known.join(found, "digest").groupBy("root").agg(F.min(F.struct("_ord", "_uid"))["_uid"].alias("_cs_uid")).select("_cs_uid")
     return docs.withColumn("_cs_uid", F.monotonically_increasing_id()).join(keep, "_cs_uid", "left_semi").drop("_cs_uid")

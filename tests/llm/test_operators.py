@@ -174,6 +174,29 @@ def test_one_of_each_keeps_columns(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 2, 8]
 
 
+def test_one_of_each_at_the_similarity(spark):
+    rng = random.Random(8)
+    rows, want = [], set()
+    for i in range(80):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        edits = 6 if i < 40 else 7  # Jaccard 266 / 326 = 0.816 and 261 / 331 = 0.789
+        near = [f"e{i}" if k % 40 == 20 and k < 40 * edits else w for k, w in enumerate(base)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(near))]
+        want |= {2 * i} if i < 40 else {2 * i, 2 * i + 1}
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect()} == want
+
+
+def test_one_of_each_beyond_a_refuted_link(spark):
+    # a-c and b-c are similar enough, a-b is not: whichever links a forest takes, all three are one group.
+    rng = random.Random(9)
+    c = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    a = [f"a{k}" if k % 60 == 20 else w for k, w in enumerate(c)]
+    b = [f"b{k}" if k % 60 == 40 else w for k, w in enumerate(c)]
+    out = simhash.one_of_each(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((a, b, c))], "doc_id long, text string"))
+    assert [r.doc_id for r in out.collect()] == [0]
+
+
 def test_line_dedup(spark):
     rows = [(i, f"menu\nown {i}\n \n" + ("rare\n" if i < 2 else "") + "menu", None if i % 2 else "h") for i in range(30)] + [(98, None, "h"), (99, "", "h"), (97, "menu", "h")]
     out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_pages=5)
