@@ -7,10 +7,12 @@ distinct words, not of occurrences, as in Kneser and Ney's continuation
 counts, so an expression that a class has not seen costs both classes alike.
 A word's evidence is the difference of its two log-likelihoods; a text's, the
 clear evidence of its words divided by their number.  A logistic curve, fitted
-on training rows that were not counted, turns this into a score.
+on a sample of training rows by a model that did not count them, turns this
+into a score.
 
-The counts cover all training rows and grow with them until they are hashed
-into tables of fixed size, which bound the model that goes to the executors.
+The counts that score cover all training rows, the sample too, and grow with
+them until they are hashed into tables of fixed size, which bound the model
+that goes to the executors.
 """
 
 from __future__ import annotations
@@ -40,6 +42,9 @@ FLUSH = 500_000
 BROADCAST_LABELS = 2_000_000
 #: Training rows the curve is fitted on, the first by a hash of their id.
 CURVE_ROWS = 20_000
+#: Counts of a word, and of a gram: of all training rows, and of those outside the curve's sample.
+CLASSES = ("ordinary", "toxic", "fit_ordinary", "fit_toxic")
+COUNTS = ("ordinary", "toxic", "words", "fit_ordinary", "fit_toxic", "fit_words")
 
 
 def trimmed(chunk: tokens.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,29 +89,30 @@ def gram_bucket(order: np.ndarray | int, context: np.ndarray, byte: np.ndarray)
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """word, ordinary, toxic: each word once per task or flush."""
+    """word, and by class its occurrences in all rows and (``fit_``) in those outside the curve's sample: each word once per task or flush."""
     held: dict[bytes, list[int]] = {}
 
     def flushed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], names=["word", "ordinary", "toxic"])
+        out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in range(4))], names=["word", *CLASSES])
         held.clear()
         return out
 
     for batch in batches:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
+        fit = 1 - batch.column("curve").to_numpy(zero_copy_only=False).astype(np.int64)
         for chunk in tokens.chunks(batch.column("_text")):
             low, begin, end = trimmed(chunk)
             if not begin.size:
                 continue
             first, which = distinct(low, begin, end)
-            label = np.repeat(toxic[chunk.first : chunk.first + chunk.n], np.diff(chunk.word_bounds))
-            bad = np.bincount(which, label, first.size).astype(np.int64)
-            good = np.bincount(which, 1 - label, first.size).astype(np.int64)
+            rows, times = slice(chunk.first, chunk.first + chunk.n), np.diff(chunk.word_bounds)
+            good, bad = (1 - toxic[rows], toxic[rows])
+            sums = [np.bincount(which, np.repeat(v, times), first.size).astype(np.int64).tolist() for v in (good, bad, good * fit[rows], bad * fit[rows])]
             raw = low.tobytes()
-            for a, b, g, t in zip(begin[first].tolist(), end[first].tolist(), good.tolist(), bad.tolist(), strict=True):
-                have = held.setdefault(raw[a:b], [0, 0])
-                have[0] += g
-                have[1] += t
+            for a, b, *found in zip(begin[first].tolist(), end[first].tolist(), *sums, strict=True):
+                have = held.setdefault(raw[a:b], [0, 0, 0, 0])
+                for i, v in enumerate(found):
+                    have[i] += v
             if len(held) > FLUSH:
                 yield flushed()
     if held:
@@ -114,12 +120,12 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """ord, context, byte and their counts: occurrences by class, and words.  The input's words are distinct."""
+    """ord, context, byte and their counts: occurrences by class, and words, in all and (``fit_``) outside the sample.  The input's words are distinct."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = tokens.binary(batch.column("word"))
-        good, bad = (batch.column(n).to_numpy() for n in ("ordinary", "toxic"))
+        good, bad, fit_good, fit_bad = (batch.column(n).to_numpy() for n in CLASSES)
         for chunk in tokens.chunks(column):
             flat, word, first = letters(chunk.buf, chunk.bounds[:-1], chunk.bounds[1:])
             at = np.flatnonzero(np.diff(word, prepend=-1) == 0)
@@ -128,8 +134,8 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key = contexts(flat, word, first, order, rolling, at) * 256 + byte
                 gram, which = np.unique(key, return_inverse=True)
                 owner = word[at] + chunk.first
-                sums = [np.bincount(which, v, gram.size).astype(np.int64) for v in (good[owner], bad[owner], np.ones(owner.size))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(gram.size, order)), pa.array(gram // 256), pa.array(gram % 256), pa.array(gram_bucket(order, gram // 256, gram % 256)), *map(pa.array, sums)], names=["ord", "context", "byte", "bucket", "ordinary", "toxic", "words"])
+                sums = [np.bincount(which, v, gram.size).astype(np.int64) for v in (good[owner], bad[owner], np.ones(owner.size), fit_good[owner], fit_bad[owner], (fit_good + fit_bad > 0)[owner])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(gram.size, order)), pa.array(gram // 256), pa.array(gram % 256), pa.array(gram_bucket(order, gram // 256, gram % 256)), *map(pa.array, sums)], names=["ord", "context", "byte", "bucket", *COUNTS])
 
 
 class Model:
@@ -240,7 +246,8 @@ def _columns(df: DataFrame) -> dict[str, np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[Broadcast, np.ndarray]:
     """The model, broadcast, and its curve.
 
-    Counts the labelled rows whose remainder is 1, 2 or 3 and fits the curve on those with 4; 0 is held out.
+    Fits the curve on a sample of the labelled rows whose remainder is 4, with counts of all others of 1 to 4;
+    then counts the sample too for the model that scores.  0 is held out.
 
     Of several labels of an id the largest counts; null labels, null ids and ids without a text are not used.
     """
@@ -248,17 +255,22 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
     rows = identified(docs, id_col, text_col).select("_id", "_text").where("_id is not null").withColumn("part", remainder(F.col("_id"))).where("part > 0").join(known, "_id")
-    words = rows.where("part < 4").select("_text", "toxic").mapInArrow(count_words, "word binary, ordinary long, toxic long").groupBy("word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    counts = ("ordinary", "toxic", "words")
-    grams = words.mapInArrow(count_grams, "ord long, context long, byte long, bucket long, ordinary long, toxic long, words long").groupBy("ord", "context", "byte", "bucket").agg(*(F.sum(c).alias(c) for c in counts))
+    share = CURVE_ROWS / max(rows.where("part = 4").select("_id").count(), CURVE_ROWS)
+    rows = rows.withColumn("curve", (F.col("part") == 4) & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * share)))
+    words = rows.select("_text", "toxic", "curve").mapInArrow(count_words, "word binary, " + ", ".join(f"{c} long" for c in CLASSES)).groupBy("word").agg(*(F.sum(c).alias(c) for c in CLASSES))
+    grams = words.mapInArrow(count_grams, "ord long, context long, byte long, bucket long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("ord", "context", "byte", "bucket").agg(*(F.sum(c).alias(c) for c in COUNTS))
     grams = written(grams, "grams")
-    by_context = grams.groupBy("ord", "context").agg(*(F.sum(c).cast("float").alias(c) for c in counts), *(F.count_if(F.col(c) > 0).cast("float").alias(f"{c}_next") for c in counts))
-    by_gram = grams.groupBy("ord", "bucket").agg(*(F.sum(c).cast("float").alias(c) for c in counts))
-    model = Model(_columns(by_context.withColumns({"ord": F.col("ord").cast("byte"), "context": F.col("context").cast("int")})))
-    model.add_grams(_columns(by_gram.withColumns({"ord": F.col("ord").cast("byte"), "bucket": F.col("bucket").cast("int")})))
-    unseen = rows.where("part = 4")
-    share = CURVE_ROWS / max(unseen.select("_id").count(), CURVE_ROWS)
-    unseen = unseen.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * share))
+
+    def counted(prefix: str) -> Model:
+        counts = {c: F.col(prefix + c) for c in ("ordinary", "toxic", "words")}
+        seen = grams.where(counts["words"] > 0)
+        by_context = seen.groupBy("ord", "context").agg(*(F.sum(c).cast("float").alias(n) for n, c in counts.items()), *(F.count_if(c > 0).cast("float").alias(f"{n}_next") for n, c in counts.items()))
+        by_gram = seen.groupBy("ord", "bucket").agg(*(F.sum(c).cast("float").alias(n) for n, c in counts.items()))
+        model = Model(_columns(by_context.withColumns({"ord": F.col("ord").cast("byte"), "context": F.col("context").cast("int")})))
+        model.add_grams(_columns(by_gram.withColumns({"ord": F.col("ord").cast("byte"), "bucket": F.col("bucket").cast("int")})))
+        return model
+
+    model = counted("fit_")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,9 +279,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 found = held.value.features(chunk)
                 yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(found.T)), batch.column("toxic").slice(chunk.first, chunk.n)], names=["a", "b", "c", "toxic"])
 
-    sample = _columns(unseen.select("_text", "toxic").mapInArrow(features, "a double, b double, c double, toxic int").orderBy("a", "b", "c", "toxic"))
+    sample = _columns(rows.where("curve").select("_text", "toxic").mapInArrow(features, "a double, b double, c double, toxic int").orderBy("a", "b", "c", "toxic"))
     model.fit(np.stack([sample[n] for n in "abc"], axis=1), sample["toxic"].astype(np.float64))
-    return held, model.curve
+    curve = model.curve
+    held.destroy()
+    del model
+    return docs.sparkSession.sparkContext.broadcast(counted("")), curve
 
 
 def scorer(held: Broadcast, curve: np.ndarray):

@@ -379,6 +379,26 @@ def test_toxicity_learns_and_keeps_to_the_split(spark):
     assert again == {i: r.score for i, r in found.items()}
 
 
+def test_toxicity_counts_all_training_rows(spark):
+    rng = random.Random(11)
+    good = [f"plain{k}" for k in range(300)]
+    rows, labels, late, held = [], [], 0, []
+    for i in range(1500):
+        part, toxic = zlib.crc32(str(i).encode()) % 5, i % 6 == 0
+        w = [rng.choice(good) for _ in range(60)]
+        if toxic:
+            word = "vileone"
+            if part == 4 and late < 12 or part == 0:  # all training rows with this word have remainder 4
+                word, late = "zzqxjk", late + (part == 4)
+                held += [i] if part == 0 else []
+            for k in (5, 25, 45):
+                w[k] = word
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    found = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert late == 12 and held and all(found[i] for i in held)
+
+
 def test_curve_converges_on_separable_rows():
     model = toxicity.Model.__new__(toxicity.Model)
     rng = np.random.default_rng(0)
