@@ -34,7 +34,7 @@ CONTEXTS, GRAMS = 1 << 19, 1 << 20
 DISCOUNT = 0.75
 #: Evidence of a word, in nats, below which it is noise.
 CLEAR = 2.0
-#: Letters of a word that are read; a longer word is scored by its beginning.
+#: Bytes of a word; a longer one, as in a text without spaces, is read as pieces that overlap by ``ORDER``.
 LETTERS = 64
 #: Distinct words a task holds before it passes their counts on.
 FLUSH = 500_000
@@ -47,8 +47,11 @@ CLASSES = ("ordinary", "toxic", "fit_ordinary", "fit_toxic")
 COUNTS = ("ordinary", "toxic", "words", "fit_ordinary", "fit_toxic", "fit_words")
 
 
-def trimmed(chunk: tokens.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased bytes of a chunk and its words' begins and ends without ASCII punctuation around them."""
+def trimmed(chunk: tokens.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased bytes of a chunk, its words' begins and ends without ASCII punctuation around them, and their bounds by text.
+
+    Words of more than ``LETTERS`` bytes come as consecutive pieces.
+    """
     chunk.words()
     low = chunk.lowered()
     mark = np.zeros(256, dtype=bool)
@@ -57,7 +60,11 @@ def trimmed(chunk: tokens.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for _ in range(2):
         end -= (end - begin > 1) & mark[low[end - 1]]
         begin += (end - begin > 1) & mark[low[begin]]
-    return low, begin, np.minimum(end, begin + LETTERS)
+    step = LETTERS - ORDER
+    times = np.maximum(-(-(end - begin - ORDER) // step), 1)
+    before = np.concatenate([[0], np.cumsum(times)])
+    piece = np.repeat(begin, times) + (np.arange(before[-1]) - np.repeat(before[:-1], times)) * step
+    return low, piece, np.minimum(piece + LETTERS, np.repeat(end, times)), before[chunk.word_bounds]
 
 
 def distinct(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +108,11 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = batch.column("toxic").to_numpy(zero_copy_only=False).astype(np.int64)
         fit = 1 - batch.column("curve").to_numpy(zero_copy_only=False).astype(np.int64)
         for chunk in tokens.chunks(batch.column("_text")):
-            low, begin, end = trimmed(chunk)
+            low, begin, end, bounds = trimmed(chunk)
             if not begin.size:
                 continue
             first, which = distinct(low, begin, end)
-            rows, times = slice(chunk.first, chunk.first + chunk.n), np.diff(chunk.word_bounds)
+            rows, times = slice(chunk.first, chunk.first + chunk.n), np.diff(bounds)
             good, bad = (1 - toxic[rows], toxic[rows])
             sums = [np.bincount(which, np.repeat(v, times), first.size).astype(np.int64).tolist() for v in (good, bad, good * fit[rows], bad * fit[rows])]
             raw = low.tobytes()
@@ -190,13 +197,13 @@ class Model:
 
         Evidence is clear beyond ``CLEAR``; a word that a text repeats counts once.
         """
-        low, begin, end = trimmed(chunk)
-        n = np.diff(chunk.word_bounds)
+        low, begin, end, bounds = trimmed(chunk)
+        n = np.diff(bounds)
         if not begin.size:
             return np.zeros((chunk.n, 3))
         first, which = distinct(low, begin, end)
         clear = np.maximum(self.evidence(low, begin[first], end[first]) - CLEAR, 0)
-        pair = np.unique(tokens.spread(chunk.word_bounds) * first.size + which)
+        pair = np.unique(tokens.spread(bounds) * first.size + which)
         doc = pair // first.size
         total = np.bincount(doc, clear[pair % first.size], chunk.n)
         return np.stack([total / np.maximum(np.bincount(doc, minlength=chunk.n), 1), np.log1p(total), np.log1p(n)], axis=1)

@@ -399,6 +399,19 @@ def test_toxicity_counts_all_training_rows(spark):
     assert late == 12 and held and all(found[i] for i in held)
 
 
+@pytest.mark.parametrize("size", [1, 5, 63, 64, 65, 123, 124, 500])
+def test_long_words_are_read_to_their_end(size):
+    long = "".join(random.Random(size).choice("abcdefgh") for _ in range(size))
+    chunk = next(tokens.chunks(__import__("pyarrow").array(["one two", None, f"({long}) tail", "last"])))
+    low, begin, end, bounds = toxicity.trimmed(chunk)
+    units = [low.tobytes()[a:b].decode() for a, b in zip(begin, end)]
+    n = toxicity.ORDER + 1
+    assert units[:2] == ["one", "two"] and bounds[:3].tolist() == [0, 2, 2] and units[bounds[3] - 1 :] == ["tail", "last"]
+    pieces = units[2 : bounds[3] - 1]
+    assert pieces[0] + "".join(p[toxicity.ORDER :] for p in pieces[1:]) == long and max(map(len, pieces)) <= toxicity.LETTERS
+    assert {long[k : k + n] for k in range(size - n + 1)} == {p[k : k + n] for p in pieces for k in range(len(p) - n + 1)}
+
+
 def test_curve_converges_on_separable_rows():
     model = toxicity.Model.__new__(toxicity.Model)
     rng = np.random.default_rng(0)
