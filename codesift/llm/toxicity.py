@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.llm import tokens
-from codesift.llm.tables import identified, written
+from codesift.llm.tables import columns, written
 
 U64 = np.uint64
 ORDER = 5
@@ -261,7 +261,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
     if labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
-    rows = identified(docs, id_col, text_col).select("_id", "_text").where("_id is not null").withColumn("part", remainder(F.col("_id"))).where("part > 0").join(known, "_id")
+    rows = columns(docs, id_col, text_col).where("_id is not null").withColumn("part", remainder(F.col("_id"))).where("part > 0").join(known, "_id")
     share = CURVE_ROWS / max(rows.where("part = 4").select("_id").count(), CURVE_ROWS)
     rows = rows.withColumn("curve", (F.col("part") == 4) & (F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < int(1_000_000 * share)))
     words = rows.select("_text", "toxic", "curve").mapInArrow(count_words, "word binary, " + ", ".join(f"{c} long" for c in CLASSES)).groupBy("word").agg(*(F.sum(c).alias(c) for c in CLASSES))
