@@ -14,7 +14,7 @@ from codesift.llm.substring_dedup import substring_dedup
 from codesift.llm.suffix_dedup import suffix_dedup
 from codesift.llm.token_counts import token_counts
 from codesift.llm.toxicity import toxicity_scores
-from codesift.llm.url_filter import WORD_RULES, judged
+from codesift.llm.url_filter import WORD_RULES, host_and_path, judged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lower(F.hex(F.reverse("fingerprint"))).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_neighbours, op4_simhash, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup)}
+def page_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 10 on web pages: lines of HTML on more than a tenth of the pages of their host."""
+    host, _ = host_and_path(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), "html", F.col("html").alias("before"))
+    found = line_dedup(pages, host_col="host", text_col="html")
+    return found.select("page_id", "host", (F.length("before") - F.length("html")).cast("long").alias("n_chars_removed"), F.sha2("html", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_neighbours, op4_simhash, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup, page_line_dedup)}
 
 def _words_sql() -> str:
     """The word rule that decides, longest name first, as a chain of conditions."""
@@ -81,6 +89,21 @@ def _words_sql() -> str:
     return " ".join(f"WHEN regexp_matches(host || path, '{WORD_RULES[i].pattern}') THEN '{WORD_RULES[i].name}'" for i in order)
 
 
+def _lines_sql(texts: str, result: str) -> str:
+    """Line dedup of doc_id, host and text."""
+    return f"""
+        WITH docs AS (SELECT doc_id, host, text, string_split(text, chr(10)) AS lines FROM ({texts})),
+        totals AS (SELECT host, count(*) AS total FROM docs GROUP BY host),
+        once AS (SELECT DISTINCT doc_id, host, line FROM (SELECT doc_id, host, unnest(lines) AS line FROM docs) WHERE length(trim(line, ' ')) > 0),
+        counts AS (SELECT host, line, count(*) AS pages FROM once GROUP BY host, line HAVING count(*) >= 2),
+        flagged AS (SELECT c.host, list(c.line) AS gone FROM counts c JOIN totals t ON c.host IS NOT DISTINCT FROM t.host WHERE c.pages > 0.1 * t.total GROUP BY c.host),
+        kept AS (SELECT d.doc_id, d.host, d.text AS before, d.lines,
+                 CASE WHEN f.gone IS NULL THEN d.text ELSE array_to_string(list_filter(d.lines, lambda x: NOT list_contains(f.gone, x)), chr(10)) END AS text
+                 FROM docs d LEFT JOIN flagged f ON d.host IS NOT DISTINCT FROM f.host)
+        {result}
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": f"""
         WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -97,15 +120,13 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR words IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, words
         FROM judged
     """,
-    "op10_line_dedup": """
-        WITH docs AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
-        totals AS (SELECT source, count(*) AS total FROM docs GROUP BY source),
-        once AS (SELECT DISTINCT doc_id, source, line FROM (SELECT doc_id, source, unnest(lines) AS line FROM docs) WHERE length(trim(line, ' ')) > 0),
-        counts AS (SELECT source, line, count(*) AS pages FROM once GROUP BY source, line HAVING count(*) >= 5),
-        flagged AS (SELECT c.source, list(c.line) AS gone FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source WHERE c.pages > 0.1 * t.total GROUP BY c.source),
-        kept AS (SELECT d.doc_id, d.source, d.text AS before, d.lines,
-                 CASE WHEN f.gone IS NULL THEN d.text ELSE array_to_string(list_filter(d.lines, lambda x: NOT list_contains(f.gone, x)), chr(10)) END AS text
-                 FROM docs d LEFT JOIN flagged f ON d.source IS NOT DISTINCT FROM f.source)
-        SELECT doc_id, source, len(lines)::BIGINT AS n_lines, (length(before) - length(text))::BIGINT AS n_chars_removed, sha256(text) AS kept_sha256 FROM kept
-    """,
+    "op10_line_dedup": _lines_sql(
+        "SELECT doc_id, source AS host, text FROM documents",
+        "SELECT doc_id, host AS source, len(lines)::BIGINT AS n_lines, (length(before) - length(text))::BIGINT AS n_chars_removed, sha256(text) AS kept_sha256 FROM kept",
+    ),
+    "page_line_dedup": _lines_sql(
+        """SELECT page_id AS doc_id, html AS text, translate(regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^([^/?#]*)', 1),
+                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM pages""",
+        "SELECT doc_id AS page_id, host, (length(before) - length(text))::BIGINT AS n_chars_removed, sha256(text) AS kept_sha256 FROM kept",
+    ),
 }

@@ -21,11 +21,9 @@ from pyspark.sql import functions as F
 from codesift.llm import tokens
 from codesift.llm.components import components
 from codesift.llm.repeats import spark_schema
-from codesift.llm.tables import identified, written
+from codesift.llm.tables import columns, free_name, identified, numbered, written
 
 U64 = np.uint64
-#: Points of a tree node that are compared one by one instead of being split further.
-LEAF = 16
 #: Fingerprints a shard may hold; a larger shard is dealt out as pairs of blocks of that size.
 SHARD = 20_000
 #: Bands of minima, and minima in a band: Jaccard 0.8 shares no band with probability 0.0008.
@@ -58,15 +56,15 @@ def simhash(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_uid, _ord, _id and fingerprint (8 bytes a lane, least significant first) of each row."""
-    schema = pa.schema([("_uid", pa.int64()), ("_ord", pa.int64()), ("_id", pa.int64()), ("fingerprint", pa.binary())])
+    """_id and fingerprint (8 bytes a lane, most significant first) of each row."""
+    schema = pa.schema([("_id", pa.int64()), ("fingerprint", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [simhash(shingle_hashes(t.as_py(), words), lanes).tobytes() for t in tokens.binary(batch.column("_text"))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("_uid", "_ord", "_id")), pa.array(prints, pa.binary())], schema=schema)
+            prints = [simhash(shingle_hashes(t.as_py(), words), lanes).byteswap().tobytes() for t in tokens.binary(batch.column("_text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(prints, pa.binary())], schema=schema)
 
-    return identified(docs, id_col, text_col).mapInArrow(run, spark_schema(schema))
+    return columns(docs, id_col, text_col).mapInArrow(run, spark_schema(schema))
 
 
 def exact_keys(n: int, bits: int, radius: int) -> list[np.ndarray]:
@@ -97,38 +95,37 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def tree_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def tree_links(points: np.ndarray, radius: int, visits: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect all points within the radius of each other: a spanning forest, no more.
 
-    A BK-tree: the first point of a node is its root, the others go to the
-    child with their distance to it.  All points search the tree together and
-    follow only the edges whose key is within ``radius`` of their distance.
+    A BK-tree: the first point of a node is its parent, the others go to the
+    child keyed by their distance to it.  The points that search a node
+    together follow only the edges whose key is within ``radius`` of their own
+    distance.  ``visits`` gets the points that each node was compared with.
     """
     group, links = np.arange(len(points)), []
-
-    def connect(i: int, found: np.ndarray) -> None:
-        for j in found[group[found] != group[i]].tolist():
-            if group[j] != group[i]:
-                links.append((i, j))
-                group[group == group[j]] = group[i]
-
     everyone = np.arange(len(points))
     todo = [(everyone, everyone)]
     while todo:
         node, seekers = todo.pop()
-        if node.size <= LEAF:
-            near = distance(points[seekers][:, None], points[node][None]) <= radius
-            near &= group[seekers][:, None] != group[node][None]
-            for k in np.flatnonzero(near.any(axis=0)).tolist():
-                connect(int(node[k]), seekers[near[:, k]])
-            continue
-        root, rest = int(node[0]), node[1:]
-        to_root, edge = distance(points[seekers], points[root]), distance(points[rest], points[root])
-        connect(root, seekers[to_root <= radius])
-        for key in np.unique(edge).tolist():
-            follow = seekers[np.abs(to_root - key) <= radius]
-            if follow.size:
-                todo.append((rest[edge == key], follow))
+        parent, rest = int(node[0]), node[1:]
+        to_parent = distance(points[seekers], points[parent])
+        if visits is not None:
+            visits.append(seekers.size)
+        found = seekers[to_parent <= radius]
+        for j in found[group[found] != group[parent]].tolist():
+            if group[j] != group[parent]:
+                links.append((parent, j))
+                group[group == group[j]] = group[parent]
+        if rest.size:
+            edge = distance(points[rest], points[parent])
+            order = np.argsort(edge, kind="stable")
+            rest, edge = rest[order], edge[order]
+            first = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1]]))
+            for lo, hi in zip(first.tolist(), [*first[1:].tolist(), edge.size], strict=True):
+                follow = seekers[np.abs(to_parent - edge[lo]) <= radius]
+                if follow.size > 1 or follow.size and follow[0] != rest[lo]:
+                    todo.append((rest[lo:hi], follow))
     return links
 
 
@@ -218,20 +215,21 @@ def shard_links(dealt: DataFrame, radius: int, rooted: bool = False) -> DataFram
     return dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, spark_schema(schema))
 
 
-def near_groups(prints: DataFrame, radius: int) -> DataFrame:
-    """_uid, _ord, _id, fingerprint and root (equal within a component) of the rows of ``fingerprints()``.
+def near_groups(nodes: DataFrame, radius: int) -> DataFrame:
+    """fingerprint, least and component_id of ``nodes`` (one row a fingerprint, with the least id that has it).
 
-    Fingerprints link at ``radius`` or fewer differing bits.  Equal ones are
-    one node.  Every link is found.
+    component_id is the least id of all fingerprints that links of ``radius`` or
+    fewer differing bits reach.  Every link is found.  Each join is of two
+    written tables, so that a component of any size is dealt to many tasks.
     """
-    prints = written(prints, "fingerprints")
-    nodes = written(prints.groupBy("fingerprint").agg(F.min("_uid").alias("node")), "nodes")
+    nodes = written(nodes.withColumn("node", F.conv(F.hex("fingerprint"), 16, -10).cast("long")), "nodes")
     some = nodes.agg(F.count("node"), F.max(F.length("fingerprint"))).first()
     n, bits = some[0], 8 * (some[1] or 8)
     run, schema = deal(exact_keys(n, bits, radius))
-    roots = components(shard_links(nodes.mapInArrow(run, spark_schema(schema)), radius))
-    found = nodes.join(roots, "node", "left").select("fingerprint", F.coalesce("root", "node").alias("root"))
-    return prints.join(found, "fingerprint")
+    roots = components(shard_links(nodes.select("node", "fingerprint").mapInArrow(run, spark_schema(schema)), radius))
+    rooted = written(nodes.join(roots, "node", "left").select("fingerprint", "least", F.coalesce("root", "node").alias("root")), "rooted")
+    least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    return written(rooted.join(least, "root").select("fingerprint", "component_id"), "groups")
 
 
 def profiles(rows: DataFrame, words: int, lanes: int) -> DataFrame:
@@ -274,7 +272,7 @@ def alike(links: DataFrame, rows: DataFrame, words: int, similarity: float) -> D
 
 
 def simhash_dedup(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (binary, least significant byte first) and component_id of every row.
+    """doc_id, fingerprint (binary, most significant byte first) and component_id of every row.
 
     Texts are lower-cased (A-Z) and cut into words ``[^\\x20\\x09-\\x0D]+`` and
     ``words``-word shingles, repeats included; a shorter text is one shingle.
@@ -285,9 +283,9 @@ def simhash_dedup(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str
     component_id, unless its component has no other.  An empty table gives an
     empty result; other columns are not read.
     """
-    rows = near_groups(fingerprints(docs, words, 1, id_col, text_col), radius)
-    least = rows.groupBy("root").agg(F.min("_id").alias("component_id"))
-    return rows.join(least, "root").select(F.col("_id").alias("doc_id"), "fingerprint", "component_id")
+    prints = written(fingerprints(docs, words, 1, id_col, text_col), "fingerprints")
+    found = near_groups(prints.groupBy("fingerprint").agg(F.min("_id").alias("least")), radius)
+    return prints.join(found, "fingerprint").select(F.col("_id").alias("doc_id"), "fingerprint", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,17 +299,22 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     links candidates by forests; a second takes all candidates that the checked
     links of the first leave apart.
 
-    Empty texts are copies of each other.  Rows repeated with equal ids keep the first.
+    Null and empty texts are copies of each other, as are texts of fewer words
+    than a shingle only if equal.  Of rows with equal ids the first of the table
+    stays, null ids come first, an empty table gives an empty result, other
+    columns are passed on whatever their names.
     """
     bits = 256
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.floor(bits * angle + 5 * math.sqrt(bits * angle * (1 - angle)))
-    rows = identified(docs, id_col, text_col)
-    known = written(profiles(rows, words, bits // 64), "profiles")
-    nodes = written(known.groupBy("digest").agg(F.min("_uid").alias("node"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("keys").alias("keys")), "nodes")
+    uid = free_name(docs, "_cs_uid")
+    docs = numbered(docs, uid)
+    rows = identified(docs, id_col, text_col, uid)
+    known = profiles(rows, words, bits // 64).groupBy("digest")
+    nodes = written(known.agg(F.min("_uid").alias("node"), F.min(F.struct("_ord", "_uid")).alias("first"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("keys").alias("keys")), "nodes")
     links = alike(shard_links(nodes.select(F.explode("keys").alias("key"), "node", "fingerprint"), radius), rows, words, similarity)
     apart = nodes.join(components(links), "node", "left").select(F.explode("keys").alias("key"), "node", "fingerprint", F.coalesce("root", "node").alias("root"))
     links = links.unionByName(alike(shard_links(apart, radius, rooted=True), rows, words, similarity))
-    found = nodes.join(components(links), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    keep = known.join(found, "digest").groupBy("root").agg(F.min(F.struct("_ord", "_uid"))["_uid"].alias("_cs_uid")).select("_cs_uid")
-    return docs.withColumn("_cs_uid", F.monotonically_increasing_id()).join(keep, "_cs_uid", "left_semi").drop("_cs_uid")
+    found = nodes.join(components(links), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
+    keep = written(found.groupBy("root").agg(F.min("first")["_uid"].alias(uid)).select(uid), "kept")
+    return docs.join(keep, uid, "left_semi").drop(uid)
