@@ -9,6 +9,7 @@ bound goes, whole, to the section that holds most of its characters.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,14 +26,37 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: Characters of a run of white space that the pattern is not asked to match: its look-ahead steps back over each of them.
+LONG_RUN = 10_000
+#: Unicode's White_Space characters (fixed values).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A long run, less its last character if other text follows: what ``\\s+(?!\\S)`` cuts off as one piece.
+LONG_PIECE = re.compile(f"[{WHITE}]{{{LONG_RUN},}}(?![^{WHITE}])")
+
+
 @lru_cache(maxsize=1)
-def encoding(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The encoding, and the bytes of each token."""
+def encoding(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, tiktoken.Encoding, np.ndarray]:
+    """The encoding, one that takes any text as a single piece, and the bytes of each token."""
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     size = np.zeros(max(table.values()) + 1, dtype=np.int64)
     for token, rank in table.items():
         size[rank] = len(token)
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={}), size
+    own, whole = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=table, special_tokens={}) for p in (pattern, r"[\s\S]+"))
+    return own, whole, size
+
+
+def encoded(text: str, encode: tiktoken.Encoding, whole: tiktoken.Encoding, pattern: str) -> np.ndarray:
+    """The tokens of a whole text.
+
+    Long runs of white space are cut off where the pattern cuts them, as it
+    cannot match runs of a million characters itself; tokens are the same.
+    """
+    parts, at = [], 0
+    for run in LONG_PIECE.finditer(text) if r"\s+(?!\S)" in pattern else ():
+        parts += [encode.encode_to_numpy(text[at : run.start()], disallowed_special=()), whole.encode_to_numpy(run[0], disallowed_special=())]
+        at = run.end()
+    parts.append(encode.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(parts).astype(np.int64)
 
 
 def line_bounds(text: bytes) -> np.ndarray:
@@ -66,7 +90,9 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
 
     One row for each section of each row.  Null and empty texts are one empty
     section without tokens; repeated rows repeat the result; null ids are passed
-    on; an empty table gives an empty result; other columns are not read.  The
+    on; an empty table gives an empty result; other columns are not read.  Bytes
+    that are not UTF-8 are read as U+FFFD, and begin and end count the bytes of
+    the text so read.  A text of white space alone, of any length, is tokens like any other.  The
     vocabulary file, a few MB at any corpus size, is read by the driver and broadcast.
     """
     spark = docs.sparkSession
@@ -75,14 +101,17 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = P
     names = ("doc_id", "section", "begin", "end", "n_tokens", "n_crossing", "doc_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = encoding(held.value, pattern)
+        encode, whole, size = encoding(held.value, pattern)
         for batch in batches:
             ids = batch.column("_id").to_pylist()
             texts = tokens.binary(batch.column("_text"))
             for at in range(0, len(ids), 256):
                 doc, parts = [], []
                 for d, text in zip(ids[at : at + 256], texts.slice(at, 256).to_pylist(), strict=True):
-                    found = encode.encode_to_numpy(text.decode(), disallowed_special=()).astype(np.int64) if text else np.zeros(0, np.int64)
+                    read = text.decode(errors="replace")
+                    if "\ufffd" in read:
+                        text = read.encode()
+                    found = encoded(read, encode, whole, pattern)
                     bounds = line_bounds(text)
                     n = bounds.size - 1
                     section, crosses = owners(text, np.cumsum(size[found]), bounds, rule) if found.size else (found, np.zeros(0, bool))
