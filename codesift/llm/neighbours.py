@@ -2,17 +2,20 @@
 
 A table has k hash functions floor((a . u + b) / w) of unit vectors u.  For each
 query the cells of all functions are weighed by the chance that a neighbour
-falls there, given its expected cosine; buckets, combinations of cells, are
-visited in the order of that chance until the wanted success is reached, so a
-query with close neighbours visits few and one without visits many.  Tables are
-merged and the candidates ranked by their true cosine.
-
-Equal vectors are one candidate.  A bucket is scored as a matrix product where
-it lies, and only the best of it leave, so pairs are never written out.
+falls there, given its expected cosine.  Buckets, combinations of cells, are
+visited in the order of that chance: a heap holds the next-best perturbations,
+each popped set gives at most three more, and the search ends at the wanted
+success.  A query with close neighbours visits few buckets and one without
+visits many.  Tables are merged and the candidates ranked by their true cosine.
+
+k follows the number of vectors, the number of tables is that of the least
+estimated work.  Equal vectors are one candidate.  A bucket is scored as a
+matrix product where it lies, and only the best of it leave, so pairs are never written out.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -23,65 +26,115 @@ from pyspark.sql import functions as F
 
 from codesift.llm.tables import written
 
-TABLES, WIDTH = 2, 3.0
+WIDTH = 3.0
 #: Vectors of a bucket, about; hash functions that vary within a shard, the unit of a task's memory.
 BUCKET, INNER = 48, 5
 #: Estimated success of a query's search over all tables.
 SUCCESS = 0.99
 #: Vectors on which the expected cosine of a neighbour is fitted, and how many of them are queries.
 SAMPLE, SAMPLE_QUERIES = 20_000, 200
-#: Queries of a block of the exact search for queries that found too few.
-EXACT_BLOCK = 2048
+#: Numbers of tables to choose from, and queries of the sample that the choice is made on.
+TABLES, TRIALS = (1, 2, 3, 4), 24
+#: Vectors of a block of the exact search for queries that found too few.
+EXACT_BLOCK = 4096
+#: Cells of a function that have a bucket of their own; those beyond share the outermost.
+CELLS = 16
+WORD = (1 << 64) - 1
 
 
 class Hashes:
-    """The tables' functions, the same for the same dimension and k."""
+    """The tables' functions, the same for the same dimension, k and number of tables.
+
+    A bucket's code is the sum of random words for its cells, so that k has no
+    bound; a shard's is that of the first functions.  Two buckets of one code
+    would just be visited together.
+    """
 
-    def __init__(self, dim: int, k: int, cosine: float):
+    def __init__(self, dim: int, k: int, tables: int, cosine: float):
         rng = np.random.default_rng(42)
-        self.k, self.inner, self.cosine = k, min(INNER, k - 1), cosine
-        self.a = rng.standard_normal((TABLES, dim, k))
-        self.b = rng.uniform(0, WIDTH, (TABLES, k))
-
-    def codes(self, unit: np.ndarray, table: int) -> np.ndarray:
-        """A bucket's cells, four bits each."""
-        cells = np.clip(np.floor((unit @ self.a[table] + self.b[table]) / WIDTH).astype(np.int64) + 8, 0, 15)
-        return (cells << (4 * np.arange(self.k - 1, -1, -1))).sum(axis=1)
-
-    def probes(self, unit: np.ndarray, table: int) -> np.ndarray:
-        """The buckets of one query in the order of estimated success, as many as needed."""
-        at = unit @ self.a[table]
+        self.k, self.outer, self.cosine, self.tables = k, k - min(INNER, k - 1), cosine, tables
+        self.a = rng.standard_normal((tables, dim, k))
+        self.b = rng.uniform(0, WIDTH, (tables, k))
+        self.names = rng.integers(0, 1 << 64, (k, CELLS), dtype=np.uint64)
+
+    def codes(self, unit: np.ndarray, table: int) -> tuple[np.ndarray, np.ndarray]:
+        """Shards and buckets."""
+        cells = np.clip(np.floor((unit @ self.a[table] + self.b[table]) / WIDTH).astype(np.int64) + CELLS // 2, 0, CELLS - 1)
+        names = self.names[np.arange(self.k), cells]
+        return names[:, : self.outer].sum(axis=1, dtype=np.uint64).view(np.int64), names.sum(axis=1, dtype=np.uint64).view(np.int64)
+
+    def chances(self, at: np.ndarray, table: int) -> list[list[tuple[float, float, int]]]:
+        """For each function its cells, likeliest first: loss of log-chance against the best cell, share of all vectors, word."""
         spread = math.sqrt(max(1 - self.cosine**2, 1e-4))
-        total_log, total_code = np.zeros(1), np.zeros(1, dtype=np.int64)
-        for i in range(self.k):
-            own = math.floor((at[i] + self.b[table, i]) / WIDTH)
-            cells = np.arange(own - 3, own + 4)
-            edges = np.append(cells, cells[-1] + 1) * WIDTH - self.b[table, i]
-            below = np.array([0.5 * (1 + math.erf((e - self.cosine * at[i]) / spread / math.sqrt(2))) for e in edges])
-            chance = np.diff(below)
-            some = chance > 1e-3
-            shift = 4 * (self.k - 1 - i)
-            total_log = (total_log[:, None] + np.log(chance[some])[None]).ravel()
-            total_code = (total_code[:, None] + (np.clip(cells[some] + 8, 0, 15) << shift)[None]).ravel()
-        order = np.argsort(-total_log, kind="stable")
-        reached = np.cumsum(np.exp(total_log[order]))
-        wanted = 1 - (1 - SUCCESS) ** (1 / TABLES)
-        return total_code[order[: int(np.searchsorted(reached, wanted)) + 1]]
-
-    def shard(self, codes: np.ndarray) -> np.ndarray:
-        return codes >> (4 * self.inner)
+        normal = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+        found = []
+        for i, x in enumerate(at.tolist()):
+            own = math.floor((x + self.b[table, i]) / WIDTH)
+            edges = [c * WIDTH - self.b[table, i] for c in range(own - 3, own + 5)]
+            near = [normal((e - self.cosine * x) / spread) for e in edges]
+            every = [normal(e) for e in edges]
+            cells = [(max(near[j + 1] - near[j], 1e-300), every[j + 1] - every[j], int(self.names[i, min(max(own - 3 + j + CELLS // 2, 0), CELLS - 1)])) for j in range(7)]
+            cells.sort(reverse=True)
+            found.append([(math.log(p), share, name) for p, share, name in cells if p > 1e-3 or p == cells[0][0]])
+        return found
+
+    def probes(self, unit: np.ndarray, table: int) -> tuple[list[int], list[int], float]:
+        """Shards and buckets of one query in the order of estimated success, as many as needed, and their share of all vectors."""
+        cells = self.chances(unit @ self.a[table], table)
+        order = sorted(range(self.k), key=lambda i: cells[i][0][0] - cells[i][1][0] if len(cells[i]) > 1 else math.inf)
+        loss = [[c[0][0] - x[0] for x in c] for c in (cells[i] for i in order)]
+        ratio = [[x[1] / max(c[0][1], 1e-300) for x in c] for c in (cells[i] for i in order)]
+        code = [[x[2] - c[0][2] for x in c] for c in (cells[i] for i in order)]
+        in_shard = [i < self.outer for i in order]
+        best = math.exp(sum(c[0][0] for c in cells))
+        share = math.prod(c[0][1] for c in cells)
+        shard, bucket = sum(c[0][2] for c in cells[: self.outer]), sum(c[0][2] for c in cells)
+        wanted = 1 - (1 - SUCCESS) ** (1 / self.tables)
+        shards, buckets, reached, mass = [shard & WORD], [bucket & WORD], best, share
+        free = sum(len(x) > 1 for x in loss)
+        # A set of perturbations: cost, its last function, that function's cell, and the sums; functions come by the cost of their second cell.
+        heap = [(loss[0][1], 0, 1, shard + (code[0][1] if in_shard[0] else 0), bucket + code[0][1], share * ratio[0][1])] if free else []
+        while heap and reached < wanted:
+            cost, j, r, s, b, m = heapq.heappop(heap)
+            shards.append(s & WORD)
+            buckets.append(b & WORD)
+            reached += best * math.exp(-cost)
+            mass += m
+            here, held = code[j], in_shard[j]
+            if r + 1 < len(here):
+                step = here[r + 1] - here[r]
+                heapq.heappush(heap, (cost + loss[j][r + 1] - loss[j][r], j, r + 1, s + step if held else s, b + step, m * ratio[j][r + 1] / ratio[j][r] if ratio[j][r] else 0.0))
+            if j + 1 < free:
+                step = code[j + 1][1]
+                heapq.heappush(heap, (cost + loss[j + 1][1], j + 1, 1, s + step if in_shard[j + 1] else s, b + step, m * ratio[j + 1][1]))
+                if r == 1:
+                    back = here[1]
+                    heapq.heappush(heap, (cost + loss[j + 1][1] - loss[j][1], j + 1, 1, (s - back if held else s) + (step if in_shard[j + 1] else 0), b - back + step, m * ratio[j + 1][1] / ratio[j][1] if ratio[j][1] else 0.0))
+        return shards, buckets, mass
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), dtype=np.float64) if len(column) else np.zeros((0, 1))
+    """The lists of a column, of equal length, as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two that keep squares within range; cosines stay what they are."""
+    _, exponent = np.frexp(np.abs(vectors).max(axis=-1, keepdims=True))
+    return np.ldexp(vectors, -exponent)
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    v = scaled(vectors)
+    return v / np.sqrt((v * v).sum(axis=-1, keepdims=True))
 
 
-def cosine(a: np.ndarray, b: np.ndarray) -> float:
-    return float(a @ b / (math.sqrt(a @ a) * math.sqrt(b @ b)))
+def cosines(vector: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The cosine of one vector and each of the others, by the same sums wherever it is computed."""
+    a, b = scaled(vector), scaled(others)
+    return (b * a).sum(axis=1) / (math.sqrt((a * a).sum()) * np.sqrt((b * b).sum(axis=1)))
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -93,11 +146,14 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy("_id").agg(F.min("_vec").alias("_vec"))
 
 
-def expected_cosine(classes: DataFrame, n: int, top: int) -> float:
-    """A low quartile of the cosine of the last wanted neighbour, among a bounded sample."""
+def sampled(classes: DataFrame, n: int) -> np.ndarray:
+    """Unit vectors, about ``SAMPLE`` of all."""
     share = min(1.0, SAMPLE / max(n, 1))
-    rows = classes.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(1_000_000 * share)).select("class", "_vec").orderBy("class").toArrow()
-    u = units(matrix(rows.column("_vec")))
+    return units(matrix(classes.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(1_000_000 * share)).select("class", "_vec").orderBy("class").toArrow().column("_vec")))
+
+
+def expected_cosine(u: np.ndarray, top: int) -> float:
+    """A low quartile of the cosine of the last wanted neighbour, among a bounded sample."""
     if len(u) <= top:
         return 0.0
     found = []
@@ -106,15 +162,30 @@ def expected_cosine(classes: DataFrame, n: int, top: int) -> float:
     return float(np.clip(np.percentile(found, 25), 0.0, 0.999))
 
 
+def plan(own: DataFrame, dim: int, n: int, top: int) -> Hashes:
+    """The hash functions: k by the number of vectors, tables by the least share of vectors that sampled queries would visit."""
+    k = max(2, round(math.log2(max(n / BUCKET, 4))))
+    sample = sampled(own, n)
+    cosine = expected_cosine(sample, top)
+    best = None
+    for tables in TABLES:
+        hashes = Hashes(dim, k, tables, cosine)
+        some = sample[:: max(1, len(sample) // TRIALS)][:TRIALS]
+        work = sum(n * mass + len(buckets) for u in some for t in range(tables) for _, buckets, mass in [hashes.probes(u, t)])
+        if best is None or work < best[0]:
+            best = (work, hashes)
+    return best[1]
+
+
 def index_rows(hashes: Hashes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 u = units(matrix(batch.column("_vec")))
-                for t in range(TABLES):
-                    codes = hashes.codes(u, t)
+                for t in range(hashes.tables):
+                    shards, codes = hashes.codes(u, t)
                     none = pa.array([None] * len(codes), pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t)), pa.array(hashes.shard(codes)), pa.array(codes), batch.column("class"), batch.column("_vec"), none], names=["lsh", "shard", "code", "class", "_vec", "probes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t)), pa.array(shards), pa.array(codes), batch.column("class"), batch.column("_vec"), none], names=["lsh", "shard", "code", "class", "_vec", "probes"])
 
     return run
 
@@ -126,11 +197,13 @@ def probe_rows(hashes: Hashes):
         for batch in batches:
             vectors = batch.column("_vec").to_pylist()
             for c, v, u in zip(batch.column("class").to_pylist(), vectors, units(matrix(batch.column("_vec"))) if vectors else [], strict=True):
-                for t in range(TABLES):
-                    codes = np.sort(hashes.probes(u, t))
-                    shards, first = np.unique(hashes.shard(codes), return_index=True)
+                for t in range(hashes.tables):
+                    shard, code, _ = hashes.probes(u, t)
+                    shard, code = (np.array(x, dtype=np.uint64).view(np.int64) for x in (shard, code))
+                    order = np.argsort(shard, kind="stable")
+                    shards, first = np.unique(shard[order], return_index=True)
                     size = len(shards)
-                    lists = pa.array(np.split(codes, first[1:]), pa.list_(pa.int64()))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(first, shard.size).astype(np.int32)), pa.array(code[order]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(size, t)), pa.array(shards), pa.array([None] * size, pa.int64()), pa.array([c] * size, pa.int64()), pa.array([v] * size, pa.list_(pa.float64())), lists], names=["lsh", "shard", "code", "class", "_vec", "probes"])
 
     return run
@@ -140,14 +213,16 @@ SHARD_ROW = "lsh long, shard long, code long, class long, _vec array<double>, pr
 FOUND_ROW = "query long, class long, score double"
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, top: int) -> np.ndarray:
-    """Places of the ``top`` best: score descending, then id; ties at the border are kept in full order."""
-    if scores.size > top:
-        border = np.partition(scores, -top)[-top]
-        some = np.flatnonzero(scores >= border - 1e-12)
-    else:
-        some = np.arange(scores.size)
-    return some[np.lexsort((ids[some], -scores[some]))][:top]
+def best_of(near: np.ndarray, vector: np.ndarray, points: np.ndarray, ids: np.ndarray, where: np.ndarray, top: int) -> list[tuple[int, float]]:
+    """The ``top`` best of ``points[where]``: id and cosine, the largest cosine first, then the smaller id.
+
+    ``near`` are their cosines as the matrix product rounds them: all within a margin of the border are ranked by the exact measure.
+    """
+    if near.size > top:
+        where = where[near >= np.partition(near, -top)[-top] - 1e-9]
+    exact = cosines(vector, points[where])
+    order = np.lexsort((ids[where], -exact))[:top]
+    return list(zip(ids[where[order]].tolist(), exact[order].tolist(), strict=True))
 
 
 def score_shards(top: int):
@@ -198,28 +273,25 @@ def score_shards(top: int):
                 rows = []
                 for j, parts in enumerate(found):
                     if parts:
-                        score = np.concatenate([p[0] for p in parts])
+                        near = np.concatenate([p[0] for p in parts])
                         where = np.concatenate([np.arange(p[1], p[2]) for p in parts])
-                        rows += [(int(ids[j]), int(own[k]), cosine(vectors[j], points[k])) for k in where[best_of(score, own[where], top)].tolist()]
+                        rows += [(int(ids[j]), *x) for x in best_of(near, vectors[j], points, own, where, top)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "class", "score"])
 
     return run
 
 
-def scan(ids: np.ndarray, vectors: np.ndarray, top: int):
-    """The exact best of every partition for a block of queries."""
+def searched(dealt: DataFrame, top: int) -> DataFrame:
+    return dealt.repartition("lsh", "shard").sortWithinPartitions("lsh", "shard", F.col("code").isNull()).mapInArrow(score_shards(top + 1), FOUND_ROW)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q = units(vectors)
-        for batch in batches:
-            own, points = batch.column("class").to_numpy(), matrix(batch.column("_vec"))
-            if len(own):
-                near = q @ units(points).T
-                rows = [(int(ids[j]), int(own[k]), cosine(vectors[j], points[k])) for j in range(len(ids)) for k in best_of(near[j], own, top).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "class", "score"])
 
-    return run
+def exact(own: DataFrame, seekers: DataFrame, n: int, top: int) -> DataFrame:
+    """A few queries against all vectors, block by block: a query goes to every block."""
+    blocks = math.ceil(n / EXACT_BLOCK)
+    rows = own.select(F.lit(0).cast("long").alias("lsh"), F.pmod(F.xxhash64("class"), F.lit(blocks)).alias("shard"), F.lit(0).cast("long").alias("code"), "class", "_vec", F.lit(None).cast("array<long>").alias("probes"))
+    asked = seekers.select(F.lit(0).cast("long").alias("lsh"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("shard"), F.lit(None).cast("long").alias("code"), "class", "_vec", F.array(F.lit(0).cast("long")).alias("probes"))
+    return searched(rows.unionByName(asked), top)
 
 
 def nearest(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -243,23 +315,13 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "ve
     for dim, n in sorted((r.dim, r.n) for r in classes.groupBy("dim").agg(F.count("class").alias("n")).collect()):
         own = classes.where(F.col("dim") == dim)
         seekers = own.join(asked.select("class").distinct(), "class", "left_semi").select("class", "_vec")
-        k = min(15, max(2, round(math.log2(max(n / BUCKET, 4)))))
-        hashes = Hashes(dim, k, expected_cosine(own, n, top))
+        hashes = plan(own, dim, n, top)
         dealt = own.select("class", "_vec").mapInArrow(index_rows(hashes), SHARD_ROW).unionByName(seekers.mapInArrow(probe_rows(hashes), SHARD_ROW))
-        hits = written(dealt.repartition("lsh", "shard").sortWithinPartitions("lsh", "shard", F.col("code").isNull()).mapInArrow(score_shards(top + 1), FOUND_ROW).distinct(), "candidates")
+        hits = written(searched(dealt, top).distinct(), "candidates")
         reached = hits.join(own.select("class", F.size("ids").alias("m")), "class").groupBy("query").agg(F.sum("m").alias("m"))
         poor = written(seekers.join(reached.where(F.col("m") > top), F.col("class") == F.col("query"), "left_anti"), "poor")
-        block: list = []
-
-        def scanned(block: list) -> DataFrame:
-            ids = np.array([r[0] for r in block])
-            return own.select("class", "_vec").mapInArrow(scan(ids, np.array([r[1] for r in block], dtype=np.float64), top + 1), FOUND_ROW)
-
-        for r in poor.toLocalIterator():
-            block.append((r["class"], r["_vec"]))
-            if len(block) == EXACT_BLOCK:
-                hits, block = hits.unionByName(scanned(block)), []
-        hits = hits.unionByName(scanned(block)) if block else hits
+        if not poor.isEmpty():
+            hits = hits.unionByName(exact(own, poor, n, top))
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
