@@ -19,10 +19,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codesift.llm.tables import identified, n_words, written
+from codesift.llm.tables import free_name, n_words, numbered, written
 
 #: Documents of a block of the flight; 24 bytes each.
 BLOCK = 4096
+#: Sources that can be mixed: their list, about 100 bytes each, is held on the driver and broadcast.
+MOST_SOURCES = 200_000
 EXACT = 1e-9
 #: Documents of a block that do not fly and, with the two the flight leaves, land together or go to the next level.
 GROUND = 12
@@ -98,14 +100,21 @@ def fly(last: bool):
     return run
 
 
-def copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """_uid, _id, size, source_size, target and copies of every row; ``mix`` describes them.
+def copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", uid_col: str | None = None) -> DataFrame:
+    """_uid (or ``uid_col``), _id, size, source_size, target and copies of every row; ``mix`` describes them.
 
-    The list of sources, which the weights are given for, is held on the driver; documents never are.
+    The list of sources, which the weights are given for, is held on the driver
+    and may have ``MOST_SOURCES``; documents never are.  Blocks are dealt by id
+    and text; rows that are alike in both are dealt by their number where there are more than fit a block.
     """
-    rows = identified(docs.select(F.col(f"`{id_col}`"), F.struct(F.col(f"`{text_col}`").alias("t"), F.col(f"`{source_col}`").cast("string").alias("s")).alias("_pair")), id_col, "_pair")
-    rows = written(rows.select("_uid", "_ord", "_id", F.col("_text.s").alias("_source"), n_words(F.col("_text.t")).alias("size")), "sizes")
-    sources = sorted(rows.groupBy("_source").agg(F.sum("size").alias("size"), F.count("size").alias("n")).collect(), key=lambda r: (r._source is None, (r._source or "").encode()))
+    chosen = [F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text_col}`").alias("_text"), F.col(f"`{source_col}`").cast("string").alias("_source")]
+    rows = numbered(docs.select(*chosen), "_uid") if uid_col is None else docs.select(F.col(f"`{uid_col}`").alias("_uid"), *chosen)
+    order = F.coalesce("_id", F.lit(-(1 << 63)))
+    rows = written(rows.select("_uid", order.alias("_ord"), "_id", "_source", n_words(F.col("_text")).alias("size"), F.xxhash64(order, "_text", F.lit(seed)).alias("place")), "sizes")
+    by_source = written(rows.groupBy("_source").agg(F.sum("size").alias("size"), F.count("size").alias("n")), "sources")
+    if (found := by_source.count()) > MOST_SOURCES:
+        raise ValueError(f"{found} sources; a mix can have {MOST_SOURCES}")
+    sources = sorted(by_source.collect(), key=lambda r: (r._source is None, (r._source or "").encode()))
     due = targets([r.size for r in sources], [weights[i % len(weights)] for i in range(len(sources))], most)
     plan = []
     for i, (r, t) in enumerate(zip(sources, due, strict=True)):
@@ -116,7 +125,10 @@ def copies(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float =
         return rows.select("_uid", "_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"))
     table = docs.sparkSession.createDataFrame(plan, "source int, _name string, source_size long, target double, whole long, p double, blocks long")
     rows = rows.join(F.broadcast(table), F.col("_source").eqNullSafe(F.col("_name"))).drop("_source", "_name")
-    rows = rows.withColumn("place", F.xxhash64("_ord", F.lit(seed)))
+    # At most (rows / BLOCK) places are over the limit.
+    alike = written(rows.groupBy("source", "place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select(F.col("source").alias("_hot"), F.col("place").alias("_at")), "alike")
+    if not alike.isEmpty():
+        rows = rows.join(alike, (F.col("source") == F.col("_hot")) & (F.col("place") == F.col("_at")), "left").withColumn("place", F.when(F.col("_at").isNull(), F.col("place")).otherwise(F.xxhash64("place", "_uid"))).drop("_hot", "_at")
     blocks, done, level = max(p[6] for p in plan), None, 0
     schema = "source int, block long, _uid long, _ord long, size long, place long, p double"
     small = rows.select("source", F.pmod("place", F.col("blocks")).alias("block"), "_uid", "_ord", "size", "place", "p", "blocks")
@@ -147,8 +159,11 @@ def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: the rows of ``docs``, all columns, each as often as it is taken, and ``copy`` (from 1)."""
-    taken = copies(docs, weights, most, seed, id_col, text_col, source_col).where("copies > 0").select(F.struct("_uid", "copies").alias("_cs_taken"))
-    rows = docs.withColumn("_cs_uid", F.monotonically_increasing_id())
-    joined = rows.join(taken, F.col("_cs_uid") == F.col("_cs_taken._uid"))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_cs_taken.copies").cast("int")))).drop("_cs_uid", "_cs_taken")
+    """The mix itself: the rows of ``docs``, all columns, each as often as it is taken, and ``copy`` (from 1).
+
+    Where the rows have a column ``copy`` it stays, and the number's name is ``copy_2`` (or the first such that is free).
+    """
+    uid, times, copy = (free_name(docs, n) for n in ("_cs_uid", "_cs_times", "copy"))
+    docs = numbered(docs, uid)
+    taken = copies(docs, weights, most, seed, id_col, text_col, source_col, uid).where("copies > 0").select(F.col("_uid").alias(uid), F.col("copies").cast("int").alias(times))
+    return docs.join(taken, uid).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(uid, times)
