@@ -1,9 +1,12 @@
 """Benchmark decontamination (operator 2): n-gram seeds, then Smith-Waterman alignment.
 
-Every n-gram of a test item is its seed, however often it occurs: an edited
-copy of an item that leaked often lacks just the rarer ones.  Seeds join
-passages of documents to items; only there the words are aligned, and only
-where enough of them are words of the item to reach the threshold.
+Seeds join passages of documents to items; only there words are aligned.  A
+local alignment of m equal words in r unbroken runs scores at most 2m - (r - 1),
+and m is at most the item's n words.  So a score of the share t of the item's
+own 2n holds at least (2t - 1)n - 1 pairs of neighbouring words of the item:
+word pairs are the seeds, and a passage is aligned only if so many of them lie
+within the gaps that the score allows.  Nothing that full alignment finds is
+lost.  Items of few words have single words for seeds.
 
 Items go to the executors in blocks of bounded size, one pass over the
 documents for each; the documents are never shuffled.
@@ -11,6 +14,7 @@ documents for each; the documents are never shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,11 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesift.llm import tokens
-from codesift.llm.tables import identified
+from codesift.llm.tables import columns
 
 U64 = np.uint64
-#: Words of a seed.
-SEED = 4
+#: Items of fewer words match nothing: one word is no evidence of a leak.
+LEAST_WORDS = 2
 #: Smith-Waterman weights of equal words, different words and gaps.
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Words of items in a block: about 50 MB on each executor.
@@ -75,24 +79,38 @@ class Lookup:
         return at[real], which[real]
 
 
+def slack(n: int, threshold: float) -> int:
+    """Gaps that an alignment of the threshold's score can hold."""
+    return int(MATCH * n * (1 - threshold) / -GAP + 1e-9)
+
+
+def seed_words(n: int, threshold: float) -> tuple[int, int]:
+    """Words of a seed of an item of n words, and how many seeds an alignment of the threshold's score holds at least."""
+    pairs = math.ceil((2 * threshold - 1) * n - 1 - 1e-9)
+    return (2, pairs) if pairs >= 1 else (1, max(1, math.ceil(threshold * n - 1e-9)))
+
+
 @dataclass
 class Items:
-    """A block of test items: ids, words, and their n-grams as (key, item, offset) sorted by key."""
+    """A block of test items: ids, words, least seeds and slack of each, and their seeds as (key, item, offset) sorted by key."""
 
     ids: list[int | None]
     words: list[np.ndarray]
+    least: np.ndarray
+    slack: np.ndarray
     lookups: dict[int, Lookup]
     owners: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(ids: list[int | None], words: list[np.ndarray]) -> Items:
-        """Seeds by length: SEED, or all words of a shorter item."""
+    def of(ids: list[int | None], words: list[np.ndarray], threshold: float) -> Items:
         rows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        least = np.ones(len(words), dtype=np.int64)
         for i, w in enumerate(words):
-            if w.size:
-                own = grams(w, min(SEED, w.size))
-                rows.setdefault(min(SEED, w.size), []).append((own, np.full(own.size, i), np.arange(own.size)))
-        items = Items(ids, words, {}, {})
+            if w.size >= LEAST_WORDS:
+                n, least[i] = seed_words(w.size, threshold)
+                own = grams(w, n)
+                rows.setdefault(n, []).append((own, np.full(own.size, i), np.arange(own.size)))
+        items = Items(ids, words, least, np.array([slack(w.size, threshold) for w in words], dtype=np.int64), {}, {})
         for n, found in rows.items():
             key, item, offset = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((offset, item, key))
@@ -121,18 +139,17 @@ def best_alignment(text: np.ndarray, item: np.ndarray, diagonals: np.ndarray, th
 
     Stretches that cannot reach ``threshold`` are left out.
     """
-    # Gaps that an alignment of the threshold's score can hold.  That score needs threshold * n equal words.
-    slack = int(MATCH * item.size * (1 - threshold) / -GAP + 1e-9)
-    span, least = item.size + slack, threshold * item.size - 1e-9
+    wide = slack(item.size, threshold)
+    span, least = item.size + wide, threshold * item.size - 1e-9  # equal words that the score needs
     own = np.unique(item)
     found = (0.0, 0, 0)
     diagonals = np.unique(diagonals)
-    for group in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > slack) + 1):
+    for group in np.split(diagonals, np.flatnonzero(np.diff(diagonals) > wide) + 1):
         for d in group.tolist():
             if d >= 0 and np.array_equal(text[d : d + item.size], item):
                 return 1.0, d, d + item.size
-        lo = max(0, int(group[0]) - slack)
-        part = text[lo : int(group[-1]) + item.size + slack]
+        lo = max(0, int(group[0]) - wide)
+        part = text[lo : int(group[-1]) + item.size + wide]
         common = np.concatenate([[0], np.cumsum(own[np.minimum(np.searchsorted(own, part), own.size - 1)] == part)])
         if (common[min(span, part.size) :] - common[: max(1, common.size - span)]).max() < least:
             continue
@@ -164,6 +181,15 @@ def matches(chunk: tokens.Chunk, items: Items, threshold: float) -> Iterator[tup
     doc, item, diagonal = np.concatenate(hits, axis=1)
     order = np.lexsort((diagonal, item, doc))
     doc, item, diagonal = doc[order], item[order], diagonal[order]
+    # Only runs of enough seeds within the slack of each other can belong to an alignment.
+    last = np.arange(doc.size) + items.least[item] - 1
+    end = np.minimum(last, doc.size - 1)
+    whole = (last < doc.size) & (doc[end] == doc) & (item[end] == item) & (diagonal[end] - diagonal <= items.slack[item])
+    cover = np.zeros(doc.size + 1, dtype=np.int64)
+    np.add.at(cover, np.flatnonzero(whole), 1)
+    np.add.at(cover, last[whole] + 1, -1)
+    some = np.cumsum(cover[:-1]) > 0
+    doc, item, diagonal = doc[some], item[some], diagonal[some]
     edge = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), [True]])) if doc.size else []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         d, i = int(doc[a]), int(item[a])
@@ -174,14 +200,14 @@ def matches(chunk: tokens.Chunk, items: Items, threshold: float) -> Iterator[tup
             yield d, i, share, int(own[begin]), int(own[end - 1]) + 1
 
 
-def item_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[Broadcast]:
-    """Blocks of items with their seeds."""
+def item_blocks(docs: DataFrame, benchmark: DataFrame, threshold: float, item_col: str, text_col: str) -> Iterator[Broadcast]:
+    """Blocks of items with their seeds, each broadcast.  The driver holds one block at a time."""
     spark = docs.sparkSession
     ids: list = []
     words: list = []
 
     def block() -> Broadcast:
-        items = Items.of(list(ids), list(words))
+        items = Items.of(list(ids), list(words), threshold)
         ids.clear()
         words.clear()
         return spark.sparkContext.broadcast(items)
@@ -203,13 +229,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     score: the Smith-Waterman score over that of the item with itself, 0 to 1;
     rows reach ``threshold``.  Words are lower-cased (A-Z) and stripped of ASCII
     punctuation.  Of several places of an item in a text the best counts, the
-    first among equals.  Null, empty and blank texts or items match nothing;
+    first among equals.  Null, empty and blank texts or items match nothing, nor
+    do items of a single word (``LEAST_WORDS``);
     repeated rows of either table repeat the result; null ids are passed on; an
     empty table gives an empty result; other columns are not read.
     """
-    rows = identified(docs, id_col, text_col).select("_id", "_text")
+    rows = columns(docs, id_col, text_col)
     found = None
-    for held in item_blocks(rows, benchmark, item_col, item_text_col):
+    for held in item_blocks(rows, benchmark, threshold, item_col, item_text_col):
 
         def run(batches: Iterator[pa.RecordBatch], held: Broadcast = held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -226,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text aligns with no item: a filter, without a shuffle."""
-    for held in item_blocks(docs.select(F.col(f"`{text_col}`").alias("_text")), benchmark, "item_id", "text"):
+    for held in item_blocks(docs.select(F.col(f"`{text_col}`").alias("_text")), benchmark, threshold, "item_id", "text"):
         docs = docs.where(~_aligned(held, threshold)(F.col(f"`{text_col}`")))
     return docs
 
