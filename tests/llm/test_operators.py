@@ -115,7 +115,7 @@ def test_simhash_components(spark):
                 label = [min(a, b) if x in (a, b) else x for x in label]
     least = {k: min((r[0] for r, x in zip(rows, label) if x == k and r[0] is not None), default=None) for k in set(label)}
     want = sorted((str(r[0]), p, least[x]) for r, p, x in zip(rows, prints, label))
-    assert sorted((str(r.doc_id), int.from_bytes(r.fingerprint, "little"), r.component_id) for r in found) == want
+    assert sorted((str(r.doc_id), int.from_bytes(r.fingerprint, "big"), r.component_id) for r in found) == want
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 40, 300])
@@ -142,7 +142,7 @@ def test_large_shards_are_dealt_as_block_pairs(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SHARD", 10)
     rows = [(i, " ".join(f"w{(i * 0 + k)}" for k in range(200)) + f" extra{i}") for i in range(60)]
     found = simhash.simhash_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    prints = {r.doc_id: int.from_bytes(r.fingerprint, "little") for r in found}
+    prints = {r.doc_id: int.from_bytes(r.fingerprint, "big") for r in found}
     for r in found:
         assert all(s.component_id == r.component_id for s in found if (prints[r.doc_id] ^ prints[s.doc_id]).bit_count() <= 4)
 
@@ -204,7 +204,9 @@ def test_line_dedup(spark):
     assert out.columns == ["doc_id", "text", "source"]
     assert text[0] == "own 0\n \nrare" and text[5] == "own 5\n \n".rstrip("\n") and text[98] is None and text[99] == "" and text[97] == ""
     few = line_dedup.line_dedup(spark.createDataFrame(rows[:4], "doc_id long, text string, source string"))
-    assert {r.doc_id: r.text for r in few.collect()} == {r[0]: r[1] for r in rows[:4]}
+    assert {r.doc_id: r.text for r in few.collect()} == {0: "own 0\n \nrare", 1: "own 1\n \nrare", 2: "own 2\n ", 3: "own 3\n "}
+    alone = line_dedup.line_dedup(spark.createDataFrame(rows[:1], "doc_id long, text string, source string"))
+    assert alone.first().text == rows[0][1]
 
 
 def test_targets():
@@ -334,7 +336,7 @@ def test_neighbours(spark):
 
 def test_token_counts(spark, docs):
     found = token_counts.token_counts(docs).collect()
-    encode, _ = token_counts.encoding(open(token_counts.VOCABULARY, "rb").read(), token_counts.PATTERN)
+    encode, _, _ = token_counts.encoding(open(token_counts.VOCABULARY, "rb").read(), token_counts.PATTERN)
     by = Counter()
     for r in found:
         by[r.doc_id] += r.n_tokens
