@@ -290,7 +290,7 @@ def exact(own: DataFrame, seekers: DataFrame, n: int, top: int) -> DataFrame:
     """A few queries against all vectors, block by block: a query goes to every block."""
     blocks = math.ceil(n / EXACT_BLOCK)
     rows = own.select(F.lit(0).cast("long").alias("lsh"), F.pmod(F.xxhash64("class"), F.lit(blocks)).alias("shard"), F.lit(0).cast("long").alias("code"), "class", "_vec", F.lit(None).cast("array<long>").alias("probes"))
-    asked = seekers.select(F.lit(0).cast("long").alias("lsh"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("shard"), F.lit(None).cast("long").alias("code"), "class", "_vec", F.array(F.lit(0).cast("long")).alias("probes"))
+    asked = seekers.select(F.lit(0).cast("long").alias("lsh"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("shard"), F.lit(None).cast("long").alias("code"), "class", "_vec", F.array(F.lit(0).cast("long")).alias("probes"))
     return searched(rows.unionByName(asked), top)
 
 
