@@ -1,27 +1,32 @@
-"""Which runs of a fixed length occur again elsewhere: the core of the substring operators.
+"""Which runs of a fixed length occur again elsewhere: what the two substring operators share.
 
 A text is a sequence of units (bytes, or words as 64-bit hashes); a window is
 ``length`` consecutive units of one document.  Nothing is compared in pairs.
 
-1. *Anchors.*  Every window is represented by one of its ``gram``-unit strings,
-   the one with the least rolling hash (leftmost on ties).  Equal windows agree
-   on it, so equal windows meet under the anchor's key.  Neighbouring windows
-   mostly share their anchor: one row stands for the windows lo..hi of a phrase.
-2. *Phrases.*  Under one key, phrases with the same content are counted and the
-   first is found.  A phrase seen before (or, in the other mode, seen twice)
-   has all its windows settled at once.  Most repeated text ends here.
-3. *Contexts.*  Keys under which phrases differ are where a match begins or
-   ends.  Only there the units of each distinct phrase are sent to the key,
-   and its windows are compared one by one.
+1. *Cores.*  Each operator chooses, by content alone, a part of every window:
+   its core.  Equal windows have equal cores at equal places, so they meet
+   under the core's key.  Neighbouring windows mostly share their core: one row
+   stands for the windows lo..hi of a stretch.
+2. *Stretches.*  Under one key, stretches with the same content are counted and
+   the first is found.  A stretch seen before (or, in the other mode, seen
+   twice) has all its windows settled at once.  Most repeated text ends here.
+3. *Extension.*  Keys under which stretches differ are where a match begins or
+   ends.  There the units left and right of each distinct stretch's core are
+   compared (``extend``): what stands before the cores is sorted from the core
+   leftwards, what follows from the core rightwards, with the lengths that
+   neighbours in either order share.  For each length to the left, stretches
+   that share it are a group, ordered by what follows; neighbours in that order
+   that share enough to the right hold the same window.
 
 Hot keys: each task first settles repeats within its own batch and sends one
-row per phrase and batch, so a passage in a third of all documents reaches a
-key as a row per batch.
+row per stretch and batch, so a passage in a third of all documents reaches a
+key as a row per batch.  A key with more than ``HOT`` distinct stretches is
+dealt out window by window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,19 +36,25 @@ from pyspark.sql import functions as F
 
 from codesift.llm import tokens
 
-#: Low bits of the sort key that hold a position, so that one minimum finds value and place.
-PLACE_BITS = np.uint64(28)
+#: Low bits of a sort key that hold a position, so that one minimum finds value and place: texts of up to 2**36 units.
+PLACE_BITS = np.uint64(36)
+#: Distinct stretches of a key that one task compares.
+HOT = 20_000
 U64 = np.uint64
 
 
 @dataclass(frozen=True)
 class Rule:
-    """unit: 'byte' or 'word'.  earlier: a window counts if it also starts earlier; else if it starts anywhere else."""
+    """unit: 'byte' or 'word'.  earlier: a window counts if it also starts earlier; else if it starts anywhere else.
+
+    cores: for units, bounds of documents, flat starts of windows (ascending),
+    and a list for each document or None, the begin and end of each window's core.
+    """
 
     unit: str
     length: int
-    gram: int
     earlier: bool
+    cores: Callable[[np.ndarray, np.ndarray, np.ndarray, list | None], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def units(chunk: tokens.Chunk, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -54,40 +65,40 @@ def units(chunk: tokens.Chunk, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     return chunk.word_hashes(), chunk.word_bounds
 
 
-def roll(values: np.ndarray, rule: Rule, which: int) -> tokens.Rolling:
-    return tokens.Rolling(values, (tokens.BASES if rule.unit == "byte" else tokens.WORD_BASES)[which])
+def roll(values: np.ndarray, which: int) -> tokens.Rolling:
+    return tokens.Rolling(values, (tokens.BASES if values.dtype == np.uint8 else tokens.WORD_BASES)[which])
 
 
-def phrases(values: np.ndarray, bounds: np.ndarray, rule: Rule) -> tuple[np.ndarray, ...]:
-    """Anchor key, content hash, document, first window and last window of each phrase."""
-    empty = tuple(np.zeros(0, dtype=t) for t in (U64, U64, np.int64, np.int64, np.int64))
-    if values.size < rule.length:
-        return empty
-    rolling = roll(values, rule, 0)
-    grams = rolling.windows(rule.gram)
-    width = rule.length - rule.gram + 1
+def least_grams(grams: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` grams the place of the least, the leftmost on ties."""
     best = (grams >> PLACE_BITS << PLACE_BITS) | np.arange(grams.size, dtype=U64)
     have = 1
     while have < width:
         step = min(have, width - have)
         best = np.minimum(best[:-step], best[step:])
         have += step
-    anchor = (best & ((U64(1) << PLACE_BITS) - U64(1))).astype(np.int64)
-    docs = np.flatnonzero(np.diff(bounds) >= rule.length)
-    if not docs.size:
-        return empty
-    inside = np.zeros(anchor.size + 1, dtype=np.int8)
-    inside[bounds[docs]] = 1
-    inside[bounds[docs + 1] - rule.length + 1] -= 1
-    starts = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) > 0)
-    at = anchor[starts]
+    return (best & ((U64(1) << PLACE_BITS) - U64(1))).astype(np.int64)
+
+
+def window_starts(bounds: np.ndarray, length: int) -> np.ndarray:
+    """The flat starts of all windows that lie in one document."""
+    n = np.maximum(np.diff(bounds) - length + 1, 0)
+    return np.repeat(bounds[:-1] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
+def stretches(values: np.ndarray, bounds: np.ndarray, rule: Rule, known: list | None) -> tuple[np.ndarray, ...]:
+    """Core key, content hash, document, first window and last window of each stretch."""
+    starts, begin, end = rule.cores(values, bounds, window_starts(bounds, rule.length), known)
+    if not starts.size:
+        return tuple(np.zeros(0, dtype=t) for t in (U64, U64, np.int64, np.int64, np.int64))
     new = np.ones(starts.size, dtype=bool)
-    new[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
+    new[1:] = (begin[1:] != begin[:-1]) | (end[1:] != end[:-1]) | (starts[1:] != starts[:-1] + 1)
     first = np.flatnonzero(new)
     last = np.append(first[1:], starts.size) - 1
     lo, hi = starts[first], starts[last]
     doc = np.searchsorted(bounds, lo, side="right") - 1
-    return grams[at[first]], roll(values, rule, 1).ranges(lo, hi + rule.length), doc, lo, hi
+    key = tokens.mix(roll(values, 0).ranges(begin[first], end[first]) + (end[first] - begin[first]).astype(U64))
+    return key, roll(values, 1).ranges(lo, hi + rule.length), doc, lo, hi
 
 
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,16 +109,20 @@ def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def find_phrases(rule: Rule):
+def known_of(batch: pa.RecordBatch) -> list | None:
+    return batch.column("known").to_pylist() if "known" in batch.schema.names else None
+
+
+def find_stretches(rule: Rule):
     schema = pa.schema([(n, pa.int64()) for n in ("route", "content", "_ord", "_uid")] + [("lo", pa.int32()), ("hi", pa.int32()), ("settled", pa.bool_()), ("twice", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rank, uid = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_ord", "_uid"))
-            found = []
+            known, found = known_of(batch), []
             for chunk in tokens.chunks(batch.column("_text")):
                 values, bounds = units(chunk, rule)
-                key, content, doc, lo, hi = phrases(values, bounds, rule)
+                key, content, doc, lo, hi = stretches(values, bounds, rule, known and known[chunk.first : chunk.first + chunk.n])
                 begin = bounds[doc]
                 found.append((key, content, doc + chunk.first, lo - begin, hi - begin))
             if not found:
@@ -117,32 +132,152 @@ def find_phrases(rule: Rule):
             count = np.diff(np.append(np.flatnonzero(new), new.size))
             twice = np.repeat(count > 1, count) if count.size else np.zeros(0, dtype=bool)
             key, content, doc, lo, hi = (x[order] for x in (key, content, doc, lo, hi))
-            settled = ~new  # the first of each phrase speaks for this batch
+            # The first of each stretch speaks for this batch; the others are repeats, and one row for those in a row.
+            again = np.flatnonzero(~new)
+            again = again[np.lexsort((lo[again], doc[again]))]
+            head = np.ones(again.size, dtype=bool)
+            head[1:] = (doc[again][1:] != doc[again][:-1]) | (lo[again][1:] > hi[again][:-1] + 1)
+            top = np.flatnonzero(head)
+            until = np.append(top[1:], again.size) - 1 if again.size else top
+            first, run_of = np.flatnonzero(new), again[top]
+            row = np.concatenate([first, run_of])
+            far = np.concatenate([hi[first], hi[again[until]]])
+            settled = np.arange(row.size) >= first.size
+            key, content, doc, lo, twice = (x[row] for x in (key, content, doc, lo, twice))
             route = np.where(settled, tokens.mix(key ^ uid[doc].astype(U64) * U64(0x9E3779B97F4A7C15) ^ lo.astype(U64)), key)
-            columns = [tokens.signed(route), tokens.signed(content), rank[doc], uid[doc], lo.astype(np.int32), hi.astype(np.int32), settled, twice]
+            columns = [tokens.signed(route), tokens.signed(content), rank[doc], uid[doc], lo.astype(np.int32), far.astype(np.int32), settled, twice]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     return run, schema
 
 
+CONTEXT = pa.schema([("key", pa.int64()), ("check", pa.int64()), ("_ord", pa.int64()), ("_uid", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("least", pa.int32()), ("twice", pa.bool_()), ("left", pa.binary()), ("right", pa.binary())])
+
+
 def send_contexts(rule: Rule):
-    schema = pa.schema([("key", pa.int64()), ("_ord", pa.int64()), ("_uid", pa.int64()), ("lo", pa.int32()), ("twice", pa.bool_()), ("units", pa.binary())])
+    """For each stretch to compare: its core's key and a second hash, where the core begins and its size, how much of the
+    left a window takes at least, and the units left and right of the core.
+
+    A stretch of a hot key gives a row for each window, which is all core; those
+    that a batch holds again need no other batch and go to keys of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rank, uid = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("_ord", "_uid"))
-            listed = batch.column("phrases").to_pylist()
+            listed, known = batch.column("stretches").to_pylist(), known_of(batch)
+            windows = []
             for chunk in tokens.chunks(batch.column("_text")):
                 values, bounds = units(chunk, rule)
-                rows = []
-                for i in range(chunk.n):
-                    own = values[bounds[i] : bounds[i + 1]]
-                    d = chunk.first + i
-                    rows += [(p["key"], rank[d], uid[d], p["lo"], p["twice"], own[p["lo"] : p["hi"] + rule.length].tobytes()) for p in listed[d]]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    return run, schema
+                some = listed[chunk.first : chunk.first + chunk.n]
+                p = [(i, s["key"], s["lo"], s["hi"], s["twice"], s["hot"]) for i, x in enumerate(some) for s in sorted(x, key=lambda s: s["lo"])]
+                if not p:
+                    continue
+                doc, key, lo, hi, twice, hot = (np.array(c) for c in zip(*p, strict=True))
+                base = bounds[doc]
+                kept, begin, end = rule.cores(values, bounds, lo + base, known and known[chunk.first : chunk.first + chunk.n])
+                assert kept.size == lo.size
+                check, row = roll(values, 1), doc + chunk.first
+                if hot.any():
+                    at = np.flatnonzero(hot)
+                    n = (hi - lo)[at] + 1
+                    at = np.repeat(at, n)
+                    start = (lo + base)[at] + np.arange(at.size) - np.repeat(np.cumsum(n) - n, n)
+                    windows.append((roll(values, 0).ranges(start, start + rule.length), check.ranges(start, start + rule.length), row[at], start - base[at], twice[at]))
+                own = ~hot
+                raw, wide = values.tobytes(), values.dtype.itemsize
+                pieces = [[raw[a * wide : b * wide] for a, b in zip(x[own].tolist(), y[own].tolist(), strict=True)] for x, y in ((lo + base, begin), (end, hi + base + rule.length))]
+                columns = [key[own], tokens.signed(check.ranges(begin[own], end[own])), rank[row[own]], uid[row[own]], (begin - base)[own], (end - begin)[own], (begin - base - hi)[own], twice[own], *pieces]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, CONTEXT.types, strict=True)], schema=CONTEXT)
+            if windows:
+                key, check, row, at, twice = (np.concatenate(c) for c in zip(*windows, strict=True))
+                order, new = groups(key, check, rank[row], uid[row], at)
+                key, check, row, at, twice = (c[order] for c in (key, check, row, at, twice))
+                count = np.diff(np.append(np.flatnonzero(new), new.size))
+                twice = ~new | (np.zeros(new.size, dtype=bool) if rule.earlier else twice | np.repeat(count > 1, count))
+                key = np.where(new, key, tokens.mix(key ^ uid[row].astype(U64) * U64(0x9E3779B97F4A7C15) ^ at.astype(U64)))
+                none = pa.array([b""] * new.size, pa.binary())
+                columns = [tokens.signed(key), tokens.signed(check), rank[row], uid[row], at, np.full(new.size, rule.length), np.zeros(new.size), twice]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c).cast(t) for c, t in zip(columns, CONTEXT.types, strict=False)), none, none], schema=CONTEXT)
+
+    return run, CONTEXT
+
+
+def sorted_pieces(group: np.ndarray, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the pieces by group, then bytes (a piece before those it begins), and the bytes each shares with the one before it."""
+    size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+    width = -(-int(size.max(initial=0)) // 8) * 8
+    table = np.zeros((size.size, width + 16), dtype=np.uint8)
+    table[:, :8] = group.astype(">u8").view(np.uint8).reshape(-1, 8)
+    table[:, width + 8 :] = size.astype(">u8").view(np.uint8).reshape(-1, 8)
+    flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+    row = np.repeat(np.arange(size.size), size)
+    table[row, np.arange(flat.size) - np.repeat(np.cumsum(size) - size, size) + 8] = flat
+    order = np.argsort(table.view(f"V{width + 16}").ravel(), kind="stable")
+    table, size = table[order], size[order]
+    shared = np.zeros(size.size, dtype=np.int64)
+    differ = table[1:, 8 : width + 8] != table[:-1, 8 : width + 8]
+    shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1) if width else 0, width)
+    shared[1:] = np.minimum(shared[1:], np.minimum(size[1:], size[:-1]))
+    shared[1:][(table[1:, :8] != table[:-1, :8]).any(axis=1)] = -1
+    return order, shared
+
+
+def range_least(values: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The least of values[a:b] for many ranges that are not empty."""
+    levels = [values]
+    while 2 << len(levels) - 1 <= values.size:
+        half = 1 << len(levels) - 1
+        levels.append(np.minimum(levels[-1][:-half], levels[-1][half:]))
+
+    def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        level = np.frexp((b - a).astype(np.float64))[1] - 1
+        out = np.zeros(a.size, dtype=values.dtype)
+        for k in np.unique(level).tolist():
+            at = level == k
+            out[at] = np.minimum(levels[k][a[at]], levels[k][b[at] - (1 << k)])
+        return out
+
+    return least
+
+
+def extend(rule: Rule, group: np.ndarray, first: np.ndarray, size: np.ndarray, least: np.ndarray, twice: np.ndarray, left: list[bytes], right: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts (by number) and units of their left, for every window that is a repeat.
+
+    first: places of the contexts in the order that decides which copy is the earlier.
+    """
+    wide = 1 if rule.unit == "byte" else 8
+    n_left = np.fromiter(map(len, left), dtype=np.int64, count=len(left)) // wide
+    order, shared = sorted_pieces(group, [x[::-1] for x in left])
+    by_right, follow = sorted_pieces(group, right)
+    place = np.empty(order.size, dtype=np.int64)
+    place[by_right] = np.arange(order.size)
+    # A group of another key shares nothing, not even the core.
+    shared, follow = (np.where(x < 0, -1, x // wide) for x in (shared, follow))
+    least_follow = range_least(follow)
+    found, lengths = [], []
+    for a in range(int(least.min(initial=0)), int(n_left.max(initial=0)) + 1):
+        name = np.cumsum(shared < a)
+        some = (least[order] <= a) & (n_left[order] >= a)
+        who, name = order[some], name[some]
+        if who.size < 2 and not twice[who].any():
+            continue
+        inner = np.lexsort((place[who], name))
+        who, name = who[inner], name[inner]
+        same = np.zeros(who.size, dtype=bool)
+        pair = np.flatnonzero(name[1:] == name[:-1])
+        need = rule.length - size[who[pair]] - a
+        same[pair + 1] = least_follow(place[who[pair]] + 1, place[who[pair + 1]] + 1) >= need
+        head = np.flatnonzero(~same)
+        count = np.diff(np.append(head, who.size))
+        if rule.earlier:
+            hit = twice[who] | (first[who] != np.repeat(np.minimum.reduceat(first[who], head), count))
+        else:
+            hit = np.repeat((count > 1) | np.maximum.reduceat(twice[who], head), count)
+        found.append(who[hit])
+        lengths.append(np.full(int(hit.sum()), a))
+    none = np.zeros(0, dtype=np.int64)
+    return (np.concatenate(found), np.concatenate(lengths)) if found else (none, none)
 
 
 def compare_contexts(rule: Rule):
@@ -151,26 +286,14 @@ def compare_contexts(rule: Rule):
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        key, rank, uid, lo, twice = (table.column(n).to_numpy() for n in ("key", "_ord", "_uid", "lo", "twice"))
-        found = []
-        for chunk in tokens.chunks(table.column("units")):
-            values = chunk.buf if rule.unit == "byte" else chunk.buf.view(U64)
-            bounds = chunk.bounds if rule.unit == "byte" else chunk.bounds // 8
-            names = roll(values, rule, 1).windows(rule.length)
-            n = np.diff(bounds) - rule.length + 1
-            row = np.repeat(np.arange(chunk.n), n)
-            offset = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
-            found.append((names[bounds[row] + offset], row + chunk.first, offset))
-        name, row, offset = (np.concatenate(x) for x in zip(*found, strict=True))
-        start = lo[row] + offset
-        order, new = groups(key[row], name, rank[row], uid[row], start)
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, new.size))
-        if rule.earlier:
-            hit = ~new
-        else:
-            hit = np.repeat((count > 1) | np.maximum.reduceat(twice[row[order]], first), count)
-        uid, start = uid[row[order[hit]]], start[order[hit]]
+        key, check, rank, uid, at, size, least, twice = (table.column(n).to_numpy() for n in ("key", "check", "_ord", "_uid", "at", "size", "least", "twice"))
+        order, new = groups(key, check, rank, uid, at)
+        group = np.empty(order.size, dtype=np.int64)
+        group[order] = np.cumsum(new)
+        first = np.empty(order.size, dtype=np.int64)
+        first[order] = np.arange(order.size)
+        who, a = extend(rule, group, first, size.astype(np.int64), least, twice, table.column("left").to_pylist(), table.column("right").to_pylist())
+        uid, start = uid[who], at[who] - a
         order = np.lexsort((start, uid))
         uid, start = uid[order], start[order]
         new = np.ones(uid.size, dtype=bool)
@@ -198,31 +321,31 @@ def compare_contexts(rule: Rule):
 
 
 def repeated(docs: DataFrame, rule: Rule) -> DataFrame:
-    """For each document of ``identified()`` that has any: ``_uid`` and ``spans``, unmerged ranges of units to remove."""
-    texts = by_uid(docs)
-    run, schema = find_phrases(rule)
-    rows = docs.mapInArrow(run, spark_schema(schema)).repartition("route")
+    """For each document of ``by_uid()`` that has any: ``_uid`` and ``spans``, unmerged ranges of units to remove."""
+    order = F.coalesce("_id", F.lit(-(1 << 63))).alias("_ord")
+    known = [c for c in docs.columns if c == "known"]
+    run, schema = find_stretches(rule)
+    rows = docs.select(order, "_uid", "_text", *known).mapInArrow(run, spark_schema(schema)).repartition("route")
     same_key = Window.partitionBy("route")
-    same_phrase = Window.partitionBy("route", "content").orderBy("_ord", "_uid", "lo")
-    whole_phrase = Window.partitionBy("route", "content").orderBy("_ord", "_uid", "lo").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same_content = Window.partitionBy("route", "content").orderBy("_ord", "_uid", "lo")
+    whole = same_content.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.select(
         "*",
-        F.row_number().over(same_phrase).alias("nth"),
-        F.count("lo").over(whole_phrase).alias("times"),
-        F.max("twice").over(whole_phrase).alias("often"),
-    ).select("*", (F.min("content").over(same_key) != F.max("content").over(same_key)).alias("differ"))
+        F.row_number().over(same_content).alias("nth"),
+        F.count("lo").over(whole).alias("times"),
+        F.max("twice").over(whole).alias("often"),
+    ).select("*", F.count_if((F.col("nth") == 1) & ~F.col("settled")).over(same_key).alias("differ"))
     again = F.col("settled") | (F.col("nth") > 1 if rule.earlier else F.col("twice") | F.col("often") | (F.col("times") > 1))
-    rows = rows.select("route", "_ord", "_uid", "lo", "hi", "settled", "nth", "differ", again.alias("again"))
-    # One row per phrase to settle: its own span if it is a repeat, and its key if others must be compared with it.
-    rows = rows.select("*", (F.col("differ") & ~F.col("settled") & (F.col("nth") == 1)).alias("compare")).where("again or compare")
+    rows = rows.select("route", "_ord", "_uid", "lo", "hi", "differ", again.alias("again"), ((F.col("differ") > 1) & ~F.col("settled") & (F.col("nth") == 1)).alias("compare")).where("again or compare")
+    # One row per stretch to settle: its own span if it is a repeat, and its key if others must be compared with it.
     per_doc = rows.groupBy("_uid").agg(
         F.collect_list(F.when(F.col("again"), F.struct(F.col("lo").alias("begin"), (F.col("hi") + rule.length).alias("end")))).alias("spans"),
-        F.collect_list(F.when(F.col("compare"), F.struct(F.col("route").alias("key"), "lo", "hi", F.col("again").alias("twice")))).alias("phrases"),
+        F.collect_list(F.when(F.col("compare"), F.struct(F.col("route").alias("key"), "lo", "hi", F.col("again").alias("twice"), (F.col("differ") > HOT).alias("hot")))).alias("stretches"),
     )
     run, schema = send_contexts(rule)
     contexts = (
-        texts.join(per_doc.where(F.size("phrases") > 0).select("_uid", "phrases"), "_uid")
-        .select(F.coalesce("_id", F.lit(-(1 << 63))).alias("_ord"), "_uid", "_text", "phrases")
+        docs.join(per_doc.where(F.size("stretches") > 0).select("_uid", "stretches"), "_uid")
+        .select(order, "_uid", "_text", "stretches", *known)
         .mapInArrow(run, spark_schema(schema))
         .repartition("key")
         .sortWithinPartitions("key")

@@ -1,9 +1,15 @@
-"""Substring dedup (operator 9): seed on winnowed anchors, extend to maximal repeats, keep the first copy."""
+"""Substring dedup (operator 9): seed on winnowed anchors, extend both ways to maximal repeats, keep the first copy.
+
+An anchor is the least of the ``anchor``-word strings of a window by hash.
+Documents that share one are joined on it, and the match is extended to the
+left and to the right (``repeats``); what reaches ``length`` words is a repeat.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -21,6 +27,16 @@ SCHEMA = pa.schema(
 )
 
 
+def anchors(length: int, anchor: int):
+    def cores(values: np.ndarray, bounds: np.ndarray, starts: np.ndarray, known: list | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not starts.size:
+            return starts, starts, starts
+        at = repeats.least_grams(repeats.roll(values, 0).windows(anchor), length - anchor + 1)[starts]
+        return starts, at, at + anchor
+
+    return cores
+
+
 def cut_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
@@ -51,7 +67,7 @@ def substring_dedup(docs: DataFrame, length: int = 20, anchor: int = 8, id_col:
     kept_text, repeated rows count as separate documents, an empty table gives
     an empty result, and other columns are not read.
     """
-    rule = repeats.Rule("word", length, min(anchor, length), earlier=True)
-    rows = identified(docs, id_col, text_col)
+    rule = repeats.Rule("word", length, True, anchors(length, min(anchor, length)))
+    rows = repeats.by_uid(identified(docs, id_col, text_col))
     spans = repeats.repeated(rows, rule)
-    return repeats.by_uid(rows).join(spans, "_uid", "left").select("_id", "_text", "spans").mapInArrow(cut_words, repeats.spark_schema(SCHEMA))
+    return rows.join(spans, "_uid", "left").select("_id", "_text", "spans").mapInArrow(cut_words, repeats.spark_schema(SCHEMA))
