@@ -84,11 +84,11 @@ def test_substring_dedup(docs, listed, length, anchor):
     assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, bytes(r.kept_text)) for r in found) == want
 
 
-@pytest.mark.parametrize(("length", "trigger"), [(400, 256), (40, 8)])
-def test_suffix_dedup(docs, listed, length, trigger):
+@pytest.mark.parametrize(("length", "window", "modulus", "gram"), [(400, 16, 64, 256), (40, 4, 8, 8), (40, 8, 2, 40), (60, 4, 10**6, 20)])
+def test_suffix_dedup(docs, listed, length, window, modulus, gram):
     lists, masks = removed(lambda t: list(t.encode()), listed, length, False)
     want = sorted((r[0], len(u), sum(m), bytes(b for b, g in zip(u, m) if not g)) for r, u, m in zip(listed, lists, masks))
-    found = suffix_dedup.suffix_dedup(docs, length, trigger).collect()
+    found = suffix_dedup.suffix_dedup(docs, length, window, modulus, gram).collect()
     assert sorted((-(1 << 63) if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept_bytes)) for r in found) == want
 
 
@@ -437,3 +437,53 @@ def test_kept_digest(docs):
 @pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, suffix_dedup.suffix_dedup, simhash.simhash_dedup, line_dedup.line_dedup, mixing.mix, token_counts.token_counts])
 def test_empty_tables(spark, operator):
     assert operator(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [1, 20_000])
+@pytest.mark.parametrize("operator", ["words", "bytes"])
+def test_keys_with_many_contexts(spark, monkeypatch, hot, operator):
+    # One passage with other words around it in every document: under its keys all stretches differ.
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rng = random.Random(13)
+    passage = " ".join(f"p{k}" for k in range(130))
+    texts = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(8))) + " " + passage + " " + " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randrange(8))) for _ in range(60)]
+    rows = [(i, i, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    if operator == "words":
+        lists, masks = removed(words, rows, 20, True)
+        found = {r.doc_id: bytes(r.kept_text) for r in substring_dedup.substring_dedup(table).collect()}
+        assert found == {i: " ".join(w for w, g in zip(u, m) if not g).encode() for i, (u, m) in enumerate(zip(lists, masks))}
+    else:
+        lists, masks = removed(lambda t: list(t.encode()), rows, 400, False)
+        found = {r.doc_id: bytes(r.kept_bytes) for r in suffix_dedup.suffix_dedup(table).collect()}
+        assert found == {i: bytes(b for b, g in zip(u, m) if not g) for i, (u, m) in enumerate(zip(lists, masks))}
+
+
+def test_orders_of_phrase_and_parse_suffixes():
+    rng = random.Random(14)
+    pieces = [bytes(rng.choice(b"\0ab") for _ in range(rng.randrange(6))) for _ in range(200)]
+    group = np.array([rng.randrange(3) for _ in pieces])
+    order, shared = repeats.sorted_pieces(group, pieces)
+    assert [(group[i], pieces[i]) for i in order] == sorted(zip(group.tolist(), pieces))
+    least = repeats.range_least(shared)
+    common = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))
+    for _ in range(500):
+        a, b = sorted(rng.sample(range(200), 2))
+        i, j = order[a], order[b]
+        want = common(pieces[i], pieces[j]) if group[i] == group[j] else -1
+        assert least(np.array([a + 1]), np.array([b + 1]))[0] == want
+
+
+def test_phrases_overlap_by_a_trigger_and_spell_the_text():
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 101, n, dtype=np.uint8) for n in (300, 3, 0, 500)]
+    buf, bounds = np.concatenate(texts), np.concatenate([[0], np.cumsum([t.size for t in texts])])
+    ends, doc = suffix_dedup.triggers(buf, bounds, 4, 8)
+    assert set(doc.tolist()) == {0, 3} and all(bounds[d] + 4 <= e <= bounds[d + 1] for e, d in zip(ends, doc))
+    strings = {bytes(buf[e - 4 : e]) for e in ends}
+    for t in texts:
+        for k in range(t.size - 3):  # a string is a trigger wherever it stands
+            at = [e for e in ends if bytes(buf[e - 4 : e]) == bytes(t[k : k + 4])]
+            assert bool(at) == (bytes(t[k : k + 4]) in strings)
+    names, owner = suffix_dedup.phrase_names(buf, bounds, 4, 8)
+    assert len(names) == sum(max(int((doc == d).sum()) - 1, 0) for d in (0, 3)) and sorted(set(owner.tolist())) == [0, 3]
