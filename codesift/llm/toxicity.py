@@ -36,6 +36,8 @@ DISCOUNT = 0.75
 CLEAR = 2.0
 #: Bytes of a word; a longer one, as in a text without spaces, is read as pieces that overlap by ``ORDER``.
 LETTERS = 64
+#: Of a text, for the curve.
+FEATURES = 4
 #: Distinct words a task holds before it passes their counts on.
 FLUSH = 500_000
 #: Labels up to this many rows (16 bytes each) are broadcast; more are joined by a shuffle.
@@ -163,7 +165,7 @@ class Model:
         low = ~top
         self.shared_total[by_context["ord"][low], by_context["context"][low]] = by_context["words"][low]
         self.shared_next[by_context["ord"][low], by_context["context"][low]] = by_context["words_next"][low]
-        self.curve = np.array([-2.0, 1.0, 1.0, -0.5])
+        self.curve = np.array([-2.0, 1.0, 1.0, -0.5, 1.0])
 
     def add_grams(self, by_gram: dict[str, np.ndarray]) -> None:
         """by_gram: ord, bucket and the sums."""
@@ -193,27 +195,31 @@ class Model:
         return np.bincount(word[at], bad - good, begin.size)
 
     def features(self, chunk: tokens.Chunk) -> np.ndarray:
-        """Per text: clear evidence per distinct word, its logarithm in all, and that of the number of words.
+        """Per text: clear evidence per distinct word, its logarithm in all, that of the number of words, and the
+        difference of the two log-likelihoods of the whole text per word.
 
-        Evidence is clear beyond ``CLEAR``; a word that a text repeats counts once.
+        Evidence is clear beyond ``CLEAR``, and a word that a text repeats counts
+        once for it; the difference takes every word as often as it stands there.
         """
         low, begin, end, bounds = trimmed(chunk)
         n = np.diff(bounds)
         if not begin.size:
-            return np.zeros((chunk.n, 3))
+            return np.zeros((chunk.n, FEATURES))
         first, which = distinct(low, begin, end)
-        clear = np.maximum(self.evidence(low, begin[first], end[first]) - CLEAR, 0)
+        evidence = self.evidence(low, begin[first], end[first])
+        clear = np.maximum(evidence - CLEAR, 0)
         pair = np.unique(tokens.spread(bounds) * first.size + which)
         doc = pair // first.size
         total = np.bincount(doc, clear[pair % first.size], chunk.n)
-        return np.stack([total / np.maximum(np.bincount(doc, minlength=chunk.n), 1), np.log1p(total), np.log1p(n)], axis=1)
+        mean = np.bincount(tokens.spread(bounds), evidence[which], chunk.n) / np.maximum(n, 1)
+        return np.stack([total / np.maximum(np.bincount(doc, minlength=chunk.n), 1), np.log1p(total), np.log1p(n), mean], axis=1)
 
     def fit(self, features: np.ndarray, toxic: np.ndarray) -> None:
         """Newton steps of a ridge logistic regression, halved until the loss falls; with one class only, the default curve stays."""
         if not 0 < toxic.sum() < len(toxic):
             return
         x = np.column_stack([np.ones(len(features)), features])
-        w, ridge = np.zeros(x.shape[1]), np.array([1e-3, 1e-2, 1e-2, 1e-2])
+        w, ridge = np.zeros(x.shape[1]), np.array([1e-3] + [1e-2] * features.shape[1])
 
         def loss(w: np.ndarray) -> float:
             z = x @ w
@@ -284,10 +290,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for chunk in tokens.chunks(batch.column("_text")):
                 found = held.value.features(chunk)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(found.T)), batch.column("toxic").slice(chunk.first, chunk.n)], names=["a", "b", "c", "toxic"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, np.ascontiguousarray(found.T)), batch.column("toxic").slice(chunk.first, chunk.n)], names=[*"abcd", "toxic"])
 
-    sample = _columns(rows.where("curve").select("_text", "toxic").mapInArrow(features, "a double, b double, c double, toxic int").orderBy("a", "b", "c", "toxic"))
-    model.fit(np.stack([sample[n] for n in "abc"], axis=1), sample["toxic"].astype(np.float64))
+    sample = _columns(rows.where("curve").select("_text", "toxic").mapInArrow(features, "a double, b double, c double, d double, toxic int").orderBy(*"abcd", "toxic"))
+    model.fit(np.stack([sample[n] for n in "abcd"], axis=1), sample["toxic"].astype(np.float64))
     curve = model.curve
     held.destroy()
     del model
