@@ -1,6 +1,7 @@
 """The built-in rule set: rules as data, the shape that rule files have too."""
 
 from codesift.detectors import QUOTE, SQL, USER
+from codesift.detectors.secrets import DATABASE, GITHUB, PRIVATE_KEY, STRIPE
 
 WEB = ("javascript", "typescript", "python", "java", "php", "ruby", "go")
 JS = ("javascript", "typescript")
@@ -38,10 +39,10 @@ RULES = [
     rule("security/hardcoded-secret", "critical", "secrets", "CWE-798", ANY,
          (r"\b(?:password|passwd|pwd|secret|api_?key|api_secret|access_key|access_token|auth_token|private_key)\s*[:=]\s*[\"'][^\"']{8,}[\"']", "secret is a literal"),
          (r"AKIA[0-9A-Z]{16}", "AWS access key"),
-         (r"gh[po]_[A-Za-z0-9]{36}", "GitHub token"),
-         (r"sk_live_[A-Za-z0-9]{24,}", "Stripe live key"),
-         (r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", "private key"),
-         (r"\b(?:mongodb|postgres|mysql|redis)://[^\s\"'{}$:]+:[^\s\"'{}$@]+@", "database address with credentials")),
+         (GITHUB, "GitHub token"),
+         (STRIPE, "Stripe live key"),
+         (PRIVATE_KEY, "private key"),
+         (DATABASE, "database address with credentials")),
     rule("security/weak-auth", "high", "auth", "CWE-287", WEB,
          (r"\bpassword\s*={2,3}\s*[\"'][^\"']+[\"']", "password compared with a literal"),
          (rf"\bjwt\.(?:sign|verify)\s*\([^,]+,\s*{QUOTE}", "token secret is a literal"),

@@ -18,10 +18,18 @@ def split_lines(content: Column) -> Column:
     return F.split(content, "\n", -1)
 
 
-def explode_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """The rows of ``files``, without the content, for each of its lines: line_no (from 1) and line."""
+def explode_lines(files: DataFrame, content: str = "content", around: int | None = None) -> DataFrame:
+    """The rows of ``files``, without the content, for each of its lines: line_no (from 1) and line.
+
+    ``around`` adds snippet, the line with so many before and after it, so that
+    findings need not meet their file's content again.
+    """
     others = [F.col(c) for c in files.columns if c != content]
-    return files.select(*others, F.posexplode(split_lines(F.col(content))).alias("_at", "line")).select(*others, (F.col("_at") + 1).alias("line_no"), "line")
+    if around is None:
+        return files.select(*others, F.posexplode(split_lines(F.col(content))).alias("_at", "line")).select(*others, (F.col("_at") + 1).alias("line_no"), "line")
+    cut = lambda x, i: F.struct(x.alias("line"), F.array_join(F.slice("_lines", F.greatest(i - around, F.lit(0)) + 1, F.least(i, F.lit(around)) + around + 1), "\n").alias("snippet"))
+    rows = files.select(*others, split_lines(F.col(content)).alias("_lines")).select(*others, F.posexplode(F.transform("_lines", cut)).alias("_at", "_x"))
+    return rows.select(*others, (F.col("_at") + 1).alias("line_no"), "_x.line", "_x.snippet")
 
 
 def positions(line: Column, java: str, prefix: str = "") -> Column:

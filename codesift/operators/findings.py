@@ -13,12 +13,28 @@ from codesift.functions.text import fingerprint, severity_rank, snippet
 ORDINALS = ("path", "scanner_ord", "pattern_ord", "line_no", "col")
 
 
+#: Lines before and after a finding that its snippet shows.
+AROUND = 3
+
+
 def findings(files: DataFrame, matched: DataFrame, scanner: str = "security", scanner_ord: int = 0) -> DataFrame:
-    """Matches (path, line_no, col, pattern_ord, rule columns) with snippet, fingerprint and id."""
-    rows = matched.join(files.select("path", "content"), "path")
-    rows = rows.withColumn("snippet", snippet(F.col("content"), F.col("line_no"))).drop("content")
+    """Matches (path, line_no, col, pattern_ord, rule columns) with snippet, fingerprint, id and extent.
+
+    Matches that carry a snippet need no join; others meet the content of their file.
+    """
+    rows = matched
+    if "snippet" not in matched.columns:
+        rows = matched.join(files.select("path", "content"), "path").withColumn("snippet", snippet(F.col("content"), F.col("line_no"), AROUND)).drop("content")
     rows = rows.withColumn("fingerprint", fingerprint(F.col("rule_id"), F.col("path"), F.col("snippet")))
-    return rows.select("*", F.lit(scanner).alias("scanner"), F.lit(scanner_ord).alias("scanner_ord"), F.concat(F.lit(f"{scanner}-"), "fingerprint").alias("id"))
+    return rows.select(
+        "*",
+        F.lit(scanner).alias("scanner"),
+        F.lit(scanner_ord).alias("scanner_ord"),
+        F.concat(F.lit(f"{scanner}-"), "fingerprint").alias("id"),
+        F.col("line_no").alias("end_line"),
+        F.col("col").alias("end_col"),
+        F.greatest(F.lit(1), F.col("line_no") - AROUND).alias("snippet_line"),
+    )
 
 
 def first_of_fingerprint(found: DataFrame) -> DataFrame:
@@ -44,11 +60,18 @@ def ordered(found: DataFrame) -> DataFrame:
     return found.orderBy(severity_rank(F.col("severity")), F.collate("path", "UNICODE"), *ORDINALS)
 
 
-def summary(found: DataFrame) -> DataFrame:
-    """dimension, value and n: all findings, by severity, scanner, category, and distinct files, in one pass."""
+def summary(found: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """dimension, value, n and files: all findings, by severity, scanner, category, and distinct files, in one pass.
+
+    ``scanned`` adds a row ``scanned`` with the number of files that were looked at, readable or not.
+    """
     grouped = found.groupingSets([[], ["severity"], ["scanner"], ["category"]], "severity", "scanner", "category").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("path").alias("files"), F.grouping_id().alias("g"))
     dimension = F.when(F.col("g") == 7, "total").when(F.col("g") == 3, "severity").when(F.col("g") == 5, "scanner").otherwise("category")
-    return grouped.select(dimension.alias("dimension"), F.coalesce("severity", "scanner", "category", F.lit("all")).alias("value"), "n", "files")
+    rows = grouped.select(dimension.alias("dimension"), F.coalesce("severity", "scanner", "category", F.lit("all")).alias("value"), "n", "files")
+    if scanned is None:
+        return rows
+    n = F.count(F.lit(1))
+    return rows.unionByName(scanned.agg(F.lit("scanned").alias("dimension"), F.lit("all").alias("value"), n.alias("n"), n.alias("files")))
 
 
 def exit_code(found: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ SHORT = 10
 
 def literal_of(p: Pattern) -> str | None:
     """A text that any match must hold, in lower case: the longest run of plain letters outside groups and options."""
-    plain = re.sub(r"\\[bswdSWDB]|\[[^\]]*\][*+?]?|\{[^}]*\}", " ", p.regex)
+    plain = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\][*+?]?|\{[^}]*\}", " ", p.regex)
     depth, out = 0, []
     for i, c in enumerate(plain):
         depth += c == "("
@@ -25,7 +25,7 @@ def literal_of(p: Pattern) -> str | None:
         depth -= c == ")"
     if "|" in "".join(out):
         return None
-    runs = re.findall(r"[A-Za-z_]{3,}", re.sub(r"\\.", " ", "".join(out)))
+    runs = re.findall(r"[A-Za-z_]{3,}", "".join(out))
     return max(runs, key=len).lower() if runs else None
 
 
@@ -96,11 +96,14 @@ def rules_of(patterns: Sequence[Pattern]) -> list[tuple]:
 RULE_COLUMNS = "pattern_ord int, rule_id string, severity string, confidence string, category string, subcategory string, cwe string, message string"
 
 
-def detect(files: DataFrame, patterns: Sequence[Pattern]) -> DataFrame:
-    """Matches with their rule's columns, over files (path, content) of at least ten characters."""
+def detect(files: DataFrame, patterns: Sequence[Pattern], keep: Sequence[str] = (), around: int | None = None) -> DataFrame:
+    """Matches with their rule's columns and the columns to ``keep``, over files (path, content) of at least ten characters.
+
+    ``around``: as in ``explode_lines``; the snippet is kept too.
+    """
     from codesift.functions.text import explode_lines
 
     long_enough = files.where(F.length("content") >= SHORT)
-    lines = explode_lines(with_file_flags(long_enough.select("path", "content"), patterns))
+    lines = explode_lines(with_file_flags(long_enough.select("path", "content", *keep), patterns), around=around)
     table = files.sparkSession.createDataFrame(rules_of(patterns), RULE_COLUMNS)
-    return matches(lines, patterns).join(F.broadcast(table), "pattern_ord")
+    return matches(lines, patterns, (*keep, *(["snippet"] if around is not None else []))).join(F.broadcast(table), "pattern_ord")

@@ -6,6 +6,10 @@ of one file are small groups; no operator gathers more than a file.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,29 +76,40 @@ def functions(lines: DataFrame) -> DataFrame:
         F.sum(decisions).over(_so_far()).alias("decided"),
         F.when(trimmed(line) == "", -1).otherwise(F.length(line) - F.length(F.regexp_replace(line, r"^\s+", ""))).alias("indent"),
     )
-    per_file = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "opened", "depth", "decided", "indent"))).alias("all"))
     code = trimmed(line)
     shaped = F.lit(False)
     for shape in FUNCTIONS:
         shaped = shaped | code.rlike(shape)
-    first = rows.where(~_starts(line, "//", "*", "#") & shaped).select("path", "line_no", code.alias("code"), "opened", "depth", "decided", "indent", opens.alias("own"), (opens - count_of(line, r"\}")).alias("net"), decisions.alias("points"))
-    at, all_ = F.col("line_no"), F.col("all")
-    last = F.least(at + SPAN + 1, F.size(all_))
-    before_open, before_depth = F.col("opened") - F.col("own"), F.col("depth") - F.col("net")
-    window = F.slice(all_, at, last - at + 1)
-    closing = F.get(F.filter(window, lambda x: (x["opened"] > before_open) & (x["depth"] <= before_depth)), F.lit(0))["line_no"]
-    begun = F.element_at(window, -1)["opened"] > before_open
-    overrun = F.when(F.size(all_) > at + SPAN, at + SPAN + 1)
-    rest = F.slice(all_, at + 1, F.size(all_))
-    outdent = F.get(F.filter(rest, lambda x: (x["indent"] >= 0) & (x["indent"] <= F.col("indent"))), F.lit(0))["line_no"]
-    inside = F.filter(rest, lambda x: (x["indent"] >= 0) & (outdent.isNull() | (x["line_no"] < outdent)))
-    indented = F.coalesce(F.get(inside, F.size(inside) - 1)["line_no"], at)
-    python = F.col("code").startswith("def ") & ~begun
-    end = F.when(python, indented).otherwise(F.coalesce(closing, overrun, at))
-    found = first.join(per_file, "path").withColumn("end_line", end)
-    total = 1 + F.get("all", F.col("end_line") - 1)["decided"] - F.col("decided") + F.col("points")
-    name = F.coalesce(*(F.when(F.length(x) > 0, x) for x in (F.regexp_extract("code", NAME, i) for i in (1, 2, 3, 4))), F.lit("anonymous"))
-    return found.select("path", name.alias("name"), at.alias("start_line"), "end_line", total.cast("long").alias("complexity"), (F.col("end_line") - at + 1).alias("line_count"))
+    name = F.coalesce(*(F.when(F.length(x) > 0, x) for x in (F.regexp_extract(code, NAME, i) for i in (1, 2, 3, 4))), F.lit("anonymous"))
+    first = F.when(~_starts(line, "//", "*", "#") & shaped, F.struct(name.alias("name"), code.startswith("def ").alias("python"), opens.alias("own"), (opens - count_of(line, r"\}")).alias("net"), decisions.alias("points")))
+    rows = rows.select("path", "line_no", "opened", "depth", "decided", "indent", first.alias("first"))
+    listed = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "opened", "depth", "decided", "indent"))).alias("ls"), F.array_sort(F.collect_list(F.when(F.col("first").isNotNull(), F.struct("line_no", "first.*")))).alias("starts"))
+    columns = [F.col(f"ls.{c}").cast("array<long>").alias(c) for c in ("opened", "depth", "decided", "indent")]
+    return listed.where(F.size("starts") > 0).select("path", *columns, "starts").mapInArrow(_ends, "path string, name string, start_line int, end_line int, complexity long, line_count int")
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The functions of files: of each the first line that closes it, searched in its next ``SPAN`` lines."""
+    for batch in batches:
+        out = []
+        for path, opened, depth, decided, indent, starts in zip(*(batch.column(c).to_pylist() for c in ("path", "opened", "depth", "decided", "indent", "starts")), strict=True):
+            opened, depth, indent = np.array(opened), np.array(depth), np.array(indent)
+            for f in starts:
+                at = f["line_no"] - 1
+                upto = min(at + SPAN + 2, opened.size)
+                before_open, before_depth = opened[at] - f["own"], depth[at] - f["net"]
+                closing = np.flatnonzero((opened[at:upto] > before_open) & (depth[at:upto] <= before_depth))
+                if f["python"] and opened[upto - 1] <= before_open:
+                    after = indent[at + 1 :]
+                    outdent = np.flatnonzero((after >= 0) & (after <= indent[at]))
+                    inside = np.flatnonzero(after[: outdent[0] if outdent.size else None] >= 0)
+                    end = at + 1 + int(inside[-1]) if inside.size else at
+                else:
+                    end = at + int(closing[0]) if closing.size else at + SPAN + 1 if opened.size > at + SPAN + 1 else at
+                out.append((path, f["name"], at + 1, end + 1, 1 + decided[end] - decided[at] + f["points"], end - at + 1))
+        if out:
+            types = (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["path", "name", "start_line", "end_line", "complexity", "line_count"])
 
 
 def complexity_findings(found: DataFrame, max_complexity: int = MAX_COMPLEXITY, max_lines: int = MAX_FUNCTION_LINES) -> DataFrame:
@@ -233,16 +248,32 @@ def blocks(lines: DataFrame, size: int = 6, min_tokens: int = 30) -> DataFrame:
 
 
 def duplicate_pairs(found: DataFrame) -> DataFrame:
-    """Blocks of one file with equal content that do not overlap: a_start, a_end, b_start, b_end."""
-    a = found.select("path", "block", F.col("start_line").alias("a_start"), F.col("end_line").alias("a_end"))
-    b = found.select("path", "block", F.col("start_line").alias("b_start"), F.col("end_line").alias("b_end"))
-    return a.join(b, ["path", "block"]).where("b_start > a_end")
+    """Blocks of one file with equal content that do not overlap, each against the first of its kind: a_start, a_end, b_start, b_end.
+
+    All pairs of a kind would be as many as the square of its copies; those of the first name every copy.
+    """
+    same = Window.partitionBy("path", "block").orderBy("start_line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = found.select("path", F.first("start_line").over(same).alias("a_start"), F.first("end_line").over(same).alias("a_end"), F.col("start_line").alias("b_start"), F.col("end_line").alias("b_end"))
+    return rows.where("b_start > a_end")
+
+
+def duplicate_classes(found: DataFrame) -> DataFrame:
+    """path, start_line, end_line, first (the start of the first block of equal content) and copies, of every block that has a copy."""
+    same = Window.partitionBy("path", "block")
+    rows = found.select("path", "start_line", "end_line", F.min("start_line").over(same).alias("first"), F.count(F.lit(1)).over(same).alias("copies"))
+    return rows.where("copies > 1")
 
 
 def duplicate_findings(found: DataFrame, most: int = 10) -> DataFrame:
-    """The first ``most`` pairs of a file: by first sight of the block, then by place.  Medium beyond 20 lines."""
-    seen = F.min("start_line").over(Window.partitionBy("path", "block"))
-    pairs = duplicate_pairs(found).join(found.select("path", "block", seen.alias("seen")).distinct(), ["path", "block"])
+    """The first ``most`` pairs of a file, of all pairs that do not overlap: by first sight of the block, then by place.  Medium beyond 20 lines.
+
+    Of a kind, only the copies that overlap the first and ``most`` more can be in such a pair.
+    """
+    kind = Window.partitionBy("path", "block")
+    rows = found.select("path", "block", "start_line", "end_line", F.min("start_line").over(kind).alias("seen"), F.min("end_line").over(kind).alias("seen_end"), F.row_number().over(kind.orderBy("start_line")).alias("k"))
+    rows = rows.withColumn("near", F.count_if(F.col("start_line") <= F.col("seen_end")).over(kind)).where(F.col("k") <= F.col("near") + most)
+    a, b = (rows.select("path", "block", "seen", F.col("start_line").alias(f"{n}_start"), F.col("end_line").alias(f"{n}_end")) for n in "ab")
+    pairs = a.join(b, ["path", "block", "seen"]).where("b_start > a_end")
     order = Window.partitionBy("path").orderBy("seen", "block", "a_start", "b_start")
     return pairs.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select("path", "nth", "a_start", "a_end", "b_start", "b_end", F.when(F.col("a_end") - F.col("a_start") + 1 > 20, "medium").otherwise("low").alias("severity"))
 
@@ -257,7 +288,8 @@ RUBY = ((r"^\s*#",), r"^=begin\b", r"^=end\b")
 def metrics(lines: DataFrame) -> DataFrame:
     """path, total, code, comment, blank and comment_ratio of each file (path, language, line_no, line).
 
-    The comment state runs through the lines of a file as a fold.
+    A line that begins or ends a block comment sets the state, others leave it:
+    the state of a line is the last that was set before it.
     """
     code, language = trimmed(F.col("line")), F.col("language")
     families = {"python": HASHES, "php": PHP, "ruby": RUBY}
@@ -277,17 +309,11 @@ def metrics(lines: DataFrame) -> DataFrame:
         # An opening mark alone is no end; a lone docstring mark is its own end.
         F.when(language == "python", code.rlike(HASHES[2])).otherwise(by_family(lambda f: f[2]) & (code != "/**/")).alias("ends"),
     )
-    listed = rows.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "blank", "single", "starts", "ends"))).alias("all"))
-    zero = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("code"), F.lit(0).alias("comment"), F.lit(0).alias("blank"))
-
-    def step(s, x):
-        comment = ~x["blank"] & (s["inside"] | x["starts"] | x["single"])
-        inside = F.when(x["blank"], s["inside"]).when(s["inside"] | x["starts"], ~x["ends"]).otherwise(F.lit(False))
-        one = lambda c: F.when(c, 1).otherwise(0)
-        return F.struct(inside.alias("inside"), (s["code"] + one(~x["blank"] & ~comment)).alias("code"), (s["comment"] + one(comment)).alias("comment"), (s["blank"] + one(x["blank"])).alias("blank"))
-
-    done = listed.select("path", F.size("all").cast("long").alias("total"), F.aggregate("all", zero, step).alias("s"))
-    return done.select("path", "total", F.col("s.code").cast("long").alias("code"), F.col("s.comment").cast("long").alias("comment"), F.col("s.blank").cast("long").alias("blank"), F.round(F.col("s.comment") / F.col("total"), 6).alias("comment_ratio"))
+    state = F.when(F.col("blank"), None).when(F.col("ends"), False).when(F.col("starts"), True)
+    inside = F.coalesce(F.last(state, ignorenulls=True).over(_lines().rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    rows = rows.select("path", "blank", (~F.col("blank") & (inside | F.col("starts") | F.col("single"))).alias("comment"))
+    found = rows.groupBy("path").agg(F.count(F.lit(1)).alias("total"), F.count_if(~F.col("blank") & ~F.col("comment")).alias("code"), F.count_if("comment").alias("comment"), F.count_if("blank").alias("blank"))
+    return found.select("path", "total", "code", "comment", "blank", F.round(F.col("comment") / F.col("total"), 6).alias("comment_ratio"))
 
 
 def metric_findings(measured: DataFrame, min_ratio: float = MIN_COMMENT_RATIO) -> DataFrame:

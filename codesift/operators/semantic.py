@@ -87,15 +87,20 @@ def equivalences(files: DataFrame) -> DataFrame:
 
 
 #: Weighted words of each context, in the order that breaks ties, and the path words with their bonus.
-CONTEXTS: dict[str, tuple[tuple[tuple[str, int], ...], tuple[str, int]]] = {
+#: Letter case counts in expressions marked so.
+CASED = True
+CONTEXTS: dict[str, tuple[tuple[tuple, ...], tuple[str, int]]] = {
     "auth": (
         (
             (r"\b(?:login|logout|signin|signout|signup|authenticate|authorize|auth)\b", 3),
             (r"\b(?:password|passwd|pwd|credential|token|session|jwt|oauth|sso)\b", 2),
             (r"\b(?:bcrypt|argon2|pbkdf2|scrypt|hash(?:Password|Passwd))\b", 3),
             (r"\b(?:isAuthenticated|isAuthorized|requireAuth|checkAuth|verifyToken)\b", 3),
-            (r"\b(?:csrf|xsrf|cors)\b", 1),
+            (r"\b(?:passport|express-session|cookie-session|jsonwebtoken)\b", 2),
+            (r"\b(?:access_token|refresh_token|id_token|bearer)\b", 2),
             (r"\b(?:rbac|acl|permission|role|privilege)\b", 2),
+            (r"\b(?:csrf|xsrf|cors)\b", 1),
+            (r"\b(?:@Secured|@PreAuthorize|@RolesAllowed|@Authenticated)\b", 3, CASED),
         ),
         (r"auth|login|session|user", 5),
     ),
@@ -103,17 +108,24 @@ CONTEXTS: dict[str, tuple[tuple[tuple[str, int], ...], tuple[str, int]]] = {
         (
             (r"\b(?:payment|pay|charge|invoice|billing|subscription|checkout)\b", 3),
             (r"\b(?:stripe|paypal|braintree|square|adyen|razorpay)\b", 3),
+            (r"\b(?:credit_card|card_number|cvv|cvc|expiry|expiration)\b", 3),
             (r"\b(?:amount|price|cost|fee|total|subtotal|tax|discount)\b", 1),
             (r"\b(?:refund|chargeback|dispute|payout|transfer)\b", 2),
+            (r"\b(?:pci|pci-dss|cardholder)\b", 3),
+            (r"\b(?:bank_account|routing_number|iban|swift|bic)\b", 3),
         ),
         (r"payment|billing|checkout|order", 5),
     ),
     "data-handling": (
         (
             (r"\b(?:pii|gdpr|ccpa|hipaa|ferpa|coppa)\b", 3),
+            (r"\b(?:personal_data|user_data|sensitive_data|private_data)\b", 3),
+            (r"\b(?:ssn|social_security|tax_id|national_id)\b", 3),
             (r"\b(?:email|phone|address|date_of_birth|dob|gender)\b", 1),
             (r"\b(?:encrypt|decrypt|anonymize|pseudonymize|mask|redact)\b", 2),
             (r"\b(?:consent|opt_in|opt_out|data_retention|data_deletion)\b", 2),
+            (r"\b(?:export_data|download_data|data_portability)\b", 2),
+            (r"\b(?:medical|health|diagnosis|prescription|patient)\b", 3),
         ),
         (r"user|profile|account|data", 3),
     ),
@@ -121,8 +133,12 @@ CONTEXTS: dict[str, tuple[tuple[tuple[str, int], ...], tuple[str, int]]] = {
         (
             (r"\b(?:router|route|endpoint|controller|handler|middleware)\b", 2),
             (r"\b(?:app\.(?:get|post|put|patch|delete|use|all))\b", 3),
+            (r"\b(?:@(?:Get|Post|Put|Patch|Delete|Controller|RestController|RequestMapping))\b", 3, CASED),
+            (r"\b(?:@api_view|@action|urlpatterns|path\(|url\()\b", 3),
             (r"\b(?:req|res|request|response|ctx|context)\b", 1),
+            (r"\b(?:status\(\d{3}\)|json\(|send\(|render\()\b", 1),
             (r"\b(?:rate_limit|throttle|cors|helmet|swagger|openapi)\b", 2),
+            (r"\b(?:api/v\d|REST|GraphQL|gRPC|websocket)\b", 2),
         ),
         (r"route|controller|handler|endpoint|api", 5),
     ),
@@ -130,7 +146,10 @@ CONTEXTS: dict[str, tuple[tuple[tuple[str, int], ...], tuple[str, int]]] = {
         (
             (r"\b(?:crypto|cipher|decipher|encrypt|decrypt)\b", 3),
             (r"\b(?:createHash|createHmac|createCipher|createSign|createVerify)\b", 3),
+            (r"\b(?:aes|rsa|ecdsa|ed25519|chacha20|x25519)\b", 3),
             (r"\b(?:sha256|sha384|sha512|blake2|argon2)\b", 2),
+            (r"\b(?:public_key|private_key|secret_key|signing_key|verification_key)\b", 3),
+            (r"\b(?:certificate|x509|pem|der|pkcs)\b", 2),
             (r"\b(?:nonce|iv|initialization_vector|salt|pepper)\b", 2),
             (r"\b(?:tls|ssl|https|mtls|certificate_pinning)\b", 2),
         ),
@@ -141,6 +160,9 @@ CONTEXTS: dict[str, tuple[tuple[tuple[str, int], ...], tuple[str, int]]] = {
             (r"\b(?:readFile|writeFile|createReadStream|createWriteStream)\b", 3),
             (r"\b(?:fs\.|os\.path|shutil|pathlib)\b", 2),
             (r"\b(?:upload|download|attachment|multipart|formdata)\b", 2),
+            (r"\b(?:mkdir|rmdir|unlink|rename|copy|move)\b", 2),
+            (r"\b(?:tempfile|tmp|temporary|temp_dir)\b", 1),
+            (r"\b(?:path\.join|path\.resolve|path\.normalize)\b", 1),
             (r"\b(?:chmod|chown|permissions|mode)\b", 2),
         ),
         (r"upload|file|storage|media", 5),
@@ -148,6 +170,11 @@ CONTEXTS: dict[str, tuple[tuple[tuple[str, int], ...], tuple[str, int]]] = {
 }
 
 
+def context_words(name: str) -> list[tuple[str, int]]:
+    """The expressions of a context, with their letter case, and their weights."""
+    return [(e if cased else f"(?i){e}", weight) for e, weight, *cased in CONTEXTS[name][0]]
+
+
 def contexts(files: DataFrame) -> DataFrame:
     """path, context and confidence: the context with the most weighted words, the first among equals.
 
@@ -155,8 +182,8 @@ def contexts(files: DataFrame) -> DataFrame:
     """
     text, path = F.col("content"), F.lower("path")
     scores = []
-    for i, (name, (words, (in_path, bonus))) in enumerate(CONTEXTS.items()):
-        score = sum((F.regexp_count(text, F.lit(f"(?i){e}")) * w for e, w in words), F.when(path.rlike(in_path), bonus).otherwise(0))
+    for i, (name, (_, (in_path, bonus))) in enumerate(CONTEXTS.items()):
+        score = sum((F.regexp_count(text, F.lit(e)) * w for e, w in context_words(name)), F.when(path.rlike(in_path), bonus).otherwise(0))
         scores.append(F.struct(score.cast("int").alias("score"), F.lit(-i).alias("order"), F.lit(name).alias("name")))
     rows = files.select("path", F.array(*scores).alias("all")).select("path", F.array_max("all").alias("best"), F.aggregate("all", F.lit(0), lambda acc, x: acc + x["score"]).alias("total"))
     score = F.col("best.score")
@@ -164,12 +191,27 @@ def contexts(files: DataFrame) -> DataFrame:
     return rows.select("path", F.when((confidence < 0.2) | (score < 5), "general").otherwise(F.col("best.name")).alias("context"), F.round(confidence, 2).alias("confidence"))
 
 
-#: Severities that a context changes, by category of a finding.
-OVERRIDES = (("auth", "auth", "critical"), ("auth", "crypto", "critical"), ("payment", "injection", "critical"), ("payment", "crypto", "critical"), ("data-handling", "xss", "critical"), ("api", "api-security", "critical"), ("crypto", "crypto", "critical"))
+#: Severities that a context gives to the findings of a rule.
+OVERRIDES = (
+    ("auth", "security/weak-auth", "critical"), ("auth", "security/hardcoded-secret", "critical"), ("auth", "security/weak-crypto", "critical"),
+    ("payment", "security/hardcoded-secret", "critical"), ("payment", "security/weak-crypto", "critical"), ("payment", "quality/console-log", "high"),
+    ("data-handling", "security/hardcoded-secret", "critical"), ("data-handling", "quality/console-log", "medium"),
+    ("crypto", "security/weak-crypto", "critical"),
+)
+#: What a reviewer looks at in code of a context.
+ADVICE = {
+    "auth": ("are passwords hashed slowly", "are secrets compared in constant time", "how are sessions set up", "are logins limited in number"),
+    "payment": ("do card rules hold", "are card numbers logged", "is the way to the provider encrypted", "are amounts checked for sign and size"),
+    "data-handling": ("is stored data encrypted", "is shared data anonymous", "was consent given", "when is data deleted"),
+    "api": ("is every input checked", "who may call this", "are calls limited in number", "which origins are allowed"),
+    "crypto": ("are algorithms and key lengths current", "where do keys live", "is randomness of the secure kind", "are nonces used once"),
+}
 
 
 def adjusted(found: DataFrame, context: DataFrame) -> DataFrame:
-    """Findings with the context of their file and the severity it gives them."""
-    table = found.sparkSession.createDataFrame(list(OVERRIDES), "context string, category string, override string")
-    joined = found.join(context, "path", "left").join(F.broadcast(table), ["context", "category"], "left")
+    """Findings with the context of their file, the severity it gives them, and what to look at there (null without advice)."""
+    spark = found.sparkSession
+    table = spark.createDataFrame(list(OVERRIDES), "context string, rule_id string, override string")
+    advice = spark.createDataFrame([(k, list(v)) for k, v in ADVICE.items()], "context string, advice array<string>")
+    joined = found.join(context, "path", "left").join(F.broadcast(table), ["context", "rule_id"], "left").join(F.broadcast(advice), "context", "left")
     return joined.withColumn("severity", F.coalesce("override", "severity")).drop("override")

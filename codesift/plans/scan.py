@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,11 @@ from codesift.detectors.file_ops import FILE_OPS
 from codesift.detectors.injection import INJECTION
 from codesift.detectors.secrets import SECRETS
 from codesift.detectors.xss import XSS
-from codesift.functions.text import explode_lines
-from codesift.operators import quality
-from codesift.operators.findings import findings, first_of_fingerprint, of_severity, ordered, resolve_overlaps, summary
-from codesift.operators.match import RULE_COLUMNS, detect, matches, rules_of, with_file_flags
-from codesift.sources.files import discover, read_files, route
+from codesift.functions.text import explode_lines, severity_rank
+from codesift.operators import dependencies, quality, taint
+from codesift.operators.findings import AROUND, ORDINALS, exit_code, findings, first_of_fingerprint, of_severity, ordered, resolve_overlaps, summary
+from codesift.operators.match import detect
+from codesift.sources.files import discover, ignore_lines, read_files, route
 from codesift.sources.rules import read_rules, rule_patterns
 
 HAND_WRITTEN = (*INJECTION, *XSS, *AUTH, *CRYPTO, *FILE_OPS, *API, *SECRETS)
@@ -28,12 +30,14 @@ RULE_PATTERNS, RULE_LANGUAGES = rule_patterns(read_rules())
 
 
 def security_findings(routed: DataFrame, patterns=RULE_PATTERNS, languages: Sequence[tuple[str, ...]] = RULE_LANGUAGES) -> DataFrame:
-    """Findings of the hand-written detectors and of the rules that run on a file's language, before duplicates go."""
+    """Findings of the hand-written detectors and of the rules that run on a file's language, before duplicates go.
+
+    One pass over the files: language and snippet travel with the lines.
+    """
     files = routed.where("to_security")
-    every = (*HAND_WRITTEN, *patterns)
-    found = detect(files, every)
+    found = detect(files, (*HAND_WRITTEN, *patterns), ("language",), AROUND)
     table = files.sparkSession.createDataFrame([(len(HAND_WRITTEN) + k, list(x)) for k, x in enumerate(languages)], "pattern_ord int, runs_on array<string>")
-    found = found.join(files.select("path", "language"), "path").join(F.broadcast(table), "pattern_ord", "left")
+    found = found.join(F.broadcast(table), "pattern_ord", "left")
     found = found.where(F.col("runs_on").isNull() | F.array_contains("runs_on", "*") | F.array_contains("runs_on", F.col("language"))).drop("runs_on", "language")
     return findings(files, found)
 
@@ -60,32 +64,95 @@ def quality_findings(routed: DataFrame, config: Config = Config()) -> DataFrame:
         named(quality.duplicate_findings(quality.blocks(lines)), "QUA-DUP-001", "duplication", "duplicate block", line="a_start"),
         quality.metric_findings(quality.metrics(lines), t.comment_ratio).select("path", F.lit(1).alias("line_no"), "rule_id", F.lit("low").alias("severity"), F.lit("metrics").alias("category"), "message"),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, (p.withColumn("pattern_ord", F.lit(k)) for k, p in enumerate(parts)))
+
+
+def quality_scanner(routed: DataFrame, config: Config = Config()) -> DataFrame:
+    """The quality findings with the columns of the security findings."""
+    found = quality_findings(routed, config).select("*", F.lit(1).alias("col"), F.lit("high").alias("confidence"))
+    return findings(routed, found, "quality", 1)
+
+
+def cve_scanner(routed: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Findings of advisories that apply to the manifests' dependencies."""
+    deps = dependencies.dependencies(routed.where("to_cve").select("path", "content"))
+    found = dependencies.cve_findings(dependencies.match_advisories(deps, advisories), advisories)
+    return found.select(
+        "path", "line_no", "rule_id", "severity", "fingerprint", "id",
+        F.lit(1).alias("col"), F.lit(0).alias("pattern_ord"), F.lit("high").alias("confidence"), F.lit("cve").alias("category"), F.col("title").alias("message"),
+        F.concat_ws(" ", "name", "version").alias("hit"), F.lit("cve").alias("scanner"), F.lit(2).alias("scanner_ord"), F.array("reference").alias("references"),
+    )
+
+
+def taint_scanner(routed: DataFrame) -> DataFrame:
+    """Findings of taint flows, part of the security scanner in a deep scan."""
+    files = routed.where("to_security")
+    found = taint.taint_findings(taint.taint_flows(files.select("path", "language", "content")))
+    message = F.concat(F.lit("data from "), "source", F.lit(" (line "), F.col("source_line"), F.lit(") reaches "), "sink")
+    found = found.select("path", "line_no", "rule_id", "severity", "category", "confidence", "cwe", message.alias("message"), F.lit(1).alias("col"), F.lit(1_000_000).alias("pattern_ord"), F.col("sink").alias("hit"), "source_line")
+    return findings(files, found)
 
 
 @dataclass(frozen=True)
 class Scan:
-    """The tables of a scan; nothing has run yet."""
+    """The tables of a scan; nothing has run yet.
+
+    files: what is scanned; unreadable: path and size of files left out as they
+    are not UTF-8; findings: in order; summary; exit_code: one row.
+    """
 
     files: DataFrame
+    unreadable: DataFrame
     findings: DataFrame
     summary: DataFrame
+    exit_code: DataFrame
 
 
 #: A further scanner: routed files to rows with the columns of the security findings.
 Scanner = Callable[[DataFrame], DataFrame]
 
 
-def scan(spark: SparkSession, source: str | DataFrame, config: Config = Config(), scanners: Sequence[Scanner] = ()) -> Scan:
-    """Scans a folder, or a table with path and content."""
-    files = read_files(spark, source) if isinstance(source, str) else source
-    routed = route(discover(files, config.exclude, config.languages))
-    patterns, languages = rule_patterns(read_rules(config.rules_path))
-    found = of_severity(security_findings(routed, patterns, languages), config.severities)
-    for extra in scanners:
-        found = found.unionByName(extra(routed), allowMissingColumns=True)
+def scan(spark: SparkSession, source: str | DataFrame, config: Config = Config(), scanners: Sequence[Scanner] = (), advisories: DataFrame | None = None) -> Scan:
+    """Scans a folder, or a table with path and content, with the scanners that the configuration turns on.
+
+    advisories: rows of ``operators.dependencies.ADVISORY``, which the cve
+    scanner needs.  A file that cannot be read takes part in nothing and fails
+    nothing; it counts as scanned.
+    """
+    root = source if isinstance(source, str) else ""
+    files = read_files(spark, source) if root else source
+    if "readable" not in files.columns:
+        files = files.withColumn("readable", F.col("content").isNotNull())
+    ignore = [*(ignore_lines(spark, root) if root else ()), *config.exclude]
+    chosen = route(discover(files, ignore, config.languages, config.include, root))
+    routed = chosen.where(F.col("readable") & (F.length("content") > 0))
+    parts = []
+    if config.security:
+        patterns, languages = rule_patterns(read_rules(config.rules_path))
+        parts.append(of_severity(security_findings(routed, patterns, languages), config.severities))
+        if config.deep:
+            parts.append(of_severity(taint_scanner(routed), config.severities))
+    if config.quality:
+        parts.append(quality_scanner(routed, config))
+    if config.cve:
+        if advisories is None:
+            raise ValueError("the cve scanner needs advisories")
+        parts.append(cve_scanner(routed, advisories))
+    parts += [extra(routed) for extra in scanners]
+    if not parts:
+        raise ValueError("no scanner is on")
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     final = resolve_overlaps(first_of_fingerprint(found))
-    return Scan(routed, ordered(final), summary(final))
+    return Scan(chosen, chosen.where(~F.col("readable")).select("path", *(["size"] if "size" in chosen.columns else [])), ordered(final), summary(final, chosen), exit_code(final))
+
+
+def envelope(result: Scan, target: str, config: Config = Config(), version: str = "1") -> DataFrame:
+    """One row: version, tool, target, config, summary and findings as nested values.
+
+    For reports that one file holds; large scans write ``findings`` as a table.
+    """
+    totals = result.summary.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "dimension", "value"), "n")))).alias("summary"))
+    listed = result.findings.withColumn("rank", severity_rank(F.col("severity")))
+    every = listed.agg(F.array_sort(F.collect_list(F.struct("rank", *ORDINALS, *(c for c in listed.columns if c not in ("rank", *ORDINALS))))).alias("findings"))
+    settings = F.lit(json.dumps(asdict(config), sort_keys=True))
+    return totals.withColumn("one", F.lit(1)).join(every.withColumn("one", F.lit(1)), "one").select(F.lit(version).alias("version"), F.lit("codesift").alias("tool"), F.lit(target).alias("target"), settings.alias("config"), "summary", "findings")

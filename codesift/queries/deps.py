@@ -43,16 +43,18 @@ ALL_SQL = f"{PACKAGES_SQL}, deps AS ({' UNION ALL '.join(_sql(k) for k in range(
 NAMES_SQL = ", ".join(quoted(n) for n in src.NAMES[:7])
 ECOSYSTEMS_SQL = ", ".join(quoted(n) for n in src.ECOSYSTEMS[:7])
 ADVISORIES_SQL = f"""advisories AS (SELECT 'GHSA-' || p_partkey || '-' || (k - 1) AS id, replace([{NAMES_SQL}][k], '%n', 'pkg' || p_partkey) AS name, [{ECOSYSTEMS_SQL}][k] AS ecosystem, p_name, p_size,
-    (p_size % 4) || '.' || (p_size % 11) || '.0' AS last FROM (SELECT *, unnest(range(1, 8)) AS k FROM part WHERE p_partkey % 4 = 0))"""
+    (p_size % 4) || '.' || (p_size % 11) || '.0' AS last FROM (SELECT *, unnest(range(1, 8)) AS k FROM part))"""
 
 
 def key_sql(column: str) -> str:
     return f"list_transform(string_split(replace({column}, 'v', ''), '.'), lambda x: x::INT)"
 
 
-MATCH_SQL = f"""{ALL_SQL}, {ADVISORIES_SQL}, matched AS (SELECT DISTINCT d.path, d.name, d.version, d.ecosystem, a.id AS advisory_id, CASE WHEN p_size % 2 = 0 THEN last END AS fixed, p_size, p_name
-    FROM deps d JOIN advisories a ON a.ecosystem = d.ecosystem AND a.name = d.name
-    WHERE d.version = '*' OR CASE WHEN p_size % 2 = 0 THEN {key_sql('d.version')} < {key_sql('last')} ELSE {key_sql('d.version')} <= {key_sql('last')} END)"""
+FIRST_SQL = f"CASE WHEN p_size % 2 = 0 THEN {key_sql('version')} < {key_sql('last')} ELSE {key_sql('version')} <= {key_sql('last')} END"
+MATCH_SQL = f"""{ALL_SQL}, {ADVISORIES_SQL},
+    pairs AS (SELECT DISTINCT d.path, d.name, d.version, d.ecosystem, a.id AS advisory_id, p_size, p_name, last FROM deps d JOIN advisories a ON a.ecosystem = d.ecosystem AND a.name = d.name),
+    judged AS (SELECT *, version = '*' AS any_version, CASE WHEN version = '*' THEN true ELSE {FIRST_SQL} END AS early, version <> '*' AND p_size % 6 = 0 AND {key_sql("CASE WHEN version = '*' THEN '0' ELSE version END")} BETWEEN [3, 9] AND [3, 10, 1] AS late, p_size % 9 = 4 AND replace(version, 'v', '') = '2.5.1' AS listed FROM pairs),
+    matched AS (SELECT path, name, version, ecosystem, advisory_id, CASE WHEN early AND p_size % 2 = 0 THEN last END AS fixed, p_size, p_name FROM judged WHERE early OR late OR listed)"""
 
 
 def advisory_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +69,7 @@ def advisory_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cve_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     advisories = src.advisories(spark, sf_dir)
     matched = deps.match_advisories(deps.dependencies(src.manifests(spark, sf_dir)), advisories)
-    return deps.cve_findings(matched, deps.advisory_facts(advisories)).select("path", "rule_id", "severity", "name", "fingerprint", "id", "reference")
+    return deps.cve_findings(matched, advisories).select("path", "rule_id", "severity", "name", "fingerprint", "id", "reference")
 
 
 LEVEL_SQL = """CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size % 10 + 0.5 >= 9 THEN 'CRITICAL' WHEN p_size % 10 + 0.5 >= 7 THEN 'HIGH' WHEN p_size % 10 + 0.5 >= 4 THEN 'MEDIUM' ELSE 'LOW' END

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from codesift.functions.text import explode_lines
 from codesift.operators import quality, semantic, taint
-from codesift.queries.files import TRIM_SQL
-from codesift.queries.sql import rx
+from codesift.queries.files import LANGUAGE_SQL, TRIM_SQL
+from codesift.queries.sql import any_rx, rx
 from codesift.sources.corpus import files, files_sql, quoted
 from codesift.sources.files import classify
 
@@ -53,19 +53,52 @@ def nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.nesting(_lines(spark, sf_dir)).select("path", F.col("line_no").cast("long"), "depth")
 
 
-@query()
+@query(f"""{nesting_sql().replace('WITH', 'WITH RECURSIVE', 1)},
+    deep AS MATERIALIZED (SELECT path, line_no, depth FROM before WHERE NOT closes AND depth > {quality.MAX_NESTING} AND (contains(line, '{{') OR {rx(CODE, r'^(?:if|for|while|switch|try)\b')})),
+    kept AS (SELECT path, min(line_no) AS line_no FROM deep GROUP BY path
+             UNION ALL SELECT kept.path, min(deep.line_no) FROM kept JOIN deep ON deep.path = kept.path AND deep.line_no > kept.line_no + 5 GROUP BY kept.path)
+    SELECT path, line_no::BIGINT AS line_no, depth::BIGINT AS depth, CASE WHEN depth > {quality.MAX_NESTING + 2} THEN 'high' ELSE 'medium' END AS severity FROM kept JOIN deep USING (path, line_no)""")
 def deep_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.deep_nesting(_lines(spark, sf_dir))
+    return quality.deep_nesting(_lines(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query()
+def count_all(column: str, *expressions: str) -> str:
+    """How often the expressions match; ``x(?!=)`` as the matches of x less those of x and an equals sign."""
+    parts = []
+    for e in expressions:
+        bare, look, _ = e.partition("(?!=)")
+        parts.append(count_sql(bare, column) + (f" - {count_sql(bare + '=', column)}" if look else ""))
+    return " + ".join(parts)
+
+
+def functions_sql() -> str:
+    """``fns``: path, name, start_line, end_line, complexity and line_count."""
+    shaped = " OR ".join(rx("code", e) for e in quality.FUNCTIONS)
+    names = ", ".join(f"nullif(regexp_extract(e.code, {quoted(quality.NAME)}, {g}), '')" for g in (1, 2, 3, 4))
+    return f"""{files_sql()},
+        c AS (SELECT path, line_no, line, {CODE} AS code, {count_sql('{', 'line')} AS opens, {count_sql('}', 'line')} AS closes, {count_all('line', *quality.DECISIONS)} AS points,
+              CASE WHEN {CODE} = '' THEN -1 ELSE length(line) - length(regexp_replace(line, '^\\s+', '')) END AS indent FROM lines),
+        r AS (SELECT *, sum(opens) OVER w AS opened, sum(opens - closes) OVER w AS depth, sum(points) OVER w AS decided, count(*) OVER (PARTITION BY path) AS n FROM c WINDOW w AS (PARTITION BY path ORDER BY line_no)),
+        f AS (SELECT *, opened - opens AS bo, depth - opens + closes AS bd, least(line_no + {quality.SPAN + 1}, n) AS last FROM r WHERE NOT ({COMMENT_STARTS}) AND ({shaped})),
+        g AS (SELECT f.path, f.line_no, min(CASE WHEN l.line_no <= f.last AND l.opened > f.bo AND l.depth <= f.bd THEN l.line_no END) AS closing, max(CASE WHEN l.line_no = f.last THEN l.opened END) AS last_opened,
+              min(CASE WHEN l.line_no > f.line_no AND l.indent >= 0 AND l.indent <= f.indent THEN l.line_no END) AS outdent FROM f JOIN r l ON l.path = f.path AND l.line_no >= f.line_no GROUP BY f.path, f.line_no),
+        h AS (SELECT g.path, g.line_no, max(l.line_no) AS inner_end FROM g JOIN r l ON l.path = g.path AND l.line_no > g.line_no AND l.indent >= 0 AND (g.outdent IS NULL OR l.line_no < g.outdent) GROUP BY g.path, g.line_no),
+        e AS (SELECT f.*, CASE WHEN starts_with(code, 'def ') AND NOT last_opened > bo THEN coalesce(inner_end, f.line_no) ELSE coalesce(closing, CASE WHEN n > f.line_no + {quality.SPAN} THEN f.line_no + {quality.SPAN + 1} END, f.line_no) END AS end_line
+              FROM f JOIN g USING (path, line_no) LEFT JOIN h USING (path, line_no)),
+        fns AS (SELECT e.path, coalesce({names}, 'anonymous') AS name, e.line_no AS start_line, e.end_line, (1 + r.decided - e.decided + e.points)::BIGINT AS complexity, e.end_line - e.line_no + 1 AS line_count
+              FROM e JOIN r ON r.path = e.path AND r.line_no = e.end_line)"""
+
+
+@query(f"WITH {functions_sql()} SELECT path, name, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, complexity, line_count::BIGINT AS line_count FROM fns")
 def function_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.functions(_lines(spark, sf_dir))
+    return quality.functions(_lines(spark, sf_dir)).select("path", "name", *(F.col(c).cast("long") for c in ("start_line", "end_line", "complexity", "line_count")))
 
 
-@query()
+@query(f"""WITH {functions_sql()}
+    SELECT path, start_line::BIGINT AS line_no, 'QUA-CMPLX-001' AS rule_id, CASE WHEN complexity > 8 THEN 'high' ELSE 'medium' END AS severity, name FROM fns WHERE complexity > 4
+    UNION ALL SELECT path, start_line::BIGINT, 'QUA-CMPLX-002', CASE WHEN line_count > 16 THEN 'high' ELSE 'medium' END, name FROM fns WHERE line_count > 8""")
 def complexity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.complexity_findings(quality.functions(_lines(spark, sf_dir)), 4, 8)
+    return quality.complexity_findings(quality.functions(_lines(spark, sf_dir)), 4, 8).withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @query(f"WITH n AS (SELECT 'doc/' || doc_id AS path, len(string_split(text, chr(10)))::BIGINT AS n_lines FROM documents) SELECT path, n_lines, CASE WHEN n_lines > {2 * LONG_FILE} THEN 'high' ELSE 'medium' END AS severity FROM n WHERE n_lines > {LONG_FILE}")
@@ -74,14 +107,38 @@ def long_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.long_files(docs, LONG_FILE)
 
 
-@query()
+def imported_sql(pattern: str, when: str = "true", drop: str = "''") -> str:
+    """The names that group 1 of a pattern lists on a line, less their old names; an empty list where it does not match."""
+    listed = f"list_transform(string_split(regexp_extract(line, {quoted(pattern)}, 1), ','), lambda x: trim(regexp_split_to_array(trim(x), '\\s+as\\s+')[-1]))"
+    return f"CASE WHEN {rx('line', pattern)} AND {when} THEN list_filter({listed}, lambda x: x NOT IN ({drop})) ELSE [] END"
+
+
+@query(f"""WITH {files_sql()},
+    i AS (SELECT path, line_no, unnest(list_concat(list_concat({imported_sql(r'import\s+\{([^}]+)\}\s+from\s+', drop="'', 'type'")}, {imported_sql(r'import\s+(\w+)\s+from\s+', "NOT contains(line, '{')")}),
+          list_concat({imported_sql(r'from\s+\S+\s+import\s+(.+)')}, {imported_sql(r'^import\s+(\w+)', "NOT contains(line, 'from')")}))) AS name
+          FROM lines WHERE {rx('line', r'\b(?:import|from)\b')} AND NOT {rx('line', r'import\s+type\b')}),
+    words AS (SELECT DISTINCT path, unnest(regexp_extract_all(line, '\\w+')) AS name FROM lines WHERE NOT {rx('line', quality.IMPORT_LINE)})
+    SELECT path, line_no::BIGINT AS line_no, name FROM i WHERE NOT EXISTS (SELECT 1 FROM words WHERE words.path = i.path AND words.name = i.name)""")
 def unused_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.unused_imports(_lines(spark, sf_dir))
+    return quality.unused_imports(_lines(spark, sf_dir)).withColumn("line_no", F.col("line_no").cast("long"))
 
 
-@query()
+def _numbers_sql() -> str:
+    # The character before a number is part of its gap, as there is no look-behind.
+    wrapped = quoted(r"([\s\S]*?(?:^|\W))(-?\d+\.?\d*\b)")
+    plain = " AND ".join(f"NOT {rx('line', e)}" for e in (r"^\s*(?:import|from|require)\b", r"^\s*(?:const|final|static)\s+\w+\s*[:=]", r"^\s*(?:export\s+)?(?:const|enum)\b", r"\[\s*\d+\s*\]"))
+    even = " AND ".join(f"(length(before) - length(replace(before, {quoted(q)}, ''))) % 2 = 0" for q in ("'", '"', "`"))
+    return f"""WITH {files_sql()}, p AS (SELECT path, line_no, line, regexp_extract_all(line, {wrapped}, 1) AS gaps, regexp_extract_all(line, {wrapped}, 2) AS hits FROM lines WHERE NOT ({COMMENT_STARTS}) AND {plain}),
+        k AS (SELECT *, unnest(range(1, len(hits) + 1)) AS k FROM p),
+        m AS (SELECT path, line_no, line, (1 + list_sum(list_transform(gaps[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda x: length(x))), 0))::BIGINT AS col, hits[k] AS number FROM k),
+        n AS (SELECT *, substr(line, 1, col - 1) AS before, substr(line, greatest(1, col - 5), length(number) + least(5, col - 1) + 5) AS around, try_cast(number AS DOUBLE) AS value FROM m)
+        SELECT path, line_no::BIGINT AS line_no, col, number FROM n WHERE number NOT IN ({', '.join(map(quoted, quality.ALLOWED))}) AND {even} AND NOT {rx('around', r'\d+\.\d+\.\d+')} AND (value < -2 OR value > 10)"""
+
+
+@query(_numbers_sql())
 def magic_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.magic_numbers(_lines(spark, sf_dir))
+    found = quality.magic_numbers(_lines(spark, sf_dir))
+    return found.select("path", F.col("line_no").cast("long"), F.col("col").cast("long").alias("col"), "number")
 
 
 @query(f"""WITH {files_sql()}, c AS (SELECT path, line_no, {CODE} AS code FROM lines WHERE NOT ({COMMENT_STARTS}))
@@ -126,12 +183,19 @@ def dup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.col("start_line").cast("long"), F.col("end_line").cast("long"), "block", F.col("n_tokens").cast("long"))
 
 
-@query(f"{blocks_sql()} SELECT a.path, a.start_line::BIGINT AS a_start, a.end_line::BIGINT AS a_end, b.start_line::BIGINT AS b_start, b.end_line::BIGINT AS b_end FROM blocks a JOIN blocks b ON a.path = b.path AND a.block = b.block AND b.start_line > a.end_line")
+@query(f"""{blocks_sql()}, f AS (SELECT path, block, min(start_line) AS a_start, min(end_line) AS a_end FROM blocks GROUP BY path, block)
+    SELECT path, a_start::BIGINT AS a_start, a_end::BIGINT AS a_end, start_line::BIGINT AS b_start, end_line::BIGINT AS b_end FROM f JOIN blocks USING (path, block) WHERE start_line > a_end""")
 def dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.duplicate_pairs(quality.blocks(_lines(spark, sf_dir), min_tokens=DUP_MIN))
     return found.select("path", *(F.col(c).cast("long") for c in ("a_start", "a_end", "b_start", "b_end")))
 
 
+@query(f"{blocks_sql()} SELECT * FROM (SELECT path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, (min(start_line) OVER w)::BIGINT AS first, count(*) OVER w AS copies FROM blocks WINDOW w AS (PARTITION BY path, block)) WHERE copies > 1")
+def dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.duplicate_classes(quality.blocks(_lines(spark, sf_dir), min_tokens=DUP_MIN))
+    return found.select("path", *(F.col(c).cast("long") for c in ("start_line", "end_line", "first", "copies")))
+
+
 @query(f"""{blocks_sql()}, seen AS (SELECT path, block, min(start_line) AS first FROM blocks GROUP BY path, block),
     pairs AS (SELECT a.path, a.start_line AS a_start, a.end_line AS a_end, b.start_line AS b_start, b.end_line AS b_end, row_number() OVER (PARTITION BY a.path ORDER BY s.first, a.block, a.start_line, b.start_line) AS nth
               FROM blocks a JOIN blocks b ON a.path = b.path AND a.block = b.block AND b.start_line > a.end_line JOIN seen s ON s.path = a.path AND s.block = a.block)
@@ -141,17 +205,50 @@ def dup_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", *(F.col(c).cast("long") for c in ("nth", "a_start", "a_end", "b_start", "b_end")), "severity")
 
 
-@query()
+def metrics_sql() -> str:
+    """``m``: path, total, code, comment, blank and comment_ratio."""
+    families = {"python": quality.HASHES, "php": quality.PHP, "ruby": quality.RUBY}
+
+    def by_family(pick) -> str:
+        whens = " ".join(f"WHEN '{name}' THEN {pick(family)}" for name, family in families.items())
+        return f"CASE language {whens} ELSE {pick(quality.SLASHES)} END"
+
+    return f"""{files_sql()}, c AS (SELECT path, line_no, {CODE} AS code, coalesce({LANGUAGE_SQL}, '') AS language FROM lines),
+        s AS (SELECT path, line_no, code = '' AS blank, {by_family(lambda f: any_rx('code', f[0]))} AS single, {by_family(lambda f: rx('code', f[1]))} AS starts,
+              CASE WHEN language = 'python' THEN {rx('code', quality.HASHES[2])} ELSE ({by_family(lambda f: rx('code', f[2]))}) AND code <> '/**/' END AS ends FROM c),
+        t AS (SELECT *, coalesce(last_value(CASE WHEN blank THEN NULL WHEN ends THEN 0 WHEN starts THEN 1 END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS inside FROM s),
+        u AS (SELECT path, blank, NOT blank AND (inside OR starts OR single) AS comment FROM t),
+        v AS (SELECT path, count(*) AS total, count(*) FILTER (NOT blank AND NOT comment) AS code, count(*) FILTER (comment) AS comment, count(*) FILTER (blank) AS blank FROM u GROUP BY path),
+        m AS (SELECT *, round(comment / total, 6) AS comment_ratio FROM v)"""
+
+
+@query(f"WITH {metrics_sql()} SELECT * FROM m")
 def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.metrics(_lines(spark, sf_dir))
 
 
-@query()
+TEXT_SQL = "printf('%d lines: %d code, %d comment, %d blank; comments %.1f%%', total, code, comment, blank, (comment_ratio * 100)::DOUBLE)"
+
+
+@query(f"WITH {metrics_sql()} SELECT path, 'QUA-METRICS-001' AS rule_id, {TEXT_SQL} AS message FROM m UNION ALL SELECT path, 'QUA-METRICS-002', {TEXT_SQL} FROM m WHERE code > 50 AND comment_ratio < {quality.MIN_COMMENT_RATIO}")
 def metric_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.metric_findings(quality.metrics(_lines(spark, sf_dir)))
 
 
-@query()
+def _normal_sql() -> str:
+    strings = "|".join(f"{q}(?:[^{q}\\\\\\n]|\\\\.)*{q}" for q in ('"', "'", "`"))
+    word = quoted(semantic.WORD)
+    keywords = ", ".join(map(quoted, semantic.KEYWORDS))
+    keep = f"(w IN ({keywords}) OR regexp_matches(w, '^__.*__$'))"
+    return f"""WITH {files_sql()},
+        a AS (SELECT path, array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: {TRIM_SQL.format('x')}), lambda x: x <> '' AND NOT starts_with(x, '//') AND NOT starts_with(x, '#') AND NOT starts_with(x, '*')), chr(10)) AS t FROM files),
+        b AS (SELECT path, regexp_replace(regexp_replace(t, {quoted(strings)}, '"__STR__"', 'g'), '\\b\\d+(?:\\.\\d+)?\\b', '__NUM__', 'g') AS t FROM a),
+        c AS (SELECT path, regexp_extract_all(t, {word}) AS words, regexp_split_to_array(t, {word}) AS gaps FROM b),
+        d AS (SELECT path, words, gaps, list_filter(words, lambda w, i: NOT {keep} AND list_position(words, w) = i) AS names FROM c)
+        SELECT path, sha256(array_to_string(list_transform(gaps, lambda g, i: g || CASE WHEN i > len(words) THEN '' WHEN {keep.replace('w ', 'words[i] ').replace('(w,', '(words[i],')} THEN words[i] ELSE 'v' || (list_position(names, words[i]) - 1) END), '')) AS normal_sha256 FROM d"""
+
+
+@query(_normal_sql())
 def normalize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("path", F.sha2(semantic.normalized(F.col("content")), 256).alias("normal_sha256"))
 
@@ -192,8 +289,8 @@ def semantic_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _context_sql() -> str:
     scores = []
-    for i, (name, (words, (path, bonus))) in enumerate(semantic.CONTEXTS.items()):
-        total = " + ".join([*(f"{w} * {count_sql('(?i)' + e, 'content')}" for e, w in words), f"CASE WHEN {rx('lower(path)', path)} THEN {bonus} ELSE 0 END"])
+    for i, (name, (_, (path, bonus))) in enumerate(semantic.CONTEXTS.items()):
+        total = " + ".join([*(f"{w} * {count_sql(e, 'content')}" for e, w in semantic.context_words(name)), f"CASE WHEN {rx('lower(path)', path)} THEN {bonus} ELSE 0 END"])
         scores.append(f"{{'score': ({total})::INT, 'ord': {-i}, 'name': '{name}'}}")
     return f"""WITH {files_sql()}, s AS (SELECT path, [{', '.join(scores)}] AS a FROM files),
         b AS (SELECT path, list_max(a) AS best, list_sum(list_transform(a, lambda x: x.score)) AS total FROM s),

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import fnmatch
-import posixpath
 import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,12 +49,53 @@ EXTENSION_LANGUAGE = {e: language for language, es in LANGUAGES.items() for e in
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """path, size and content (UTF-8) of the files under a folder, or of one file; larger ones are not read.
+    """path, size, content (UTF-8) and readable of the files under a folder, or of one file; larger and empty ones are not read.
 
-    ``length`` is a filter of the reader, so large files are never loaded.
+    ``length`` is a filter of the reader, so large files are never loaded.  A
+    file that is not UTF-8 fails nothing: it has no content and is not readable.
     """
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= max_bytes)
-    return rows.select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content"))
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where((F.col("length") <= max_bytes) & (F.col("length") > 0))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    return rows.select("path", F.col("length").alias("size"), text.alias("content"), text.isNotNull().alias("readable"))
+
+
+def relative(path: Column, root: str) -> Column:
+    """The part of a path below a folder; a path elsewhere stays."""
+    bare = lambda c: F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/")
+    base = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/+", "/", root).rstrip("/") + "/"
+    return F.when(F.startswith(bare(path), F.lit(base)), F.substr(bare(path), F.lit(len(base) + 1))).otherwise(path)
+
+
+#: Names of ignore files at the root of a scanned folder.
+IGNORE_FILES = (".gitignore", ".codesiftignore")
+
+
+def ignore_lines(spark: SparkSession, root: str) -> list[str]:
+    """The lines of the ignore files at the root of a folder, in order; a folder without them has none."""
+    found: list[str] = []
+    for name in IGNORE_FILES:
+        try:
+            found += [r.value for r in spark.read.text(f"{root.rstrip('/')}/{name}", wholetext=True).collect()]
+        except AnalysisException:  # no such file
+            continue
+    return [line for text in found for line in text.split("\n")]
+
+
+def glob_regex(pattern: str) -> str:
+    """An include glob on relative paths: ``**/`` for any folders, ``*``, ``?`` and ``[...]`` within one name, ``{a,b}`` for either."""
+    pieces = re.split(r"(\*\*/|\*\*|\*|\?|\[[^\]]+\]|\{[^}]*\})", pattern)
+    known = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+    def piece(p: str) -> str:
+        if p in known:
+            return known[p]
+        if p.startswith("[") and p.endswith("]"):
+            return p.replace("[!", "[^", 1)
+        if p.startswith("{") and p.endswith("}"):
+            return "(?:" + "|".join(glob_regex(x)[1:-1] for x in p[1:-1].split(",")) + ")"
+        return re.escape(p)
+
+    return "^" + "".join(map(piece, pieces)) + "$"
 
 
 def extension(path: Column) -> Column:
@@ -88,9 +128,16 @@ def classify(files: DataFrame) -> DataFrame:
     )
 
 
-def discover(files: DataFrame, ignore: Sequence[str] = (), languages: Sequence[str] = ()) -> DataFrame:
-    """Classified files that are to be scanned: of a known language or a manifest, neither binary nor ignored."""
-    found = classify(files).where("language is not null and not is_binary").where(~ignored(F.col("path"), ignore))
+def discover(files: DataFrame, ignore: Sequence[str] = (), languages: Sequence[str] = (), include: Sequence[str] = (), root: str = "") -> DataFrame:
+    """Classified files that are to be scanned: of a known language or a manifest, neither binary nor ignored.
+
+    ``include``: globs of which one must fit the path below ``root``, if there
+    are any.  Files and folders whose name starts with a point are left out.
+    """
+    below = relative(F.col("path"), root) if root else F.col("path")
+    found = classify(files).where("language is not null and not is_binary").where(~ignored(below, ignore) & ~below.rlike(r"(?:^|/)\.[^./]"))
+    if include:
+        found = found.where(below.rlike("|".join(map(glob_regex, include))))
     if languages and "auto" not in languages:
         found = found.where(F.col("language").isin(*languages) | (F.col("language") == "unknown"))
     return found.drop("is_binary")
@@ -123,11 +170,6 @@ def ignored(path: Column, patterns: Sequence[str]) -> Column:
     return result
 
 
-def included(path: str, patterns: Sequence[str]) -> bool:
-    """Whether glob patterns list a path (driver side, for single files)."""
-    return any(fnmatch.fnmatch(posixpath.normpath(path), p) for p in patterns)
-
-
 def route(files: DataFrame) -> DataFrame:
     """Which scanners a classified file goes to: cve for manifests, security for all but lock, vendor and minified files, quality for all."""
     return files.select(

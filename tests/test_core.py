@@ -181,10 +181,15 @@ def test_semantic(spark):
 
 
 def test_taint_chain(spark):
-    code = "const a = req.query.x;\nconst b = a;\nconst c = b;\nconst n = parseInt(c);\nexec(c);\nexec(n);\nb = 1;\nexec(b);\neval(req.body.y);"
-    df = spark.createDataFrame([("t.js", "javascript", code)], "path string, language string, content string")
-    flows = sorted((r.sink_line, r.source, r.source_line, r.steps, r.sink_kind) for r in taint.taint_flows(df).collect())
-    assert flows == [(5, "req.query", 1, 2, "command_injection"), (9, "req.body", 9, 0, "code_injection")]
+    code = "const a = req.query.x;\nconst b = a;\nconst c = b;\nconst n = parseInt(c);\nexec(c);\nexec(n);\nb = 1;\nexec(b);\neval(req.body.y);\ndb.query(n);\ndb.query(a); el.innerHTML = c;\n// exec(a)\nexec(a + c)"
+    df = spark.createDataFrame([("t.js", "javascript", code), ("u.swift", "swift", "let r = URLRequest(u)\nProcess.launch(r)"), ("n.js", "javascript", None), ("x", "klingon", "exec(req.body)")], "path string, language string, content string")
+    flows = sorted((r.path, r.sink_line, r.source, r.source_line, r.steps, r.sink_kind) for r in taint.taint_flows(df).collect())
+    # parseInt cleanses of xss and sql_injection, not of command_injection.
+    assert flows == [
+        ("t.js", 5, "req.query", 1, 2, "command_injection"), ("t.js", 6, "req.query", 1, 3, "command_injection"), ("t.js", 9, "req.body", 9, 0, "code_injection"),
+        ("t.js", 11, "req.query", 1, 0, "sql_injection"), ("t.js", 11, "req.query", 1, 0, "xss"), ("t.js", 11, "req.query", 1, 2, "sql_injection"), ("t.js", 11, "req.query", 1, 2, "xss"),
+        ("t.js", 13, "req.query", 1, 0, "command_injection"), ("t.js", 13, "req.query", 1, 2, "command_injection"), ("u.swift", 2, "URLRequest", 1, 0, "command_injection"),
+    ]
 
 
 def test_dependencies(spark):
