@@ -133,7 +133,7 @@ def judged(urls: DataFrame, rules: Iterable[Rule] | DataFrame = (*HOST_RULES, *W
         fits = fits.unionByName(pages.select("host", "path", F.explode(F.array_compact(tried)).alias("_r")).select("host", "path", "_r.*"))
     # Written, so that the join below is of two scans and a page with very many rows is dealt to many tasks.
     best = written(fits.groupBy("host", "path").agg(F.max_by(F.struct("name", "verdict", "tier"), F.struct("tier", F.length("name"), -F.col("place"))).alias("best")), "verdicts")
-    found = rows.join(best, ["host", "path"], "left")
+    found = rows.join(best.hint("merge"), ["host", "path"], "left")
     return found.select(
         "page_id",
         "host",
