@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codesift.functions.text import severity_rank
@@ -38,33 +38,100 @@ def sarif_rules(found: DataFrame) -> DataFrame:
 
 
 def sarif_results(found: DataFrame) -> DataFrame:
-    """A JSON result for each finding, with the index of its rule."""
+    """A JSON result for each finding, with the index of its rule, and for a taint flow its way from source to sink."""
     level = F.when(F.col("severity").isin("critical", "high"), "error").when(F.col("severity") == "medium", "warning").otherwise("note")
     place = F.struct(F.struct(F.struct(F.translate("path", "\\", "/").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_no").alias("startLine"), F.col("col").alias("startColumn")).alias("region")).alias("physicalLocation"))
+    spot = lambda line, text: F.struct(F.struct(F.struct(F.struct(F.translate("path", "\\", "/").alias("uri")).alias("artifactLocation"), F.struct(line.cast("int").alias("startLine")).alias("region")).alias("physicalLocation"), F.struct(text.alias("text")).alias("message")).alias("location"))
+    flow = []
+    if "source_line" in found.columns:
+        steps = F.array(spot(F.col("source_line"), F.lit("source")), spot(F.col("line_no"), F.col("message")))
+        flow = [F.when(F.col("source_line").isNotNull(), F.array(F.struct(F.array(F.struct(steps.alias("locations"))).alias("threadFlows")))).alias("codeFlows")]
+    # Rules are a configuration: their table is small whatever the number of findings.
     joined = found.join(F.broadcast(sarif_rules(found)), "rule_id")
-    return joined.select(F.to_json(F.struct(F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("fingerprints"))).alias("value"))
+    return joined.select(F.to_json(F.struct(*flow, F.col("rule_id").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), level.alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct(F.col("fingerprint").alias("primary")).alias("fingerprints"))).alias("value"))
 
 
 def sarif_taxa(found: DataFrame) -> DataFrame:
+    """Each weakness with its results and rules."""
     return found.where("cwe <> ''").groupBy("cwe").agg(F.count(F.lit(1)).alias("results"), F.countDistinct("rule_id").alias("rules"))
 
 
+def sarif(found: DataFrame, version: str = "1") -> DataFrame:
+    """One row: a SARIF 2.1.0 log.  For logs that one file holds; ``sarif_results`` is the table of a large scan."""
+    rules = sarif_rules(found).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rule_index", "rule_id"))), lambda r: F.struct(r["rule_id"].alias("id")))).alias("rules"))
+    taxa = sarif_taxa(found).agg(F.to_json(F.transform(F.array_sort(F.collect_list("cwe")), lambda c: F.struct(c.alias("id")))).alias("taxa"))
+    results = sarif_results(found).agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("value")), ","), F.lit("]")).alias("results"))
+    one = F.lit(1).alias("one")
+    parts = rules.select("*", one).join(taxa.select("*", one), "one").join(results.select("*", one), "one")
+    driver = F.concat(F.lit('{"name":"codesift","version":"' + version + '","rules":'), "rules", F.lit("}"))
+    return parts.select(F.concat(F.lit('{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":'), driver, F.lit('},"taxonomies":[{"name":"CWE","taxa":'), "taxa", F.lit('}],"results":'), "results", F.lit("}]}")).alias("value"))
+
+
 def json_report(found: DataFrame) -> DataFrame:
+    """A JSON object for each finding, a line each."""
     return found.select(F.to_json(F.struct(*found.columns)).alias("value"))
 
 
+#: What ``read_report`` reads of a report; other fields are left.
+REPORT = "findings array<struct<id:string,rule_id:string,scanner:string,severity:string,confidence:string,category:string,path:string,line_no:int,col:int,message:string,cwe:string,snippet:string,fingerprint:string>>"
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of JSON reports that hold them as a list, or one a line."""
+    one = REPORT[len("findings array<struct<") : -2].replace(":", " ")
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", REPORT)["findings"].alias("fs"), "value")
+    whole = rows.where("fs is not null").select(F.explode("fs").alias("f")).select("f.*")
+    lines = rows.where("fs is null").select(F.explode(F.split("value", "\n")).alias("line")).where("line <> ''")
+    return whole.unionByName(lines.select(F.from_json("line", one).alias("f")).where("f.rule_id is not null").select("f.*"))
+
+
+def console_rows(found: DataFrame) -> DataFrame:
+    """path, line_no, severity, rule_id and text, in the order of a terminal report: by file, then severity, then line."""
+    text = F.format_string("%s:%d  %s  %s  %s", "path", "line_no", F.rpad(F.col("severity"), 8, " "), "rule_id", "message")
+    return found.select("path", "line_no", "severity", "rule_id", text.alias("text")).orderBy("path", severity_rank(F.col("severity")), "line_no", "rule_id")
+
+
+def bars(totals: DataFrame, width: int = 40) -> DataFrame:
+    """The rows of a summary with a bar of at most ``width`` signs, in proportion to the total."""
+    total = F.max(F.when(F.col("dimension") == "total", F.col("n"))).over(Window.partitionBy())
+    return totals.withColumn("bar", F.repeat(F.lit("#"), F.ceil(F.lit(width) * F.col("n") / F.greatest(total, "n", F.lit(1))).cast("int")))
+
+
+#: Report formats, by name: findings to a column ``value``.
+FORMATS = {"json": json_report, "csv": csv_report, "sarif": sarif, "console": lambda found: console_rows(found).select(F.col("text").alias("value"))}
+
+
+def write_report(found: DataFrame, path: str, kind: str) -> None:
+    """A folder of text files; a CSV report has its header in the first."""
+    rows = FORMATS[kind](found)
+    if kind == "csv":
+        header = found.sparkSession.createDataFrame([(",".join(CSV_HEADER),)], "value string")
+        rows = header.unionByName(rows)
+    rows.write.text(path)
+
+
+def convert_report(spark: SparkSession, source: str, target: str, kind: str) -> None:
+    """A JSON report in another format."""
+    found = read_report(spark, source)
+    write_report(found.select("*", F.lit(0).alias("scanner_ord"), F.lit(0).alias("pattern_ord")), target, kind)
+
+
 def ranked_in_file(found: DataFrame) -> DataFrame:
     """The place of a finding's severity among those of its file, from 1."""
     return found.withColumn("file_rank", F.dense_rank().over(Window.partitionBy("path").orderBy(severity_rank(F.col("severity")))).cast("long"))
 
 
-def filtered(found: DataFrame, severities: Sequence[str] = (), scanners: Sequence[str] = (), categories: Sequence[str] = (), search: str = "") -> DataFrame:
+#: What a search looks at.
+SEARCHED = ("message", "rule_id", "path", "category", "cwe", "snippet")
+
+
+def filtered(found: DataFrame, severities: Sequence[str] = (), scanners: Sequence[str] = (), categories: Sequence[str] = (), search: str = "", searched: Sequence[str] = SEARCHED) -> DataFrame:
     """Three facets, and a text that any of the searched columns holds in any letter case."""
     for column, values in (("severity", severities), ("scanner", scanners), ("category", categories)):
         if values:
             found = found.where(F.col(column).isin(*values))
     if search:
-        found = found.where(reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(search.lower())) for c in ("message", "rule_id", "path"))))
+        found = found.where(reduce(lambda a, b: a | b, (F.contains(F.lower(c), F.lit(search.lower())) for c in searched if c in found.columns)))
     return found
 
 

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codesift.functions.spans import code_of
+
 #: Where data enters, by language.
 SOURCES = {
     "javascript": ("req.body", "req.query", "req.params", "req.headers", "document.location", "window.location", "document.cookie", "process.env", "localStorage.getItem", "document.getElementById"),
@@ -90,7 +92,7 @@ def flows(language: str, content: str) -> Iterator[tuple[str, int, str, str, int
     """source, source line, sink, kind, sink line and steps of every flow of one file."""
     tainted: dict[str, list[Taint]] = {}
     for number, raw in enumerate(content.split("\n"), 1):
-        code = raw.strip()
+        code = code_of(raw).strip()
         if not code or COMMENT.match(code):
             continue
         found = ASSIGNED.match(code)

@@ -18,6 +18,7 @@ from codesift.detectors.file_ops import FILE_OPS
 from codesift.detectors.injection import INJECTION
 from codesift.detectors.secrets import SECRETS
 from codesift.detectors.xss import XSS
+from codesift.functions.spans import in_use
 from codesift.functions.text import explode_lines, severity_rank
 from codesift.operators import dependencies, quality, taint
 from codesift.operators.findings import AROUND, ORDINALS, exit_code, findings, first_of_fingerprint, of_severity, ordered, resolve_overlaps, summary
@@ -29,16 +30,23 @@ HAND_WRITTEN = (*INJECTION, *XSS, *AUTH, *CRYPTO, *FILE_OPS, *API, *SECRETS)
 RULE_PATTERNS, RULE_LANGUAGES = rule_patterns(read_rules())
 
 
-def security_findings(routed: DataFrame, patterns=RULE_PATTERNS, languages: Sequence[tuple[str, ...]] = RULE_LANGUAGES) -> DataFrame:
+#: Categories whose matches are text by nature: they stand in literals and count there.
+TEXTUAL = ("secrets",)
+
+
+def security_findings(routed: DataFrame, patterns=RULE_PATTERNS, languages: Sequence[tuple[str, ...]] = RULE_LANGUAGES, contexts: bool = False) -> DataFrame:
     """Findings of the hand-written detectors and of the rules that run on a file's language, before duplicates go.
 
     One pass over the files: language and snippet travel with the lines.
+    ``contexts`` drops matches in text that does nothing (``functions.spans``).
     """
     files = routed.where("to_security")
     found = detect(files, (*HAND_WRITTEN, *patterns), ("language",), AROUND)
     table = files.sparkSession.createDataFrame([(len(HAND_WRITTEN) + k, list(x)) for k, x in enumerate(languages)], "pattern_ord int, runs_on array<string>")
     found = found.join(F.broadcast(table), "pattern_ord", "left")
     found = found.where(F.col("runs_on").isNull() | F.array_contains("runs_on", "*") | F.array_contains("runs_on", F.col("language"))).drop("runs_on", "language")
+    if contexts:
+        found = found.where(F.col("category").isin(*TEXTUAL) | in_use(F.col("line"), F.col("col")))
     return findings(files, found)
 
 
@@ -129,7 +137,7 @@ def scan(spark: SparkSession, source: str | DataFrame, config: Config = Config()
     parts = []
     if config.security:
         patterns, languages = rule_patterns(read_rules(config.rules_path))
-        parts.append(of_severity(security_findings(routed, patterns, languages), config.severities))
+        parts.append(of_severity(security_findings(routed, patterns, languages, contexts=True), config.severities))
         if config.deep:
             parts.append(of_severity(taint_scanner(routed), config.severities))
     if config.quality:

@@ -100,9 +100,9 @@ def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.sarif_rules(_best(spark, sf_dir))
 
 
-@query(f"{BASE} SELECT rule_id, count(*) AS n FROM best WHERE severity IN ('critical', 'high') AND (contains(lower(message), 'sql') OR contains(lower(rule_id), 'sql') OR contains(lower(path), 'sql')) GROUP BY rule_id")
+@query(f"{BASE} SELECT rule_id, count(*) AS n FROM best WHERE severity IN ('critical', 'high') AND (contains(lower(message), 'sql') OR contains(lower(rule_id), 'sql') OR contains(lower(path), 'sql') OR contains(lower(category), 'sql')) GROUP BY rule_id")
 def html_filter_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.filtered(_best(spark, sf_dir), severities=("critical", "high"), search="sql").groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return reports.filtered(_best(spark, sf_dir), severities=("critical", "high"), search="sql", searched=("message", "rule_id", "path", "category")).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{BASE}, n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY scanner_ord, pattern_ord, line_no, col) AS k FROM all_found) SELECT {TAKE}, k <= 2 AS checked FROM n WHERE NOT (k <= 2 AND ascii(right(fingerprint, 1)) % 5 = 0)")

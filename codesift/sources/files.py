@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,8 +50,9 @@ EXTENSION_LANGUAGE = {e: language for language, es in LANGUAGES.items() for e in
 def read_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """path, size, content (UTF-8) and readable of the files under a folder, or of one file; larger and empty ones are not read.
 
-    ``length`` is a filter of the reader, so large files are never loaded.  A
-    file that is not UTF-8 fails nothing: it has no content and is not readable.
+    ``length`` is a filter of the reader, so large files are never loaded.
+    Spark's readers leave out names that start with ``_`` or a point; a table of
+    path and content can hold such files.  A file that is not UTF-8 fails nothing: it has no content and is not readable.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where((F.col("length") <= max_bytes) & (F.col("length") > 0))
     text = F.try_validate_utf8(F.col("content").cast("string"))
@@ -71,14 +71,23 @@ IGNORE_FILES = (".gitignore", ".codesiftignore")
 
 
 def ignore_lines(spark: SparkSession, root: str) -> list[str]:
-    """The lines of the ignore files at the root of a folder, in order; a folder without them has none."""
+    """The lines of the ignore files at the root of a folder, in order; a folder without them has none.
+
+    Spark's readers leave out names that start with a point, so the driver
+    reads these few lines from the file system itself.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     found: list[str] = []
     for name in IGNORE_FILES:
-        try:
-            found += [r.value for r in spark.read.text(f"{root.rstrip('/')}/{name}", wholetext=True).collect()]
-        except AnalysisException:  # no such file
-            continue
-    return [line for text in found for line in text.split("\n")]
+        path = jvm.org.apache.hadoop.fs.Path(root, name)
+        system = path.getFileSystem(conf)
+        if system.exists(path):
+            stream = system.open(path)
+            try:
+                found += jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+            finally:
+                stream.close()
+    return found
 
 
 def glob_regex(pattern: str) -> str:

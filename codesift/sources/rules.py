@@ -67,12 +67,14 @@ def rules_table(spark: SparkSession, rules: Sequence[dict]) -> DataFrame:
 
 
 def id_regex(pattern: str) -> str:
-    """A rule-id pattern: ``*``, an id, ``prefix/*``, or a glob in which only ``*`` and ``?`` are special."""
+    """A rule-id pattern: ``*``, an id, ``prefix/*``, or an expression in which ``*`` is any text and ``?`` any character."""
     if pattern == "*":
         return "^.*$"
+    if not re.search(r"[*?]", pattern):
+        return "^" + re.escape(pattern) + "$"
     if pattern.endswith("/*"):
         return "^" + re.escape(pattern[:-1]) + ".*$"
-    return "^" + re.escape(pattern).replace(r"\*", ".*").replace(r"\?", ".") + "$"
+    return "^" + pattern.replace("*", ".*").replace("?", ".") + "$"
 
 
 def selected(rules: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (), id_col: str = "id") -> DataFrame:
@@ -97,6 +99,17 @@ def for_language(files: DataFrame, rules: DataFrame) -> DataFrame:
     return (own.unionByName(all_files) if all_files is not None else own).distinct()
 
 
+def by_id(rules: DataFrame, rule_id: str) -> DataFrame:
+    return rules.where(F.col("id") == rule_id)
+
+
+def categories(rules: DataFrame) -> DataFrame:
+    """category, scanner and rules (how many there are) of every category, those without rules too."""
+    spark = rules.sparkSession
+    known = spark.createDataFrame([(c, "security") for c in RUN_BY_SECURITY] + [(c, "quality") for c in QUALITY] + [("cve", "cve")], "category string, scanner string")
+    return known.join(rules.groupBy("category").agg(F.count(F.lit(1)).alias("rules")), "category", "left").na.fill(0, ["rules"])
+
+
 def for_scanner(rules: DataFrame, scanner: str) -> DataFrame:
     return rules.where(F.col("category").isin(*(SECURITY if scanner == "security" else QUALITY)))
 
@@ -193,6 +206,18 @@ def convert(rule: dict) -> dict:
     }
 
 
+def convert_file(path: str) -> list[dict]:
+    """The rules of a file in the other format, converted and checked; those that are not valid are left out."""
+    loaded = yaml.safe_load(Path(path).read_text()) or {}
+    out = []
+    for r in loaded.get("rules", []):
+        try:
+            out += validated([convert(r)])
+        except (KeyError, ValueError):
+            continue
+    return out
+
+
 def by_language(rules: DataFrame) -> DataFrame:
     """One row for each language and rule id, ready for ``write.partitionBy("language")``."""
     return rules.select(F.explode("languages").alias("language"), *[c for c in rules.columns if c != "languages"]).dropDuplicates(["language", "id"])

@@ -247,3 +247,150 @@ def test_queries_match_their_sql(spark, name):
     columns = sorted(spark_rows.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in spark_rows.select(*columns).collect())
+
+
+@pytest.mark.parametrize(
+    ("line", "col", "kind"),
+    [
+        ("const re = /eval(req.body)/;", 13, "regex"), ("x = a / b / c", 9, "code"), ("return /x[/]y/.test(z)", 11, "regex"), ("'use strict';", 2, "statement"), ("`plain eval(x)`;", 8, "statement"),
+        ("go(`text eval(x)`)", 9, "template"), ("x = `a ${eval(b)}`", 10, "filled"), ("import x from 'eval'", 16, "import"), ("u = 'http://a'; // eval(c)", 20, "comment"), ("type A = Eval", 10, "type"), ("eval(req.body)", 1, "code"), ("q = 'SELECT ' + x", 6, "string"), (None, 1, "code"),
+    ],
+)
+def test_kind_of_literal(line, col, kind):
+    from codesift.functions.spans import kind_at
+
+    assert kind_at(line, col) == kind
+
+
+def test_scan_of_a_folder(spark, tmp_path):
+    from codesift.plans.scan import envelope
+
+    files = {
+        "app/a.js": "const re = /eval(req.body)/;\nimport { spare } from 'm';\neval(req.body.x);\nconst q = req.query.q;\nlet r = q;\nexec(r);\nconsole.log(1);\n",
+        "app/skip.log.js": "eval(req.body.x);\n",
+        "app/.hidden/b.js": "eval(req.body.x);\n",
+        "app/requirements.txt": "flask==2.0.1\n",
+        ".gitignore": "*.log.js\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    (tmp_path / "app/latin.js").write_bytes(b"eval(req.body.x); // \xe9\n")
+    (tmp_path / "app/empty.js").write_text("")
+    advisory = {"id": "GHSA-1", "summary": "s", "severity": [{"type": "CVSS_V3", "score": "9.8"}], "affected": [{"package": {"name": "flask", "ecosystem": "PyPI"}, "ranges": [{"type": "ECOSYSTEM", "events": [{"introduced": "0"}, {"fixed": "1.0"}, {"introduced": "2.0"}, {"fixed": "2.0.3"}]}]}]}
+    (tmp_path / "adv.jsonl").write_text(json.dumps(advisory))
+    advisories = spark.read.schema(deps.ADVISORY).json(str(tmp_path / "adv.jsonl"))
+    result = scan(spark, str(tmp_path), config.Config(cve=True, deep=True), advisories=advisories)
+    found = {(r.path.rsplit("/", 1)[-1], r.line_no, r.rule_id) for r in result.findings.collect()}
+    assert {("a.js", 3, "SEC-INJ-003"), ("a.js", 6, "security/taint-command_injection"), ("a.js", 2, "QUA-SMELL-002"), ("a.js", 7, "QUA-SMELL-004"), ("requirements.txt", 1, "GHSA-1")} <= found
+    assert not any(line == 1 and rule.startswith(("SEC", "security")) for _, line, rule in found)
+    assert {path for path, _, _ in found} == {"a.js", "requirements.txt"}
+    assert [r.path.rsplit("/", 1)[-1] for r in result.unreadable.collect()] == ["latin.js"]
+    totals = {(r.dimension, r.value): r.n for r in result.summary.collect()}
+    assert totals["scanned", "all"] == 3 and totals["scanner", "cve"] == 1 and result.exit_code.first().exit_code == 1
+    one = envelope(result, "t", config.Config(cve=True)).first()
+    assert one.tool == "codesift" and len(one.findings) == totals["total", "all"] == one.summary["total:all"] and json.loads(one.config)["cve"]
+    only = scan(spark, str(tmp_path), config.Config(security=False, include=("app/*.txt",)))
+    assert {r.path.rsplit("/", 1)[-1] for r in only.files.collect()} == {"requirements.txt"} and only.exit_code.first().exit_code == 0
+    with pytest.raises(ValueError, match="advisories"):
+        scan(spark, str(tmp_path), config.Config(cve=True))
+
+
+def test_thresholds_reach_the_scan(spark):
+    code = "function f(a) {\n  if (a) {\n    if (a) {\n      go();\n    }\n  }\n}\n"
+    df = spark.createDataFrame([("x.js", code)], "path string, content string")
+    rules_of = lambda **t: {r.rule_id for r in scan(spark, df, config.Config(security=False, thresholds=config.Thresholds(**t))).findings.collect()}
+    assert "QUA-CMPLX-003" in rules_of(nesting=1) and "QUA-CMPLX-003" not in rules_of(nesting=6)
+
+
+def test_version_intervals(spark):
+    affected = [
+        {"package": {"name": "p", "ecosystem": "npm"}, "ranges": [{"events": [{"introduced": "0"}, {"fixed": "1.2"}, {"introduced": "2.0"}, {"last_affected": "2.3"}]}], "versions": ["5.0.1"]},
+        {"package": {"name": "q", "ecosystem": "npm"}, "ranges": [{"events": [{"introduced": "0"}, {"fixed": "20240101123456.1"}]}]},
+        {"package": {"name": "all", "ecosystem": "npm"}},
+    ]
+    adv = spark.read.schema(deps.ADVISORY).json(spark.sparkContext.parallelize([json.dumps({"id": "CVE-1", "affected": affected})]))
+    rows = [("f", n, v, "npm", None) for n, v in (("p", "1.1.9"), ("p", "1.2"), ("p", "2.3.0"), ("p", "2.3.1"), ("p", "5.0.1"), ("p", "5.0.2"), ("q", "20240101123455"), ("q", "20240101123457"), ("all", "9"), ("p", "*"))]
+    found = deps.match_advisories(spark.createDataFrame(rows, "path string, name string, version string, ecosystem string, line_no int"), adv)
+    assert {(r.name, r.version): r.fixed for r in found.collect()} == {("p", "1.1.9"): "1.2", ("p", "2.3.0"): None, ("p", "5.0.1"): None, ("q", "20240101123455"): "20240101123456.1", ("all", "9"): None, ("p", "*"): "1.2"}
+    assert {r.name: r.fixed_version for r in deps.first_fixed(adv).collect()} == {"p": "1.2", "q": "20240101123456.1", "all": None}
+
+
+FOUND = "path string, line_no int, col int, scanner_ord int, pattern_ord int, rule_id string, severity string, confidence string, category string, scanner string, message string, cwe string, snippet string, fingerprint string, id string"
+
+
+def _found(spark, n=4):
+    return spark.createDataFrame([(f"f{i % 2}.js", i + 1, 1, 0, i, f"R{i % 3}", "high" if i % 2 else "low", "high", "xss", "security", f'say "{i}"', "CWE-79", "code", f"fp{i}", f"id{i}") for i in range(n)], FOUND)
+
+
+def test_reports_are_written_and_read(spark, tmp_path):
+    found = _found(spark)
+    reports.write_report(found, str(tmp_path / "json"), "json")
+    back = reports.read_report(spark, str(tmp_path / "json"))
+    assert sorted(r.id for r in back.collect()) == ["id0", "id1", "id2", "id3"]
+    (tmp_path / "whole.json").write_text(json.dumps({"findings": [{"rule_id": "R", "path": "p", "line_no": 3}]}))
+    assert [(r.rule_id, r.line_no) for r in reports.read_report(spark, str(tmp_path / "whole.json")).collect()] == [("R", 3)]
+    reports.convert_report(spark, str(tmp_path / "json"), str(tmp_path / "csv"), "csv")
+    lines = {r.value for r in spark.read.text(str(tmp_path / "csv")).collect()}
+    assert ",".join(reports.CSV_HEADER) in lines and len(lines) == 5
+    log = json.loads(reports.sarif(found.withColumn("source_line", F.lit(1))).first().value)
+    run = log["runs"][0]
+    assert [r["id"] for r in run["tool"]["driver"]["rules"]] == ["R0", "R2", "R1"] and run["taxonomies"][0]["taxa"] == [{"id": "CWE-79"}] and len(run["results"]) == 4
+    assert all(run["tool"]["driver"]["rules"][r["ruleIndex"]]["id"] == r["ruleId"] and r["codeFlows"] for r in run["results"])
+    assert [r.severity for r in reports.console_rows(found).collect()] == ["low", "low", "high", "high"]
+    bars = reports.bars(spark.createDataFrame([("total", "all", 8), ("severity", "high", 2), ("severity", "low", 0)], "dimension string, value string, n long")).collect()
+    assert {r.value: len(r.bar) for r in bars} == {"all": 40, "high": 10, "low": 0}
+    assert spark.range(1).select(*(reports.duration(F.lit(ms)).alias(str(ms)) for ms in (5, 1500, 61000))).first()[:] == ("5ms", "1.50s", "1m 1s")
+
+
+def test_second_opinion(spark):
+    from codesift.operators import validate
+
+    def client(prompt):
+        if "R1" in prompt:
+            raise OSError
+        return 'Sure:\n```{"isValid": false}```' if "R0" in prompt else '{"isValid": true, "confidence": 0.9, "explanation": "real"}'
+
+    got = {r.id: r for r in validate.validated(_found(spark), client, n=3).collect()}
+    assert set(got) == {"id1", "id2", "id3"} and (got["id1"].verdict.confidence, got["id1"].verdict.valid) == (0.0, True) and got["id2"].verdict.confidence == 0.9 and got["id3"].checked is False and got["id3"].verdict is None
+    one = spark.createDataFrame([("no object",), ("{broken",), ('x {"confidence": 1} y',), (None,)], "a string").select(validate.parsed(F.col("a")).alias("p")).collect()
+    assert [(r.p.valid, r.p.confidence) for r in one] == [(True, 0.0), (True, 0.0), (True, 1.0), (True, 0.0)]
+    assert validate.available("ollama", {}) and not validate.available("openai", {}) and validate.available("openai", {"OPENAI_API_KEY": "k"}) and not validate.available(None, {})
+
+
+def test_evaluation_report(spark):
+    truth = evaluate.ground_truth(spark)
+    assert truth.count() == 29 and truth.where("category = 'cve'").count() == 7
+    found = spark.createDataFrame([("go-service/main.go", 14, "secrets", "security"), ("go-service/main.go", 18, "auth", "security"), ("go-service/go.mod", 1, "cve", "cve"), ("python-app/app.py", 30, "injection", "security"), ("x-safe.go", 1, "xss", "security")], "path string, line_no int, category string, scanner string")
+    rows = {r.language: r for r in evaluate.report(evaluate.near_matches(truth, found), evaluate.false_positives(truth, found)).collect()}
+    assert (rows["go"].tp, rows["go"].expected, rows["python"].tp, rows["all"].tp, rows["all"].false_alarms) == (2, 3, 0, 2, 2) and rows["all"].precision == 0.5
+
+
+def test_rule_listings(spark, tmp_path):
+    table = rules.rules_table(spark, rules.read_rules("examples/rules_http_api.yml"))
+    assert rules.by_id(table, "own/error-to-client").count() == 1
+    assert {r.category: r.rules for r in rules.categories(table).collect()}["naming"] == 0
+    assert rules.by_language(table).where("language = 'typescript' and id = 'own/error-to-client'").count() == 1
+    (tmp_path / "other.yml").write_text("rules:\n- {id: a.sql, severity: WARNING, message: m, languages: [go], pattern-regex: 'q+'}\n- {severity: ERROR}\n")
+    assert [(r["id"], r["severity"], r["category"]) for r in rules.convert_file(str(tmp_path / "other.yml"))] == [("a.sql", "medium", "injection")]
+    assert rules.id_regex("a.b*") == "^a.b.*$" and rules.id_regex("a.b") == r"^a\.b$"
+
+
+def test_contexts_change_severities(spark):
+    found = spark.createDataFrame([("a.js", "security/weak-crypto", "high"), ("b.js", "security/weak-crypto", "high")], "path string, rule_id string, severity string")
+    context = spark.createDataFrame([("a.js", "payment", 0.9), ("b.js", "general", 0.1)], "path string, context string, confidence double")
+    got = {r.path: (r.severity, r.advice is None) for r in semantic.adjusted(found, context).collect()}
+    assert got == {"a.js": ("critical", False), "b.js": ("high", True)}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from codesift.__main__ import main, overrides, parser
+
+    (tmp_path / "a.js").write_text("eval(req.body.x);\n")
+    assert main(["scan", str(tmp_path), "--security"]) == 1 and "SEC-INJ-003" in capsys.readouterr().out
+    assert main(["scan", str(tmp_path / "none")]) == 2
+    assert main(["init", str(tmp_path)]) == 0 and config.load(str(tmp_path)) == config.Config()
+    args = parser().parse_args(["scan", "x", "--quality", "--severity", "high", "--exclude", "a/"])
+    assert overrides(args) == {"exclude": ["a/"], "severities": ["high"], "security": True, "quality": True}
+    with pytest.raises(ValueError, match="parallel"):
+        config.Config(parallel=0)
