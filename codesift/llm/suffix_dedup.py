@@ -151,8 +151,9 @@ def suffix_dedup(docs: DataFrame, length: int = 400, window: int = WINDOW, modul
     and other columns are not read.
     """
     window, gram = min(window, length), min(gram, length)
-    texts = repeats.by_uid(identified(docs, id_col, text_col))
-    parse = written(parsed(texts, window, modulus), "parse")
+    rows = identified(docs, id_col, text_col)
+    texts = repeats.by_uid(rows)
+    parse = written(parsed(rows, window, modulus), "parse")
     twice = written(dictionary(parse), "dictionary")
     known = parse.select("_uid", F.posexplode("names").alias("at", "name")).join(twice, "name").groupBy("_uid").agg(F.collect_list("at").alias("known"))
     rule = repeats.Rule("byte", length, False, parse_cores(length, gram, window, modulus))

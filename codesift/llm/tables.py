@@ -70,7 +70,8 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
         return written(df.withColumn(name, F.monotonically_increasing_id()), "rows")
     numbers = spark.createDataFrame([(f, i << ROW_BITS) for i, f in enumerate(files)], "_cs_name string, _cs_base long")
     joined = at.join(F.broadcast(numbers), F.col("_cs_file") == F.col("_cs_name"))
-    return joined.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("_cs_base") + F.col("_cs_row")).alias(name))
+    # Never null, so joins on it add no filter and all readers of a repartitioned table share one exchange.
+    return joined.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce(F.col("_cs_base") + F.col("_cs_row"), F.lit(-1)).alias(name))
 
 
 def identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
