@@ -36,33 +36,19 @@ def normalized(code: Column) -> Column:
     return F.array_join(parts, "")
 
 
-def ngrams(texts: DataFrame, n: int = 3) -> DataFrame:
-    """key and gram: the distinct n-grams of the tokens of each text (key, text).
-
-    Tokens are parted by white space and around brackets, commas and points.
-    """
-    tokens = F.filter(F.split("text", r"\s+|(?=[{}()\[\],;.])|(?<=[{}()\[\],;.])"), lambda t: t != "")
-    listed = texts.select("key", tokens.alias("ts")).where(F.size("ts") >= n)
-    parts = [F.slice("ts", i, F.size("ts") - n + 1).alias(f"t{i}") for i in range(1, n + 1)]
-    grams = listed.select("key", F.explode(F.arrays_zip(*parts)).alias("g"))
-    return grams.select("key", F.concat_ws(" ", *(F.col(f"g.t{i}") for i in range(1, n + 1))).alias("gram")).distinct()
-
-
 def similarities(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """a, b and similarity of stated pairs of keys: 1 for equal texts, else the Jaccard index of their 3-grams, 0 without any.
 
-    Sets are rows, so long texts cost a shuffle and no task holds a set.
+    A text's 3-grams are a set of 64-bit hashes beside it, as large as the text
+    at most; two joins bring the sets of a pair together.
     """
-    grams = ngrams(texts)
-    sizes = grams.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    common = pairs.join(grams.withColumnRenamed("key", "a"), "a").join(grams.withColumnRenamed("key", "b"), ["b", "gram"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    marks = texts.select("key", F.sha2("text", 256).alias("mark"))
-    named = lambda df, key, column: df.select(F.col("key").alias(key), F.col(column).alias(f"{column}_{key}"))
-    rows = pairs
-    for key in ("a", "b"):
-        rows = rows.join(named(marks, key, "mark"), key).join(named(sizes, key, "n"), key, "left")
-    rows = rows.join(common, ["a", "b"], "left").na.fill(0, ["common", "n_a", "n_b"])
-    value = F.when(F.col("mark_a") == F.col("mark_b"), 1.0).when((F.col("n_a") == 0) | (F.col("n_b") == 0), 0.0).otherwise(F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common")))
+    tokens = F.filter(F.split("text", r"\s+|(?=[{}()\[\],;.])|(?<=[{}()\[\],;.])"), lambda t: t != "")
+    gram = lambda i: F.xxhash64(F.get("ts", i - 1), F.get("ts", i), F.get("ts", i + 1))
+    listed = texts.select("key", F.sha2("text", 256).alias("mark"), tokens.alias("ts"))
+    sets = listed.select("key", F.struct("mark", F.when(F.size("ts") >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("ts") - 2), gram))).otherwise(F.array().cast("array<long>")).alias("grams")).alias("set"))
+    rows = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    common, n = F.size(F.array_intersect("x.grams", "y.grams")), F.size("x.grams") + F.size("y.grams")
+    value = F.when(F.col("x.mark") == F.col("y.mark"), 1.0).when(F.least(F.size("x.grams"), F.size("y.grams")) == 0, 0.0).otherwise(common / (n - common))
     return rows.select("a", "b", value.alias("similarity"))
 
 

@@ -170,11 +170,11 @@ def token_sql(column: str) -> str:
     return out
 
 
-def blocks_sql() -> str:
+def blocks_sql(min_tokens: int = DUP_MIN) -> str:
     return f"""WITH {files_sql()}, t AS (SELECT path, line_no, {token_sql('line')} AS t FROM lines),
         kept AS (SELECT * FROM t WHERE t NOT IN ('', '}}', '{{', ');')),
         framed AS (SELECT path, line_no AS start_line, max(line_no) OVER w AS end_line, list(t) OVER w AS ts, sum(len(string_split(t, ' '))) OVER w AS n_tokens FROM kept WINDOW w AS (PARTITION BY path ORDER BY line_no ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING)),
-        blocks AS (SELECT path, start_line, end_line, sha256(array_to_string(ts, chr(10))) AS block, n_tokens FROM framed WHERE len(ts) = 6 AND n_tokens >= {DUP_MIN})"""
+        blocks AS (SELECT path, start_line, end_line, sha256(array_to_string(ts, chr(10))) AS block, n_tokens FROM framed WHERE len(ts) = 6 AND n_tokens >= {min_tokens})"""
 
 
 @query(f"{blocks_sql()} SELECT path, start_line::BIGINT AS start_line, end_line::BIGINT AS end_line, block, n_tokens::BIGINT AS n_tokens FROM blocks")
@@ -196,10 +196,14 @@ def dup_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", *(F.col(c).cast("long") for c in ("start_line", "end_line", "first", "copies")))
 
 
-@query(f"""{blocks_sql()}, seen AS (SELECT path, block, min(start_line) AS first FROM blocks GROUP BY path, block),
+def top_pairs_sql(min_tokens: int = DUP_MIN) -> str:
+    return f"""{blocks_sql(min_tokens)}, seen AS (SELECT path, block, min(start_line) AS first FROM blocks GROUP BY path, block),
     pairs AS (SELECT a.path, a.start_line AS a_start, a.end_line AS a_end, b.start_line AS b_start, b.end_line AS b_end, row_number() OVER (PARTITION BY a.path ORDER BY s.first, a.block, a.start_line, b.start_line) AS nth
               FROM blocks a JOIN blocks b ON a.path = b.path AND a.block = b.block AND b.start_line > a.end_line JOIN seen s ON s.path = a.path AND s.block = a.block)
-    SELECT path, nth::BIGINT AS nth, a_start::BIGINT AS a_start, a_end::BIGINT AS a_end, b_start::BIGINT AS b_start, b_end::BIGINT AS b_end, CASE WHEN a_end - a_start + 1 > 20 THEN 'medium' ELSE 'low' END AS severity FROM pairs WHERE nth <= 10""")
+    SELECT path, nth::BIGINT AS nth, a_start::BIGINT AS a_start, a_end::BIGINT AS a_end, b_start::BIGINT AS b_start, b_end::BIGINT AS b_end, CASE WHEN a_end - a_start + 1 > 20 THEN 'medium' ELSE 'low' END AS severity FROM pairs WHERE nth <= 10"""
+
+
+@query(top_pairs_sql())
 def dup_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.duplicate_findings(quality.blocks(_lines(spark, sf_dir), min_tokens=DUP_MIN))
     return found.select("path", *(F.col(c).cast("long") for c in ("nth", "a_start", "a_end", "b_start", "b_end")), "severity")
