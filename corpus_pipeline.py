@@ -1,4 +1,13 @@
-"""The corpus pipeline: five stages, each over all that its predecessor kept."""
+"""The corpus pipeline: five stages, each over all that its predecessor kept.
+
+Every stage takes and, but for the last, returns all columns of its documents,
+whatever their names.  A null text is a text without words: it is never toxic
+or contaminated, stays null, and is a copy of the empty texts.  A null id comes
+before all others; a null source is a source of its own.  Repeated rows are
+documents of their own until the near-dedup keeps one.  Empty tables pass
+through; without labels of both classes nothing is toxic, without items nothing
+is contaminated.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +31,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose five-word shingles are similar by 0.8 or more, that with the smallest id stays."""
+    """Of documents whose five-word shingles are similar by 0.8 or more, directly or by others between, that with the smallest id stays."""
     return simhash.one_of_each(docs)
 
 
@@ -32,7 +41,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it, numbered by ``copy``."""
+    """Every document as often as the mix takes it, up to three times, numbered by ``copy`` (``copy_2`` where there is such a column)."""
     return mixing.mixed(docs)
 
 
