@@ -39,7 +39,7 @@ from codesift.llm import tokens
 #: Low bits of a sort key that hold a position, so that one minimum finds value and place: texts of up to 2**36 units.
 PLACE_BITS = np.uint64(36)
 #: Distinct stretches of a key that one task compares.
-HOT = 20_000
+HOT = 1_000
 U64 = np.uint64
 
 

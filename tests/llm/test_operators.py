@@ -487,3 +487,107 @@ def test_phrases_overlap_by_a_trigger_and_spell_the_text():
             assert bool(at) == (bytes(t[k : k + 4]) in strings)
     names, owner = suffix_dedup.phrase_names(buf, bounds, 4, 8)
     assert len(names) == sum(max(int((doc == d).sum()) - 1, 0) for d in (0, 3)) and sorted(set(owner.tolist())) == [0, 3]
+
+
+def test_row_numbers_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    from codesift.llm.tables import numbered
+
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 20).alias("text"))
+    rows.repartition(3).write.option("parquet.block.size", 4096).parquet(str(tmp_path / "t"))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for limit in ("128m", "8k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+            table = numbered(spark.read.parquet(str(tmp_path / "t")), "n")
+            found.append((table.rdd.getNumPartitions(), sorted((r.doc_id, r.n) for r in table.select("doc_id", "n").collect())))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert found[0][0] < found[1][0] and found[0][1] == found[1][1] and len({n for _, n in found[0][1]}) == 5000
+    joined = numbered(rows.join(rows.withColumnRenamed("text", "t2"), "doc_id"), "n")
+    assert joined.select("doc_id", "n").exceptAll(joined.select("doc_id", "n")).count() == 0 and joined.select("n").distinct().count() == 5000
+    clash = numbered(spark.read.parquet(str(tmp_path / "t")).withColumn("_cs_row", F.lit(1)), "n")
+    assert clash.columns == ["doc_id", "text", "_cs_row", "n"] and clash.select("n").distinct().count() == 5000
+
+
+def test_tree_is_searched_by_edges():
+    rng = np.random.default_rng(5)
+    points = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64))[:, None]
+    visits = []
+    simhash.tree_links(points, 4, visits)
+    assert sum(visits) < 0.5 * points.shape[0] ** 2
+
+
+def test_url_rules_as_a_table(spark):
+    rules = [("block", f"site{k}.example/a{k}/") for k in range(5000)] + [("allow", "site7.example/a7/deep/"), ("block", "c++.example"), ("block", None)]
+    table = url_filter.host_rules(spark.createDataFrame(rules, "verdict string, rule string"))
+    urls = [(1, "http://x.site7.example/a7/"), (2, "http://site7.example/a7/deep/er"), (3, "http://site7.example/a8/"), (4, "http://C++.example/z"), (5, "http://cxx.example/z"), (6, "http://c++.examples"), (7, "http://site4999.example/a4999/q"), (8, None)]
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(spark.createDataFrame(urls, "page_id long, url string"), table).collect()}
+    assert found == {1: ("site7.example/a7/", "block"), 2: ("site7.example/a7/deep/", "allow"), 3: (None, "allow"), 4: ("c++.example", "block"), 5: (None, "allow"), 6: (None, "allow"), 7: ("site4999.example/a4999/", "block"), 8: (None, "allow")}
+    same = url_filter.judged(spark.createDataFrame(urls, "page_id long, url string"), [url_filter.host_rule(v, r) for v, r in rules if r])
+    assert {r.page_id: (r.rule, r.verdict) for r in same.collect()} == found
+
+
+def test_neighbours_of_extreme_and_tied_vectors(spark):
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((60, 8))
+    v[1], v[2] = v[0] * 1e-200, v[0] * 1e200
+    v[3:30] = v[0] * np.arange(2, 29)[:, None]  # all at cosine 1
+    found = neighbours.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
+    near = {r.rank: (r.vec_id, r.score) for r in found if r.query_id == 0}
+    assert all(abs(s - 1) < 1e-12 for _, s in near.values())
+    u = v / np.abs(v).max(axis=1, keepdims=True)
+    exact = lambda i: float((u[0] * u[i]).sum() / np.sqrt((u[0] * u[0]).sum() * (u[i] * u[i]).sum()))
+    assert all(abs(exact(i) - 1) < 1e-12 for i, _ in near.values()) and len(near) == 5
+    poor = neighbours.nearest(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.eye(8)[[0, 1, 2]])], "vec_id long, embedding array<double>"), every=1).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in poor) == [(q, k + 1, c, 0.0) for q in range(3) for k, c in enumerate(x for x in range(3) if x != q)]
+
+
+def test_probes_come_in_order_of_success():
+    import itertools
+
+    rng = np.random.default_rng(0)
+    for k, cosine in itertools.product((2, 5, 7), (0.0, 0.4, 0.9)):
+        hashes = neighbours.Hashes(16, k, 2, cosine)
+        unit = neighbours.units(rng.standard_normal((1, 16)))[0]
+        shards, buckets, mass = hashes.probes(unit, 1)
+        every = sorted(((sum(c[0] for c in x), sum(c[2] for c in x) & neighbours.WORD, math.prod(c[1] for c in x)) for x in itertools.product(*hashes.chances(unit @ hashes.a[1], 1))), reverse=True)
+        reached = np.cumsum([math.exp(x[0]) for x in every])
+        n = int(np.searchsorted(reached, 1 - (1 - neighbours.SUCCESS) ** 0.5)) + 1
+        assert len(buckets) == len(set(buckets)) == min(n, len(every)) and abs(mass - sum(x[2] for x in every[:n])) < 1e-6
+        assert buckets[0] == every[0][1]
+
+
+@pytest.mark.parametrize("size", [20_000, 2_000_000])
+def test_tokens_of_long_white_space(spark, size):
+    texts = [" " * size, "a" + "\n" * size + "b", "\t" * size + " x", "x" * size]
+    found = token_counts.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).groupBy("doc_id").agg(F.max("end").alias("end"), F.sum("n_tokens").alias("n"), F.first("doc_tokens").alias("d")).collect()
+    assert {r.doc_id: r.end for r in found} == {i: len(t) for i, t in enumerate(texts)} and all(r.n == r.d > 0 for r in found)
+    raw = spark.createDataFrame([(1, bytearray(b"ab \xff\xfe cd\nx"))], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    bad = token_counts.token_counts(raw).orderBy("section").collect()
+    assert [(r.begin, r.end) for r in bad] == [(0, 13), (13, 14)] and sum(r.n_tokens for r in bad) == bad[0].doc_tokens
+
+
+def test_recall_of_seeds_on_edited_items():
+    # Every text and item that full alignment finds, at several rates of substitution, deletion, insertion and moved halves.
+    rng = np.random.default_rng(12)
+    items, texts = [rng.integers(0, 400, rng.integers(2, 40)).astype(np.uint64) for _ in range(30)], []
+    for item in items:
+        for rate in (0.1, 0.25, 0.4):
+            for kind in range(4):
+                w = item.tolist()
+                hit = rng.random(len(w)) < rate
+                w = [[x for x, h in zip(w, hit) if not h], [999 if h else x for x, h in zip(w, hit)], [y for x, h in zip(w, hit) for y in ([x, 998] if h else [x])], w[len(w) // 2 :] + w[: len(w) // 2]][kind]
+                texts.append(np.concatenate([rng.integers(0, 400, 30), np.array(w, dtype=np.int64), rng.integers(0, 400, 30)]).astype(np.uint64))
+    held = decontamination.Items.of(list(range(30)), items, 0.6)
+    chunk = next(tokens.chunks(__import__("pyarrow").array([" ".join(f"w{x}" for x in t) for t in texts])))
+    named = lambda a: decontamination.plain_words(next(tokens.chunks(__import__("pyarrow").array([" ".join(f"w{x}" for x in a)]))))[0]
+    held = decontamination.Items.of(list(range(30)), [named(i) for i in items], 0.6)
+    found = {(d, i): s for d, i, s, _, _ in decontamination.matches(chunk, held, 0.6)}
+    want = {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            share = decontamination.align(t, item)[0] / (2 * item.size)
+            if share >= 0.6 and item.size >= decontamination.LEAST_WORDS:
+                want[d, i] = share
+    assert found == want and len(want) > 150
