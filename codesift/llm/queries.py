@@ -120,6 +120,15 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL OR words IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict, words
         FROM judged
     """,
+    "op9_substring_dedup": """
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+        win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS start, unnest(list_transform(range(1, len(w) - 18), lambda i: md5_number(array_to_string(w[i:i + 19], ' ')))) AS k FROM d),
+        rep AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY k ORDER BY doc_id, start) AS n FROM win) WHERE n > 1),
+        words AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+        marked AS (SELECT a.doc_id, a.i, word, coalesce(max(r.start) OVER x >= a.i - 19, false) AS gone FROM words a LEFT JOIN rep r ON r.doc_id = a.doc_id AND r.start = a.i WINDOW x AS (PARTITION BY a.doc_id ORDER BY a.i)),
+        cut AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+        SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN cut ON cut.doc_id = d.doc_id
+    """,
     "op10_line_dedup": _lines_sql(
         "SELECT doc_id, source AS host, text FROM documents",
         "SELECT doc_id, host AS source, len(lines)::BIGINT AS n_lines, (length(before) - length(text))::BIGINT AS n_chars_removed, sha256(text) AS kept_sha256 FROM kept",
