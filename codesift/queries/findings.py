@@ -138,6 +138,21 @@ def evaluate_false_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.false_positives(_expected(spark, sf_dir), _best(spark, sf_dir)).groupBy("category").agg(F.count(F.lit(1)).alias("false_positives"))
 
 
+@query(f"""{BASE}, {EXPECTED_SQL}, e AS (SELECT *, {LANGUAGE_SQL} AS language FROM (SELECT e_path AS path, e_line, e_category FROM expected)),
+    hit AS (SELECT e.path, e_line, e_category, e.language, coalesce(bool_or(abs(line_no - e_line) <= 5), false) AS found FROM e LEFT JOIN best b ON b.path = e.path AND b.category = e_category GROUP BY ALL)
+    SELECT coalesce(language, 'other') AS language, count(*) AS expected, count(*) FILTER (found) AS tp, round(count(*) FILTER (found) / count(*), 6) AS recall FROM hit GROUP BY 1""")
+def evaluate_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall by language, with the lines of tolerance that a finding may be off."""
+    expected = _expected(spark, sf_dir).withColumn("language", F.coalesce(src.language(F.col("path")), F.lit("other")))
+    return evaluate.recall_by(evaluate.near_matches(expected, _best(spark, sf_dir)), "language")
+
+
+@query()
+def match_context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings that stand in code, not in text that does nothing."""
+    return _take(security_findings(src.route(src.discover(files(spark, sf_dir))), contexts=True))
+
+
 def evaluate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.greedy(_expected(spark, sf_dir), _best(spark, sf_dir))
 
