@@ -11,14 +11,14 @@ from codesift.llm.tables import written
 def _large(edges: DataFrame) -> DataFrame:
     """Each node links its larger neighbours to its least neighbour (or itself)."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).repartition("m")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    least = down.groupBy("a").agg(F.min("b").alias("m")).repartition("m")
     return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node and root, the least node of its component, for every node of ``edges`` (a, b: long) but the roots.
 
     Self-links are ignored and repeated links do no harm; rounds grow with the
-    logarithm of the longest path.  The least neighbours are written before they
-    are joined: a join of two scans is dealt anew where a node has very many links.
+    logarithm of the longest path.  The least neighbours are dealt out anew before
+    they are joined: as the join then shuffles both its sides, Spark splits the
+    side of a node with very many links.
     """
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     seen = None

@@ -109,6 +109,8 @@ def tree_links(points: np.ndarray, radius: int, visits: list[int] | None = None)
     while todo:
         node, seekers = todo.pop()
         parent, rest = int(node[0]), node[1:]
+        if (group[seekers] == group[parent]).all() and (group[rest] == group[parent]).all():
+            continue  # all connected: nothing here can add a link
         to_parent = distance(points[seekers], points[parent])
         if visits is not None:
             visits.append(seekers.size)
@@ -129,6 +131,18 @@ def tree_links(points: np.ndarray, radius: int, visits: list[int] | None = None)
     return links
 
 
+def middle_first(points: np.ndarray) -> np.ndarray:
+    """The order of the points with that nearest to the majority of their bits in front.
+
+    Copies of a text differ from each other more than from it, so links to the
+    middle of a group are the likeliest to hold.
+    """
+    bits = np.unpackbits(points.view(np.uint8).reshape(len(points), -1), axis=1)
+    majority = np.packbits(bits.mean(axis=0) > 0.5).view(U64)
+    middle = int(distance(points, majority).argmin())
+    return np.concatenate([[middle], np.delete(np.arange(len(points)), middle)])
+
+
 def deal(keys: list[np.ndarray]):
     """A row for each fingerprint and key."""
     schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("fingerprint", pa.binary())])
@@ -149,37 +163,45 @@ def deal(keys: list[np.ndarray]):
     return run, schema
 
 
-def root_links(points: np.ndarray, radius: int, roots: np.ndarray) -> list[tuple[int, int]]:
-    """All pairs within the radius whose roots differ."""
+def root_links(points: np.ndarray, radius: int, roots: np.ndarray, size: np.ndarray, common: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """All pairs within the radius whose roots differ and whose sets could be similar enough.
+
+    ``common``: how many of a set's elements any other set has, so no two share
+    more than the lesser of theirs.
+    """
     links, step = [], max(1, (1 << 20) // len(points))
     if (roots == roots[0]).all():
         return links
     for lo in range(0, len(points), step):
         some = slice(lo, lo + step)
-        near = (roots[some][:, None] != roots[None]) & (distance(points[some][:, None], points[None]) <= radius)
+        near = (roots[some][:, None] != roots[None]) & (np.minimum(common[some][:, None], common[None]) * (1 + similarity) >= similarity * (size[some][:, None] + size[None]) - 1e-9)
         i, j = np.nonzero(near)
-        links.extend(zip((i + lo)[i + lo < j].tolist(), j[i + lo < j].tolist(), strict=True))
+        i, j = i[i + lo < j], j[i + lo < j]
+        at = distance(points[i + lo], points[j]) <= radius
+        links.extend(zip((i[at] + lo).tolist(), j[at].tolist(), strict=True))
     return links
 
 
-def search(radius: int, rooted: bool = False):
+def search(radius: int, rooted: float | None = None):
     """Rows come sorted by shard; the last shard of a batch waits for the next batch.
 
-    Links of a forest, or if ``rooted``, all that lead from one root to another.
+    Links of a forest, or if ``rooted`` is a similarity, all that lead from one root to another and could reach it.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def links(table: pa.Table) -> pa.RecordBatch:
         shard, node = table.column("shard").to_numpy(), table.column("node").to_numpy()
         points = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), dtype=U64).reshape(len(node), -1)
-        roots = table.column("root").to_numpy() if rooted else node
+        roots, size, common = (table.column(c).to_numpy() if rooted else node for c in ROOTED)
         edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         a, b = [], []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if hi - lo > 1:
-                for i, j in root_links(points[lo:hi], radius, roots[lo:hi]) if rooted else tree_links(points[lo:hi], radius):
-                    a.append(node[lo + i])
-                    b.append(node[lo + j])
+                order = lo + (np.arange(hi - lo) if rooted else middle_first(points[lo:hi]))
+                found = root_links(points[order], radius, roots[order], size[order], common[order], rooted) if rooted else tree_links(points[order], radius)
+                for i, j in found:
+                    a.append(node[order[i]])
+                    b.append(node[order[j]])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +222,13 @@ def search(radius: int, rooted: bool = False):
     return run, schema
 
 
-def shard_links(dealt: DataFrame, radius: int, rooted: bool = False) -> DataFrame:
-    """Links (a, b) within the radius among the rows (key, node, fingerprint, and root if ``rooted``) of equal key."""
-    rest = ["node", "fingerprint", *(["root"] if rooted else [])]
+#: Further columns of a search from root to root.
+ROOTED = ("root", "size", "common")
+
+
+def shard_links(dealt: DataFrame, radius: int, rooted: float | None = None) -> DataFrame:
+    """Links (a, b) within the radius among the rows (key, node, fingerprint, and if ``rooted`` the columns ``ROOTED``) of equal key."""
+    rest = ["node", "fingerprint", *(ROOTED if rooted else ())]
     # At most (rows / SHARD) keys are over the limit, few enough to broadcast.
     large = dealt.groupBy("key").agg(F.ceil(F.count("node") / SHARD).cast("int").alias("blocks")).where("blocks > 1")
     own = F.pmod(F.xxhash64("node"), F.col("blocks"))
@@ -247,16 +273,28 @@ def profiles(rows: DataFrame, words: int, lanes: int) -> DataFrame:
     return rows.mapInArrow(run, spark_schema(schema))
 
 
-def alike(links: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The distinct links (a, b: _uid of ``rows``) whose texts' sets of shingles have that Jaccard index or more."""
-    links = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ends = links.select(F.explode(F.array("a", "b")).alias("_uid")).distinct()
+def shingle_sets(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """node and shingles (sorted hashes, 8 bytes each) of the texts of ``nodes`` (``_uid`` of ``rows``), written."""
 
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in tokens.binary(batch.column("_text"))]
             yield pa.RecordBatch.from_arrays([batch.column("_uid"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
+    return written(rows.join(nodes.select(F.col("node").alias("_uid")), "_uid", "left_semi").select("_uid", "_text").mapInArrow(run, "node long, shingles binary"), "shingles")
+
+
+def distinct_links(links: DataFrame) -> DataFrame:
+    return written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+
+def ends(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b: nodes of ``sets``) whose sets have that Jaccard index or more."""
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -266,11 +304,31 @@ def alike(links: DataFrame, rows: DataFrame, words: int, similarity: float) -> D
                 keep.append(both >= similarity * (x.size + y.size - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = written(rows.join(ends, "_uid", "left_semi").select("_uid", "_text").mapInArrow(shingles, "node long, shingles binary"), "shingles")
     first, second = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     return written(links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "alike")
 
 
+def linkable(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, size and common (the shingles that another of ``sets`` has too) of those that can reach the similarity with another.
+
+    A set shares at least ``similarity`` of itself with any that is so similar,
+    so one with more shingles that no other set has is similar to none.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
+            if flat:
+                size = np.array([x.size for x in flat])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat)), pa.array(np.repeat(batch.column("node").to_numpy(), size))], names=["shingle", "node"])
+
+    single = sets.mapInArrow(listed, "shingle long, node long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
+    own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    rows = sets.select("node", (F.length("shingles") / 8).cast("long").alias("size")).join(own, "node", "left")
+    rows = rows.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
+    return written(rows.where(F.col("common") >= similarity * F.col("size") - 1e-9), "linkable")
+
+
 def simhash_dedup(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (binary, most significant byte first) and component_id of every row.
 
@@ -296,8 +354,9 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     share a band key and have 256-bit fingerprints within a radius: at Jaccard
     J the cosine of equally long texts is 2J / (1 + J), the angle is the share
     of differing bits, and the radius is five deviations more.  A first search
-    links candidates by forests; a second takes all candidates that the checked
-    links of the first leave apart.
+    links candidates by forests around the middles of shards; a second takes all
+    candidates that the checked links of the first leave apart, but for texts
+    that have too much of their own to be similar to any.
 
     Null and empty texts are copies of each other, as are texts of fewer words
     than a shingle only if equal.  Of rows with equal ids the first of the table
@@ -312,9 +371,13 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     rows = identified(docs, id_col, text_col, uid)
     known = profiles(rows, words, bits // 64).groupBy("digest")
     nodes = written(known.agg(F.min("_uid").alias("node"), F.min(F.struct("_ord", "_uid")).alias("first"), F.any_value("fingerprint").alias("fingerprint"), F.any_value("keys").alias("keys")), "nodes")
-    links = alike(shard_links(nodes.select(F.explode("keys").alias("key"), "node", "fingerprint"), radius), rows, words, similarity)
-    apart = nodes.join(components(links), "node", "left").select(F.explode("keys").alias("key"), "node", "fingerprint", F.coalesce("root", "node").alias("root"))
-    links = links.unionByName(alike(shard_links(apart, radius, rooted=True), rows, words, similarity))
+    candidates = distinct_links(shard_links(nodes.select(F.explode("keys").alias("key"), "node", "fingerprint"), radius))
+    # The links of a forest touch every node that has any candidate.
+    sets = shingle_sets(rows, ends(candidates), words)
+    links = alike(candidates, sets, similarity)
+    apart = nodes.join(linkable(sets, similarity), "node").join(components(links), "node", "left")
+    apart = apart.select(F.explode("keys").alias("key"), "node", "fingerprint", F.coalesce("root", "node").alias("root"), "size", "common")
+    links = links.unionByName(alike(distinct_links(shard_links(apart, radius, similarity)), sets, similarity))
     found = nodes.join(components(links), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     keep = written(found.groupBy("root").agg(F.min("first")["_uid"].alias(uid)).select(uid), "kept")
     return docs.join(keep, uid, "left_semi").drop(uid)
