@@ -163,11 +163,11 @@ def deal(keys: list[np.ndarray]):
     return run, schema
 
 
-def root_links(points: np.ndarray, radius: int, roots: np.ndarray, size: np.ndarray, common: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """All pairs within the radius whose roots differ and whose sets could be similar enough.
+def root_links(points: np.ndarray, radius: int, roots: np.ndarray, size: np.ndarray, common: np.ndarray, key: np.ndarray, keys: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """All pairs within the radius whose roots differ, whose sets could be similar enough, and whose first shared key is this shard's.
 
-    ``common``: how many of a set's elements any other set has, so no two share
-    more than the lesser of theirs.
+    ``common``: how many of a set's elements sets of other roots have, so no two
+    of different roots share more than the lesser of theirs.
     """
     links, step = [], max(1, (1 << 20) // len(points))
     if (roots == roots[0]).all():
@@ -177,7 +177,9 @@ def root_links(points: np.ndarray, radius: int, roots: np.ndarray, size: np.ndar
         near = (roots[some][:, None] != roots[None]) & (np.minimum(common[some][:, None], common[None]) * (1 + similarity) >= similarity * (size[some][:, None] + size[None]) - 1e-9)
         i, j = np.nonzero(near)
         i, j = i[i + lo < j], j[i + lo < j]
-        at = distance(points[i + lo], points[j]) <= radius
+        at = np.flatnonzero(distance(points[i + lo], points[j]) <= radius)
+        same = keys[i[at] + lo] == keys[j[at]]
+        at = at[keys[i[at] + lo, same.argmax(axis=1)] == key[0]]
         links.extend(zip((i[at] + lo).tolist(), j[at].tolist(), strict=True))
     return links
 
@@ -192,13 +194,14 @@ def search(radius: int, rooted: float | None = None):
     def links(table: pa.Table) -> pa.RecordBatch:
         shard, node = table.column("shard").to_numpy(), table.column("node").to_numpy()
         points = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), dtype=U64).reshape(len(node), -1)
-        roots, size, common = (table.column(c).to_numpy() if rooted else node for c in ROOTED)
+        roots, size, common, key = (table.column(c).to_numpy() if rooted else node for c in ROOTED[:-1])
+        keys = np.array(table.column(ROOTED[-1]).to_pylist()) if rooted else node
         edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         a, b = [], []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if hi - lo > 1:
                 order = lo + (np.arange(hi - lo) if rooted else middle_first(points[lo:hi]))
-                found = root_links(points[order], radius, roots[order], size[order], common[order], rooted) if rooted else tree_links(points[order], radius)
+                found = root_links(points[order], radius, *(x[order] for x in (roots, size, common, key, keys)), rooted) if rooted else tree_links(points[order], radius)
                 for i, j in found:
                     a.append(node[order[i]])
                     b.append(node[order[j]])
@@ -223,7 +226,7 @@ def search(radius: int, rooted: float | None = None):
 
 
 #: Further columns of a search from root to root.
-ROOTED = ("root", "size", "common")
+ROOTED = ("root", "size", "common", "key", "keys")
 
 
 def shard_links(dealt: DataFrame, radius: int, rooted: float | None = None) -> DataFrame:
@@ -308,11 +311,12 @@ def alike(links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return written(links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "alike")
 
 
-def linkable(sets: DataFrame, similarity: float) -> DataFrame:
-    """node, size and common (the shingles that another of ``sets`` has too) of those that can reach the similarity with another.
+def linkable(sets: DataFrame, rooted: DataFrame, similarity: float) -> DataFrame:
+    """node, root, size and common (the shingles that a set of another root has too) of those that can reach the similarity with another root.
 
-    A set shares at least ``similarity`` of itself with any that is so similar,
-    so one with more shingles that no other set has is similar to none.
+    ``rooted``: node and root of all sets.  A set shares at least ``similarity``
+    of itself with any that is so similar, so one with fewer shingles in common
+    with all other roots is similar to none of them.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,13 +324,14 @@ def linkable(sets: DataFrame, similarity: float) -> DataFrame:
             flat = [np.frombuffer(x, dtype=np.int64) for x in batch.column("shingles").to_pylist()]
             if flat:
                 size = np.array([x.size for x in flat])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat)), pa.array(np.repeat(batch.column("node").to_numpy(), size))], names=["shingle", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(flat)), *(pa.array(np.repeat(batch.column(c).to_numpy(), size)) for c in ("node", "root"))], names=["shingle", "node", "root"])
 
-    single = sets.mapInArrow(listed, "shingle long, node long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("node")).where("n = 1")
-    own = single.groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    rows = sets.select("node", (F.length("shingles") / 8).cast("long").alias("size")).join(own, "node", "left")
-    rows = rows.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
-    return written(rows.where(F.col("common") >= similarity * F.col("size") - 1e-9), "linkable")
+    rows = written(sets.join(rooted, "node"), "rooted")
+    each = rows.mapInArrow(listed, "shingle long, node long, root long")
+    shared = each.groupBy("shingle").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("shingle").repartition(F.col("shingle") % 1_000_003)
+    common = each.select("shingle", "node").join(shared, "shingle").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
+    found = rows.select("node", "root", (F.length("shingles") / 8).cast("long").alias("size")).join(common, "node")
+    return written(found.where(F.col("common") >= similarity * F.col("size") - 1e-9), "linkable")
 
 
 def simhash_dedup(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,8 +380,8 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     # The links of a forest touch every node that has any candidate.
     sets = shingle_sets(rows, ends(candidates), words)
     links = alike(candidates, sets, similarity)
-    apart = nodes.join(linkable(sets, similarity), "node").join(components(links), "node", "left")
-    apart = apart.select(F.explode("keys").alias("key"), "node", "fingerprint", F.coalesce("root", "node").alias("root"), "size", "common")
+    rooted = sets.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    apart = nodes.join(linkable(sets, rooted, similarity), "node").select(F.explode("keys").alias("key"), "node", "fingerprint", "root", "size", "common", "keys")
     links = links.unionByName(alike(distinct_links(shard_links(apart, radius, similarity)), sets, similarity))
     found = nodes.join(components(links), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     keep = written(found.groupBy("root").agg(F.min("first")["_uid"].alias(uid)).select(uid), "kept")
