@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.llm.decontamination import contaminated
+from codesift.llm.filter_audit import filter_audit
 from codesift.llm.line_dedup import line_dedup
 from codesift.llm.mixing import mix
 from codesift.llm.neighbours import nearest
@@ -73,6 +74,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def page_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 on web pages: lines of HTML on more than a tenth of the pages of their host."""
     host, _ = host_and_path(F.col("url"))
@@ -81,7 +86,8 @@ def page_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", (F.length("before") - F.length("html")).cast("long").alias("n_chars_removed"), F.sha2("html", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_neighbours, op4_simhash, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup, page_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_neighbours, op4_simhash, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup, op12_filter_audit, page_line_dedup)}
+
 
 def _words_sql() -> str:
     """The word rule that decides, longest name first, as a chain of conditions."""
@@ -133,6 +139,26 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT doc_id, source AS host, text FROM documents",
         "SELECT doc_id, host AS source, len(lines)::BIGINT AS n_lines, (length(before) - length(text))::BIGINT AS n_chars_removed, sha256(text) AS kept_sha256 FROM kept",
     ),
+    "op12_filter_audit": """
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+        marks AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT d.part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                     (len(w) < 100)::INT AS a, (100 * len(list_distinct(w)) < 80 * len(w))::INT AS b,
+                     (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text))::INT AS c, regexp_matches(text, '[#$%&*|]')::INT AS d,
+                     coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY sha256(text)), false)::INT AS e
+              FROM d LEFT JOIN marks ON marks.doc_id = d.doc_id),
+        masks AS (SELECT part, good, toxic, a, b, c, d, e, count(*) AS n FROM m GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+        steps AS (SELECT filter_order, step::INT AS step, filter_order[step] AS f, filter_order[1:step - 1] AS before FROM orders, range(1, 6) g(step)),
+        at AS (SELECT part, filter_order, step, f, good, toxic, n, a + b + c + d + e AS fails,
+                      CASE f WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END = 1 AS fail,
+                      a * strpos(before, 'A') + b * strpos(before, 'B') + c * strpos(before, 'C') + d * strpos(before, 'D') + e * strpos(before, 'E') > 0 AS gone FROM masks, steps),
+        counted AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fail), 0)::BIGINT AS removed,
+                           coalesce(sum(n) FILTER (gone AND fail), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fail AND fails = 1), 0)::BIGINT AS unique_fails,
+                           coalesce(sum(n) FILTER (NOT gone AND fail AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fail AND toxic), 0)::BIGINT AS toxic_lost FROM at GROUP BY ALL)
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM counted
+    """,
     "page_line_dedup": _lines_sql(
         """SELECT page_id AS doc_id, html AS text, translate(regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^([^/?#]*)', 1),
                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM pages""",
