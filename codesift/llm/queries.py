@@ -151,12 +151,12 @@ ORACLE_SQL: dict[str, str] = {
         letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
         orders AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
         steps AS (SELECT filter_order, step::INT AS step, filter_order[step] AS f, filter_order[1:step - 1] AS before FROM orders, range(1, 6) g(step)),
-        at AS (SELECT part, filter_order, step, f, good, toxic, n, a + b + c + d + e AS fails,
+        met AS (SELECT part, filter_order, step, f, good, toxic, n, a + b + c + d + e AS fails,
                       CASE f WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END = 1 AS fail,
                       a * strpos(before, 'A') + b * strpos(before, 'B') + c * strpos(before, 'C') + d * strpos(before, 'D') + e * strpos(before, 'E') > 0 AS gone FROM masks, steps),
         counted AS (SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (NOT gone AND fail), 0)::BIGINT AS removed,
                            coalesce(sum(n) FILTER (gone AND fail), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fail AND fails = 1), 0)::BIGINT AS unique_fails,
-                           coalesce(sum(n) FILTER (NOT gone AND fail AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fail AND toxic), 0)::BIGINT AS toxic_lost FROM at GROUP BY ALL)
+                           coalesce(sum(n) FILTER (NOT gone AND fail AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fail AND toxic), 0)::BIGINT AS toxic_lost FROM met GROUP BY ALL)
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM counted
     """,
     "page_line_dedup": _lines_sql(
