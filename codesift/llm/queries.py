@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codesift.llm.decontamination import contaminated
 from codesift.llm.filter_audit import filter_audit
 from codesift.llm.line_dedup import line_dedup
+from codesift.llm.minhash import minhash_groups
 from codesift.llm.mixing import mix
 from codesift.llm.neighbours import nearest
 from codesift.llm.simhash import simhash_dedup
@@ -78,6 +79,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def page_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Operator 10 on web pages: lines of HTML on more than a tenth of the pages of their host."""
     host, _ = host_and_path(F.col("url"))
@@ -86,7 +91,7 @@ def page_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", (F.length("before") - F.length("html")).cast("long").alias("n_chars_removed"), F.sha2("html", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_neighbours, op4_simhash, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup, op12_filter_audit, page_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_neighbours, op4_simhash, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup, op12_filter_audit, op13_minhash, page_line_dedup)}
 
 
 def _words_sql() -> str:
@@ -159,6 +164,23 @@ ORACLE_SQL: dict[str, str] = {
                            coalesce(sum(n) FILTER (NOT gone AND fail AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (NOT gone AND fail AND toxic), 0)::BIGINT AS toxic_lost FROM met GROUP BY ALL)
         SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley FROM counted
     """,
+    "op13_minhash": """
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\x0B\\f\\r]+') AS w FROM documents),
+        s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS x FROM d),
+        keyed AS (SELECT doc_id, len(x) AS n, CASE WHEN len(x) > 0 THEN md5(array_to_string(x, chr(10))) END AS k, x FROM s),
+        nodes AS (SELECT k, min(doc_id) AS node, any_value(n) AS n, any_value(x) AS x FROM keyed WHERE k IS NOT NULL GROUP BY k),
+        e AS (SELECT node, n, unnest(x) AS g FROM nodes),
+        rare AS (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM e),
+        prefix AS (SELECT node, n, g FROM rare QUALIFY row_number() OVER (PARTITION BY node ORDER BY c, g) <= 15 * n // 100 + 1),
+        pairs AS (SELECT DISTINCT p.node AS a, q.node AS b FROM prefix p JOIN prefix q ON p.g = q.g AND p.node < q.node AND 100 * p.n >= 85 * q.n AND 100 * q.n >= 85 * p.n),
+        links AS (SELECT a, b FROM pairs JOIN nodes x ON x.node = a JOIN nodes y ON y.node = b
+                  WHERE 100 * len(list_intersect(x.x, y.x)) >= 85 * (x.n + y.n - len(list_intersect(x.x, y.x)))),
+        reach(node, r) AS (SELECT node, node FROM nodes UNION SELECT way.v, reach.r FROM reach JOIN (SELECT a AS u, b AS v FROM links UNION ALL SELECT b, a FROM links) way ON way.u = reach.node AND reach.r < way.v),
+        least AS (SELECT node, min(r) AS component_id FROM reach GROUP BY node)
+        SELECT doc_id, keyed.n AS n_shingles, coalesce(component_id, doc_id) AS component_id, doc_id = coalesce(component_id, doc_id) AS kept
+        FROM keyed LEFT JOIN nodes ON nodes.k = keyed.k LEFT JOIN least ON least.node = nodes.node
+    """,
     "page_line_dedup": _lines_sql(
         """SELECT page_id AS doc_id, html AS text, translate(regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^([^/?#]*)', 1),
                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM pages""",
