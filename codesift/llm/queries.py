@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, over whole tables."""
+"""The registered queries of the thirteen operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from codesift.llm.suffix_dedup import suffix_dedup
 from codesift.llm.token_counts import token_counts
 from codesift.llm.toxicity import toxicity_scores
 from codesift.llm.url_filter import WORD_RULES, host_and_path, judged
+from codesift.llm.whitening import whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -91,7 +96,7 @@ def page_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", (F.length("before") - F.length("html")).cast("long").alias("n_chars_removed"), F.sha2("html", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_neighbours, op4_simhash, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup, op12_filter_audit, op13_minhash, page_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_decontamination, op3_neighbours, op4_simhash, op5_token_counts, op6_suffix_dedup, op7_mixing, op8_toxicity, op9_substring_dedup, op10_line_dedup, op11_whitening, op12_filter_audit, op13_minhash, page_line_dedup)}
 
 
 def _words_sql() -> str:

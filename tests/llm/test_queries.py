@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -46,7 +47,7 @@ def tables(tmp_path_factory):
     texts += [text(rng.randrange(1, 120)) for _ in range(120)]
     ids = [*range(len(texts) - 4), 3, 3, None, -7]
     sources = [None if i % 11 == 5 else "hot" if i % 3 else f"s{i % 5}" for i in range(len(texts))]
-    docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "lang": ["xx"] * len(texts), "source": sources, "n_chars": pa.array([len(t or "") for t in texts], pa.int64()), "_uid": ["clash"] * len(texts), "copy": ["clash"] * len(texts), "_cs_uid": ["clash"] * len(texts)})
+    docs = pa.table({"doc_id": pa.array(ids, pa.int64()), "text": texts, "lang": [None if i % 13 == 4 else "" if i % 13 == 5 else f"l{i % 2}" for i in range(len(texts))], "source": sources, "n_chars": pa.array([len(t or "") for t in texts], pa.int64()), "_uid": ["clash"] * len(texts), "copy": ["clash"] * len(texts), "_cs_uid": ["clash"] * len(texts)})
     (folder / "documents.parquet").mkdir()
     for k in range(3):
         pq.write_table(docs.slice(k * 50, 50 if k < 2 else len(texts)), folder / "documents.parquet" / f"part-{k}.parquet")
@@ -245,6 +246,64 @@ def test_page_lines(spark, tables):
     same([(r["page_id"], r["host"], r["kept_sha256"]) for r in result(spark, tables, "page_line_dedup")], [(r["page_id"], host(r["url"]), None if t is None else sha(t.encode())) for r, t in zip(rows, kept)])
 
 
+def test_op11(spark, tables):
+    rows = {r["vec_id"]: np.floor(64 * np.array(r["embedding"], dtype=float)).astype(int) + 1_000_000 for r in pq.read_table(tables / "embeddings.parquet").to_pylist() if r["vec_id"] < 400 or r["vec_id"] == 500}
+    x = np.array(list(rows.values()))
+    off = x - x.mean(axis=0)
+    values, vectors = np.linalg.eigh(off.T @ off / len(x))
+    found = result(spark, tables, "op11_whitening")
+    assert len(found) == len(x) * 12 and len({r["identity_error"] for r in found}) == 1 and found[0]["identity_error"] < 1e-10
+    sign = {}
+    for r in found:
+        i, c = list(rows).index(r["vec_id"]), r["component"]
+        want = off[i] @ vectors[:, -c] / np.sqrt(values[-c])
+        sign.setdefault(c, np.sign(want * r["whitened"]))
+        assert abs(want * sign[c] - r["whitened"]) < 1e-9 and abs(r["explained"] - values[-c] / values.sum()) < 1e-12
+        assert r["n"] == len(x) and r["deviation"] == sum((len(x) * int(a) - int(b)) ** 2 for a, b in zip(x[i], x.sum(axis=0)))
+
+
+def test_op12(spark, tables, docs):
+    labels = defaultdict(lambda: (False, False))
+    for r in pq.read_table(tables / "labels.parquet").to_pylist():
+        if r["doc_id"] is not None:
+            labels[r["doc_id"]] = (labels[r["doc_id"]][0] or r["quality"] == 1, labels[r["doc_id"]][1] or r["toxic"] == 1)
+    fails, parts = [], defaultdict(list)
+    for r in docs:
+        t = r["text"] or ""
+        w = words(t)
+        smaller = any(r["doc_id"] is not None and o["doc_id"] is not None and o["doc_id"] < r["doc_id"] and (o["text"] or "") == t for o in docs)
+        fails.append({"A": len(w) < 100, "B": 100 * len(set(w)) < 80 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 10 * len(t), "D": bool(re.search("[#$%&*|]", t)), "E": smaller})
+        parts[r["lang"] or ""].append((fails[-1], *labels[r["doc_id"]]))
+    want = []
+    for part, rows in parts.items():
+        counts, removed = [], Counter()
+        for order in itertools.permutations("ABCDE"):
+            for step, f in enumerate(order):
+                gone = lambda x, n=step, o=order: any(x[k] for k in o[:n])
+                out = [(g, t) for x, g, t in rows if x[f] and not gone(x)]
+                removed[f] += len(out)
+                kept = sum(not x[f] and not gone(x) for x, _, _ in rows)
+                counts.append((f, (part, "".join(order), step + 1, kept, len(out), sum(x[f] and gone(x) for x, _, _ in rows), sum(x[f] and sum(x.values()) == 1 for x, _, _ in rows), sum(g for g, _ in out), sum(t for _, t in out))))
+        want += [(*row, removed[f]) for f, row in counts]
+    same([tuple(r[c] for c in ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")) for r in result(spark, tables, "op12_filter_audit")], want)
+
+
+def shingle_set(text, n=5):
+    w = words(lowered(text or ""))
+    return {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_op13(spark, tables, docs):
+    sets = [shingle_set(r["text"]) for r in docs]
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    least = {k: min((r["doc_id"] for r, x in zip(docs, label) if x == k and r["doc_id"] is not None), default=None) for k in set(label)}
+    same([tuple(r[c] for c in ("doc_id", "n_shingles", "component_id", "kept")) for r in result(spark, tables, "op13_minhash")], [(r["doc_id"], len(s), least[x], r["doc_id"] == least[x]) for r, s, x in zip(docs, sets, label)])
+
+
 def test_op1(spark, tables):
     found = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in result(spark, tables, "op1_url_filter")}
     assert found[0] == ("www.example.com", "/en/x", "www.example.com/en/", "allow") and found[1][2:] == ("example.com/en/", "block")
