@@ -15,14 +15,12 @@ are whole sets, and a pair is written only if it links two roots.
 
 What can be lost: texts at the threshold J share none of their first n values
 with probability (1 - J)^n (1e-10 at 12 and 0.85), and an estimate is below its
-bound with probability ``LOSS``.  Texts of up to 73 shingles (at 0.85) lose nothing.
+bound with probability ``bottomk.LOSS``.  Texts of up to 73 shingles (at 0.85) lose nothing.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,44 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesift.llm import tokens
+from codesift.llm.bottomk import least_matches, similar
 from codesift.llm.components import components
 from codesift.llm.repeats import spark_schema
 from codesift.llm.simhash import shingle_hashes, shingle_sets
 from codesift.llm.tables import free_name, identified, numbered, written
 
 U64 = np.uint64
-#: Values that a sketch retains, those that have an inverted list, and those of the larger sketches of the second search.
-SKETCH, LISTED, LARGE = 128, 12, 512
-#: Chance that a pair at the threshold is below the bound of its estimate.
-LOSS = 1e-9
+#: Values that a sketch retains, and those that have an inverted list.
+SKETCH, LISTED = 128, 12
 #: Nodes of a list that one task compares; a longer list is dealt out as pairs of blocks.
 BLOCK = 4_000
 
 
-@cache
-def least_matches(k: int, percent: int) -> int:
-    """The most matches among k sampled values that a pair at the threshold has but for a chance of ``LOSS``."""
-    share, below = percent / 100, 0.0
-    for m in range(k + 1):
-        below += math.comb(k, m) * share**m * (1 - share) ** (k - m)
-        if below > LOSS:
-            return m
-    return k
-
-
-def similar(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int, percent: int) -> tuple[bool, bool]:
-    """Whether two sketches allow the similarity, and whether that is certain (both hold their whole set)."""
-    if 100 * min(size_a, size_b) < percent * max(size_a, size_b):
-        return False, True
-    both = np.intersect1d(a, b, assume_unique=True)
-    if a.size == size_a and b.size == size_b:
-        return 100 * both.size >= percent * (size_a + size_b - both.size), True
-    k = min(x.size for x, size in ((a, size_a), (b, size_b)) if x.size < size)
-    # The least k values of the union: those up to its k-th, which both sketches cover.
-    last = np.union1d(a, b)[k - 1]
-    return int(np.searchsorted(both, last, side="right")) >= least_matches(k, percent), False
-
-
 def sketches(rows: DataFrame, words: int) -> DataFrame:
     """_uid, _id, size of the set, its digest, the values with a list and the sketch.  ``rows``: of ``identified()``."""
     schema = pa.schema([("_uid", pa.int64()), ("_id", pa.int64()), ("size", pa.int64()), ("digest", pa.binary()), ("listed", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -135,9 +108,8 @@ def overlaps(values: list[np.ndarray], need: np.ndarray) -> Iterator[tuple[int,
 def list_links(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, firsts: list[np.ndarray], large: list[np.ndarray], value: int, percent: int, halves: np.ndarray | None) -> list[tuple[int, int]]:
     """Pairs of a list that may link two roots and have no smaller value in common.
 
-    Pairs whose larger sketches are whole sets are settled here: one that links
-    joins the roots, so the pairs are a forest of these and all others that the
-    estimate allows.
+    A pair that the larger sketches show to be similar joins its roots, so the
+    pairs are a forest of these and all others that the estimate allows.
     """
     links, joined = [], {r: r for r in roots.tolist()}
 
@@ -158,10 +130,10 @@ def list_links(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, firsts:
             common = np.intersect1d(firsts[i], firsts[j], assume_unique=True)
             if common[0] != value:
                 continue
-            may, certain = similar(large[i], large[j], int(sizes[i]), int(sizes[j]), percent)
+            may, shown = similar(large[i], large[j], int(sizes[i]), int(sizes[j]), percent)
             if may:
                 links.append((int(nodes[i]), int(nodes[j])))
-                if certain:
+                if shown:
                     joined[root(roots[i])] = root(roots[j])
     return links
 
@@ -171,8 +143,8 @@ def search(percent: int):
 
     def links(table: pa.Table) -> pa.RecordBatch:
         shard, node, root, size, value, half = (table.column(c).to_numpy() for c in ("shard", "node", "root", "size", "value", "half"))
-        large = [np.frombuffer(x, U64) for x in table.column("large").to_pylist()]
-        firsts = [x[:LISTED] for x in large]
+        large = [np.frombuffer(x, np.uint32) for x in table.column("high").to_pylist()]
+        firsts = [np.array(x, np.int64).view(U64) for x in table.column("listed").to_pylist()]
         edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         found: list[tuple[int, int]] = []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -228,7 +200,7 @@ def dealt(lists: DataFrame, large: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("half", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Pairs of one block are compared in the shard of that block alone.
-    return rows.select(F.xxhash64("value", F.least("half", "other"), F.greatest("half", "other")).alias("shard"), "value", F.when(F.col("half") == F.col("other"), 0).otherwise(F.col("half")).alias("half"), "node", "root", "size", "large")
+    return rows.select(F.xxhash64("value", F.least("half", "other"), F.greatest("half", "other")).alias("shard"), "value", F.when(F.col("half") == F.col("other"), 0).otherwise(F.col("half")).alias("half"), "node", "root", "size", "listed", "high")
 
 
 def minhash_groups(docs: DataFrame, words: int = 5, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", uid_col: str | None = None) -> DataFrame:
@@ -258,7 +230,7 @@ def minhash_groups(docs: DataFrame, words: int = 5, percent: int = 85, id_col: s
     links = verified(stars, shingle_sets(rows, ends(stars), words), percent)
     lists = contested(met, sketched, components(links), percent)
     sets = shingle_sets(rows, lists.select("node").distinct(), words)
-    large = sets.select("node", (F.length("shingles") / 8).cast("long").alias("size"), F.substring("shingles", 1, 8 * LARGE).alias("large"))
+    large = sets.select("node", (F.length("shingles") / 8).cast("long").alias("size"), "high").join(nodes.select("node", "listed"), "node")
     found = dealt(lists, large).repartition("shard").sortWithinPartitions("shard").mapInArrow(search(percent), "a long, b long")
     links = links.unionByName(verified(written(found, "found"), sets, percent))
 

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codesift.llm import tokens
+from codesift.llm.bottomk import high_halves, similar
 from codesift.llm.components import components
 from codesift.llm.repeats import spark_schema
 from codesift.llm.tables import columns, free_name, identified, numbered, written
@@ -277,14 +278,14 @@ def profiles(rows: DataFrame, words: int, lanes: int) -> DataFrame:
 
 
 def shingle_sets(rows: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node and shingles (sorted hashes, 8 bytes each) of the texts of ``nodes`` (``_uid`` of ``rows``), written."""
+    """node, shingles (sorted hashes, 8 bytes each) and high (a sketch, 4 bytes a value) of the texts of ``nodes`` (``_uid`` of ``rows``), written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).tobytes() for t in tokens.binary(batch.column("_text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("_uid"), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            sets = [np.unique(shingle_hashes(t.as_py(), words)) for t in tokens.binary(batch.column("_text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("_uid"), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([high_halves(x).tobytes() for x in sets], pa.binary())], names=["node", "shingles", "high"])
 
-    return written(rows.join(nodes.select(F.col("node").alias("_uid")), "_uid", "left_semi").select("_uid", "_text").mapInArrow(run, "node long, shingles binary"), "shingles")
+    return written(rows.join(nodes.select(F.col("node").alias("_uid")), "_uid", "left_semi").select("_uid", "_text").mapInArrow(run, "node long, shingles binary, high binary"), "shingles")
 
 
 def distinct_links(links: DataFrame) -> DataFrame:
