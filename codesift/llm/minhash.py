@@ -225,7 +225,9 @@ def minhash_groups(docs: DataFrame, words: int = 5, percent: int = 85, id_col: s
     met = written(lists.join(shared, "value"), "met")
     sketched = written(prints.select(F.col("_uid").alias("node"), "size", "sketch").join(met.select("node").distinct(), "node"), "sketched")
 
-    stars = estimated(met.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), sketched, percent)
+    # Similar texts meet in most of their lists; what meets its hub in few is left to the second search.
+    often = met.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LISTED // 4)
+    stars = estimated(written(often.select("a", "b"), "stars"), sketched, percent)
     ends = lambda links: links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     links = verified(stars, shingle_sets(rows, ends(stars), words), percent)
     lists = contested(met, sketched, components(links), percent)
