@@ -164,15 +164,18 @@ def deal(keys: list[np.ndarray]):
     return run, schema
 
 
-def root_links(points: np.ndarray, radius: int, roots: np.ndarray, size: np.ndarray, common: np.ndarray, key: np.ndarray, keys: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+def root_links(points: np.ndarray, radius: int, roots: np.ndarray, size: np.ndarray, common: np.ndarray, key: np.ndarray, high: np.ndarray, keys: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """All pairs within the radius whose roots differ, whose sets could be similar enough, and whose first shared key is this shard's.
 
+    Whether sets could be: by how much they share with other roots, and by their sketches.
+
     ``common``: how many of a set's elements sets of other roots have, so no two
     of different roots share more than the lesser of theirs.
     """
-    links, step = [], max(1, (1 << 20) // len(points))
+    links, step, percent = [], max(1, (1 << 20) // len(points)), round(100 * similarity)
     if (roots == roots[0]).all():
         return links
+    high = [np.frombuffer(x, np.uint32) for x in high]
     for lo in range(0, len(points), step):
         some = slice(lo, lo + step)
         near = (roots[some][:, None] != roots[None]) & (np.minimum(common[some][:, None], common[None]) * (1 + similarity) >= similarity * (size[some][:, None] + size[None]) - 1e-9)
@@ -181,7 +184,8 @@ def root_links(points: np.ndarray, radius: int, roots: np.ndarray, size: np.ndar
         at = np.flatnonzero(distance(points[i + lo], points[j]) <= radius)
         same = keys[i[at] + lo] == keys[j[at]]
         at = at[keys[i[at] + lo, same.argmax(axis=1)] == key[0]]
-        links.extend(zip((i[at] + lo).tolist(), j[at].tolist(), strict=True))
+        pairs = zip((i[at] + lo).tolist(), j[at].tolist(), strict=True)
+        links += [(x, y) for x, y in pairs if similar(high[x], high[y], int(size[x]), int(size[y]), percent)[0]]
     return links
 
 
@@ -195,14 +199,14 @@ def search(radius: int, rooted: float | None = None):
     def links(table: pa.Table) -> pa.RecordBatch:
         shard, node = table.column("shard").to_numpy(), table.column("node").to_numpy()
         points = np.frombuffer(b"".join(table.column("fingerprint").to_pylist()), dtype=U64).reshape(len(node), -1)
-        roots, size, common, key = (table.column(c).to_numpy() if rooted else node for c in ROOTED[:-1])
+        roots, size, common, key, high = (table.column(c).to_numpy() if rooted else node for c in ROOTED[:-1])
         keys = np.array(table.column(ROOTED[-1]).to_pylist()) if rooted else node
         edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         a, b = [], []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             if hi - lo > 1:
                 order = lo + (np.arange(hi - lo) if rooted else middle_first(points[lo:hi]))
-                found = root_links(points[order], radius, *(x[order] for x in (roots, size, common, key, keys)), rooted) if rooted else tree_links(points[order], radius)
+                found = root_links(points[order], radius, *(x[order] for x in (roots, size, common, key, high, keys)), rooted) if rooted else tree_links(points[order], radius)
                 for i, j in found:
                     a.append(node[order[i]])
                     b.append(node[order[j]])
@@ -227,7 +231,7 @@ def search(radius: int, rooted: float | None = None):
 
 
 #: Further columns of a search from root to root.
-ROOTED = ("root", "size", "common", "key", "keys")
+ROOTED = ("root", "size", "common", "key", "high", "keys")
 
 
 def shard_links(dealt: DataFrame, radius: int, rooted: float | None = None) -> DataFrame:
@@ -382,7 +386,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col
     sets = shingle_sets(rows, ends(candidates), words)
     links = alike(candidates, sets, similarity)
     rooted = sets.select("node").join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    apart = nodes.join(linkable(sets, rooted, similarity), "node").select(F.explode("keys").alias("key"), "node", "fingerprint", "root", "size", "common", "keys")
+    apart = nodes.join(linkable(sets, rooted, similarity), "node").join(sets.select("node", "high"), "node").select(F.explode("keys").alias("key"), "node", "fingerprint", "root", "size", "common", "high", "keys")
     links = links.unionByName(alike(distinct_links(shard_links(apart, radius, similarity)), sets, similarity))
     found = nodes.join(components(links), "node", "left").select("first", F.coalesce("root", "node").alias("root"))
     keep = written(found.groupBy("root").agg(F.min("first")["_uid"].alias(uid)).select(uid), "kept")
