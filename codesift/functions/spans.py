@@ -1,23 +1,11 @@
-"""Where on a line a match stands: in code, or in text that does nothing.
-
-One line is read from left to right by a small scanner on Arrow batches.  It
-runs on lines that matched only, which are few.
-"""
+"""Literals and comments of one line, for operators that read line by line; ``functions.lexer`` reads whole files."""
 
 from __future__ import annotations
 
 import re
 
-import pyarrow as pa
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
-
 #: After one of these words a slash begins an expression, not a division.
 BEFORE_REGEX = ("return", "typeof", "case", "in", "of", "delete", "void", "throw", "new", "else", "do")
-STATEMENT = re.compile(r"""^\s*(?:"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|`(?:[^`\\$]|\\.)*`)\s*;?\s*$""")
-IMPORT = re.compile(r"^\s*(?:import\b|from\s+\S+\s+import\b|(?:const|let|var)\s+[\w{}\s,:]+=\s*require\s*\(|#include\b|using\s+[\w.]+;|use\s+[\w\\]+;|package\s)")
-TYPE = re.compile(r"^\s*(?:export\s+)?(?:declare\s+)?(?:type\s+\w+[^=]*=|interface\s+\w+)")
 
 
 def spans(line: str) -> list[tuple[int, int, str]]:
@@ -56,16 +44,6 @@ def spans(line: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def kind_at(line: str | None, col: int | None) -> str:
-    """code, or what a match at a column (from 1) stands in; a whole line may be a statement of text alone, an import or a type."""
-    if line is None or col is None:
-        return "code"
-    for name, expression in (("statement", STATEMENT), ("import", IMPORT), ("type", TYPE)):
-        if expression.match(line):
-            return name
-    return next((kind for begin, end, kind in spans(line) if begin < col <= end), "code")
-
-
 def code_of(line: str) -> str:
     """A line with its comments, expressions and plain templates blanked out."""
     if "/" in line or "`" in line:
@@ -75,16 +53,5 @@ def code_of(line: str) -> str:
     return line
 
 
-#: Where a match does nothing.  Text in quotes may: a password or a piece of SQL is text.
-HARMLESS = ("statement", "import", "type", "regex", "comment", "template")
-
-
-@F.arrow_udf(StringType())
-def literal_kind(line: pa.Array, col: pa.Array) -> pa.Array:
-    """``kind_at`` of each row."""
-    return pa.array([kind_at(a, b) for a, b in zip(line.to_pylist(), col.to_pylist(), strict=True)], pa.string())
-
-
-def in_use(line: Column, col: Column) -> Column:
-    """Whether a match is neither in an expression's pattern, a comment, an import, a type, nor in text that nothing uses."""
-    return ~literal_kind(line, col).isin(*HARMLESS)
+#: What is no code.  Text in quotes may be: a password or a piece of SQL is text.
+HARMLESS = ("regex", "comment", "template")

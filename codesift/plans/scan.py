@@ -18,7 +18,7 @@ from codesift.detectors.file_ops import FILE_OPS
 from codesift.detectors.injection import INJECTION
 from codesift.detectors.secrets import SECRETS
 from codesift.detectors.xss import XSS
-from codesift.functions.spans import in_use
+from codesift.functions.lexer import in_use
 from codesift.functions.text import explode_lines, severity_rank
 from codesift.operators import dependencies, quality, taint
 from codesift.operators.findings import AROUND, ORDINALS, exit_code, findings, first_of_fingerprint, of_severity, ordered, resolve_overlaps, summary
@@ -38,7 +38,7 @@ def security_findings(routed: DataFrame, patterns=RULE_PATTERNS, languages: Sequ
     """Findings of the hand-written detectors and of the rules that run on a file's language, before duplicates go.
 
     One pass over the files: language and snippet travel with the lines.
-    ``contexts`` drops matches in text that does nothing (``functions.spans``).
+    ``contexts`` drops matches in text that does nothing (``functions.lexer``).
     """
     files = routed.where("to_security")
     found = detect(files, (*HAND_WRITTEN, *patterns), ("language",), AROUND)
@@ -46,7 +46,7 @@ def security_findings(routed: DataFrame, patterns=RULE_PATTERNS, languages: Sequ
     found = found.join(F.broadcast(table), "pattern_ord", "left")
     found = found.where(F.col("runs_on").isNull() | F.array_contains("runs_on", "*") | F.array_contains("runs_on", F.col("language"))).drop("runs_on", "language")
     if contexts:
-        found = found.where(F.col("category").isin(*TEXTUAL) | in_use(F.col("line"), F.col("col")))
+        found = in_use(found, files, F.col("category").isin(*TEXTUAL))
     return findings(files, found)
 
 

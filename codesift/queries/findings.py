@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codesift.functions import lexer
 from codesift.operators import evaluate, reports
 from codesift.operators.findings import first_of_fingerprint, resolve_overlaps, summary
 from codesift.plans.scan import HAND_WRITTEN, RULE_LANGUAGES, RULE_PATTERNS, security_findings
@@ -147,7 +148,33 @@ def evaluate_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.recall_by(evaluate.near_matches(expected, _best(spark, sf_dir)), "language")
 
 
-@query()
+def spans_sql() -> str:
+    """``harmless``: path, and begin and end offsets (from 0) of the spans of the scanned files in which a match does nothing."""
+    family = "CASE language " + " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in lexer.FAMILY.items()) + " ELSE 'c' END"
+    cuts = []
+    for name, parts in lexer.FAMILIES.items():
+        kind = "CASE " + " ".join(f"WHEN regexp_full_match(piece, {quoted(f'(?m)(?:{e})')}) THEN {quoted(k)}" for k, e in parts) + " END"
+        master = quoted("(?m)" + "|".join(f"(?:{e})" for _, e in parts))
+        cuts.append(f"SELECT *, {kind} AS kind FROM (SELECT path, language, unnest(ps) AS piece, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT path, language, regexp_extract_all(content, {master}, 0) AS ps FROM coded WHERE {family} = {quoted(name)}))")
+    signs = lexer.OPEN_ENDED.replace("'", "''")
+    return f"""coded AS (SELECT path, language, content FROM files JOIN routed ON path = p2 WHERE language IS NOT NULL),
+        cut AS ({' UNION ALL '.join(cuts)}),
+        placed AS (SELECT *, sum(length(piece)) OVER prior + 0 AS before, kind NOT IN ('space', 'newline', 'comment') AS solid,
+            CASE WHEN kind = 'sign' AND piece IN ('(', '[') THEN 1 WHEN kind = 'sign' AND piece IN (')', ']') THEN -1 ELSE 0 END AS opens, rtrim(piece, chr(10) || chr(9) || ' ') AS bare
+            FROM cut WINDOW prior AS (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        told AS (SELECT *, coalesce(sum(opens) OVER prior, 0) AS depth, coalesce(last_value(CASE WHEN solid THEN right(bare, 1) END IGNORE NULLS) OVER prior, '') AS last_sign,
+            coalesce(max(CASE WHEN kind = 'newline' THEN i END) OVER prior, 0) >= coalesce(max(CASE WHEN solid THEN i END) OVER prior, 0) AS fresh,
+            CASE WHEN lead(kind, 1) OVER o = 'space' THEN lead(kind, 2) OVER o ELSE lead(kind, 1) OVER o END AS next_kind, CASE WHEN lead(kind, 1) OVER o = 'space' THEN lead(piece, 2) OVER o ELSE lead(piece, 1) OVER o END AS next_piece
+            FROM placed WINDOW prior AS (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), o AS (PARTITION BY path ORDER BY i)),
+        harmless AS (SELECT path AS h_path, coalesce(before, 0) + CASE WHEN kind = 'regex' THEN strpos(piece, '/') - 1 ELSE 0 END AS b, coalesce(before, 0) + length(piece) AS e FROM told
+            WHERE kind IN ('import', 'type', 'regex', 'comment') OR kind = 'template' AND NOT contains(piece, '${{')
+            OR kind = 'string' AND depth <= 0 AND (next_kind IS NULL OR next_kind IN ('newline', 'comment') OR next_piece[1] = ';')
+               AND (last_sign = '' OR contains(';{{}}', last_sign) OR last_sign = ':' AND language = 'python' OR fresh AND NOT contains('{signs}', last_sign)))"""
+
+
+@query(f"""{BASE}, {spans_sql()}, begins AS (SELECT path AS b_path, line_no AS b_line, coalesce(sum(length(line) + 1) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b_at FROM lines)
+    SELECT {TAKE} FROM all_found JOIN begins ON path = b_path AND line_no = b_line
+    WHERE category = 'secrets' OR NOT EXISTS (SELECT 1 FROM harmless WHERE h_path = path AND b <= b_at + col - 1 AND b_at + col - 1 < e)""")
 def match_context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings that stand in code, not in text that does nothing."""
     return _take(security_findings(src.route(src.discover(files(spark, sf_dir))), contexts=True))

@@ -249,19 +249,6 @@ def test_queries_match_their_sql(spark, name):
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in spark_rows.select(*columns).collect())
 
 
-@pytest.mark.parametrize(
-    ("line", "col", "kind"),
-    [
-        ("const re = /eval(req.body)/;", 13, "regex"), ("x = a / b / c", 9, "code"), ("return /x[/]y/.test(z)", 11, "regex"), ("'use strict';", 2, "statement"), ("`plain eval(x)`;", 8, "statement"),
-        ("go(`text eval(x)`)", 9, "template"), ("x = `a ${eval(b)}`", 10, "filled"), ("import x from 'eval'", 16, "import"), ("u = 'http://a'; // eval(c)", 20, "comment"), ("type A = Eval", 10, "type"), ("eval(req.body)", 1, "code"), ("q = 'SELECT ' + x", 6, "string"), (None, 1, "code"),
-    ],
-)
-def test_kind_of_literal(line, col, kind):
-    from codesift.functions.spans import kind_at
-
-    assert kind_at(line, col) == kind
-
-
 def test_scan_of_a_folder(spark, tmp_path):
     from codesift.plans.scan import envelope
 
