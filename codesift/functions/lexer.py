@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 TRIPLE = r'"""(?:[\s\S]*?"""|[\s\S]*)'
 DOUBLE = r'"[^"\\\n]*(?:\\[\s\S][^"\\\n]*)*"?'
 SINGLE = r"'[^'\\\n]*(?:\\[\s\S][^'\\\n]*)*'?"
+#: In some languages texts in double quotes run over lines, if they end at all.
+WIDE = r'"[^"\\]*(?:\\[\s\S][^"\\]*)*"'
 BLOCK_COMMENT = r"/\*(?:[\s\S]*?\*/|[\s\S]*)"
 C_IMPORT = (
     r"""^[ \t]*(?:import[ \t*{"'][^;\n({]*(?:\{[^}]*\}|\([^)]*\))?[^;\n]*;?|#include\b[^\n]*|using[ \t]+[\w.]+;|use[ \t]+[\w\\]+;|package[ \t][^\n]*"""
@@ -37,9 +39,9 @@ FAMILIES = {
     "script": (("import", C_IMPORT), ("type", TYPE), ("regex", REGEX), ("sign", "://"), ("comment", rf"//[^\n]*|{BLOCK_COMMENT}"), ("string", rf"{DOUBLE}|{SINGLE}"), ("template", TEMPLATE), *REST),
     "c": (("import", C_IMPORT), ("type", TYPE), ("sign", "://"), ("comment", rf"//[^\n]*|{BLOCK_COMMENT}"), ("string", rf"{TRIPLE}|{DOUBLE}|{SINGLE}|`[^`]*`?"), *REST),
     "rust": (("import", C_IMPORT), ("type", TYPE), ("comment", rf"//[^\n]*|{BLOCK_COMMENT}"), ("string", rf"{DOUBLE}|'(?:[^'\\\n]|\\[^\n]{{1,9}}?)'"), *REST),
-    "php": (("import", C_IMPORT), ("type", TYPE), ("sign", "://"), ("comment", rf"//[^\n]*|#[^\n]*|{BLOCK_COMMENT}"), ("string", rf"{DOUBLE}|{SINGLE}"), *REST),
+    "php": (("import", C_IMPORT), ("type", TYPE), ("sign", "://"), ("comment", rf"//[^\n]*|#[^\n]*|{BLOCK_COMMENT}"), ("string", rf"{WIDE}|{DOUBLE}|{SINGLE}"), *REST),
     "python": (("import", PYTHON_IMPORT), ("comment", r"#[^\n]*"), ("string", rf"{TRIPLE}|'''(?:[\s\S]*?'''|[\s\S]*)|{DOUBLE}|{SINGLE}"), *REST),
-    "ruby": (("comment", r"#[^\n]*|^=begin\b(?:[\s\S]*?\n=end[^\n]*|[\s\S]*)"), ("string", rf"{DOUBLE}|{SINGLE}"), *REST),
+    "ruby": (("comment", r"#[^\n]*|^=begin\b(?:[\s\S]*?\n=end[^\n]*|[\s\S]*)"), ("string", rf"{WIDE}|{DOUBLE}|{SINGLE}"), *REST),
 }
 FAMILY = {"javascript": "script", "typescript": "script", "python": "python", "ruby": "ruby", "php": "php", "rust": "rust"}
 COMPILED = {name: (re.compile("|".join(f"({e})" for _, e in parts), re.M | re.A), tuple(kind for kind, _ in parts)) for name, parts in FAMILIES.items()}
