@@ -318,7 +318,9 @@ def metrics(lines: DataFrame) -> DataFrame:
 
 def metric_findings(measured: DataFrame, min_ratio: float = MIN_COMMENT_RATIO) -> DataFrame:
     """QUA-METRICS-001 for every file, and -002 for files of over 50 lines of code with too few comments."""
-    text = F.format_string("%d lines: %d code, %d comment, %d blank; comments %.1f%%", "total", "code", "comment", "blank", F.col("comment_ratio") * 100)
+    # Tenths of a percent in whole numbers, halves up.
+    tenths = F.expr("(2000 * comment + total) div (2 * total)")
+    text = F.format_string("%d lines: %d code, %d comment, %d blank; comments %d.%d%%", "total", "code", "comment", "blank", F.floor(tenths / 10), tenths % 10)
     one = measured.select("path", F.lit("QUA-METRICS-001").alias("rule_id"), text.alias("message"))
     few = measured.where((F.col("code") > 50) & (F.col("comment_ratio") < min_ratio)).select("path", F.lit("QUA-METRICS-002").alias("rule_id"), text.alias("message"))
     return one.unionByName(few)

@@ -20,7 +20,7 @@ from codesift.detectors.secrets import SECRETS
 from codesift.detectors.xss import XSS
 from codesift.functions.lexer import in_use
 from codesift.functions.text import explode_lines, severity_rank
-from codesift.operators import dependencies, quality, taint
+from codesift.operators import dependencies, flow, quality, taint
 from codesift.operators.findings import AROUND, ORDINALS, exit_code, findings, first_of_fingerprint, of_severity, ordered, resolve_overlaps, summary
 from codesift.operators.match import detect
 from codesift.sources.files import discover, ignore_lines, read_files, route
@@ -95,7 +95,7 @@ def cve_scanner(routed: DataFrame, advisories: DataFrame) -> DataFrame:
 def taint_scanner(routed: DataFrame) -> DataFrame:
     """Findings of taint flows, part of the security scanner in a deep scan."""
     files = routed.where("to_security")
-    found = taint.taint_findings(taint.taint_flows(files.select("path", "language", "content")))
+    found = taint.taint_findings(flow.structure_flows(files.select("path", "language", "content")))
     message = F.concat(F.lit("data from "), "source", F.lit(" (line "), F.col("source_line"), F.lit(") reaches "), "sink")
     found = found.select("path", "line_no", "rule_id", "severity", "category", "confidence", "cwe", message.alias("message"), F.lit(1).alias("col"), F.lit(1_000_000).alias("pattern_ord"), F.col("sink").alias("hit"), "source_line")
     return findings(files, found)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codesift.functions.text import explode_lines
-from codesift.operators import quality, semantic, taint
+from codesift.operators import flow, quality, semantic, taint
 from codesift.queries.files import LANGUAGE_SQL, TRIM_SQL
 from codesift.queries.sql import any_rx, rx
 from codesift.sources.corpus import files, files_sql, quoted
@@ -231,7 +231,7 @@ def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.metrics(_lines(spark, sf_dir))
 
 
-TEXT_SQL = "printf('%d lines: %d code, %d comment, %d blank; comments %.1f%%', total, code, comment, blank, (comment_ratio * 100)::DOUBLE)"
+TEXT_SQL = "printf('%d lines: %d code, %d comment, %d blank; comments %d.%d%%', total, code, comment, blank, (2000 * comment + total) // (2 * total) // 10, (2000 * comment + total) // (2 * total) % 10)"
 
 
 @query(f"WITH {metrics_sql()} SELECT path, 'QUA-METRICS-001' AS rule_id, {TEXT_SQL} AS message FROM m UNION ALL SELECT path, 'QUA-METRICS-002', {TEXT_SQL} FROM m WHERE code > 50 AND comment_ratio < {quality.MIN_COMMENT_RATIO}")
@@ -310,3 +310,19 @@ def context_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def taint_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taint.taint_findings(taint.taint_flows(classify(files(spark, sf_dir))))
+
+
+def _structure_sql() -> str:
+    """The flows that the pieces of code hold: a source that stands itself in a call, a template of it or an assigned property."""
+    forms = (("eval(", "code_injection", 1, r"\beval\(\s*"), ("query(", "sql_injection", 1, r"\.query\(.*\$\{"), ("innerHTML", "xss", 0, r"\.innerHTML = "))
+    source = r"req\.(?:body|query|params|headers)\b"
+    return f"WITH {files_sql()}, coded AS (SELECT path, {LANGUAGE_SQL} AS language, line_no, line FROM lines) " + " UNION ALL ".join(
+        f"SELECT path, language, regexp_extract(line, {quoted(source)}) AS source, line_no::INT AS source_line, {quoted(sink)} AS sink, {quoted(kind)} AS sink_kind, line_no::INT AS sink_line, 0 AS steps, {n} AS argument "
+        f"FROM coded WHERE language IN ('javascript', 'typescript') AND regexp_matches(line, {quoted(form + source)})"
+        for sink, kind, n, form in forms
+    )
+
+
+@query(_structure_sql())
+def taint_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.structure_flows(classify(files(spark, sf_dir)))
