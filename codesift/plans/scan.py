@@ -23,8 +23,10 @@ from codesift.functions.text import explode_lines, severity_rank
 from codesift.operators import dependencies, flow, quality, taint
 from codesift.operators.findings import AROUND, ORDINALS, exit_code, findings, first_of_fingerprint, of_severity, ordered, resolve_overlaps, summary
 from codesift.operators.match import detect
+from codesift.session import written
 from codesift.sources.files import discover, ignore_lines, read_files, route
 from codesift.sources.rules import read_rules, rule_patterns
+from codesift.sources.tree import read_tree, readable_by_tree
 
 HAND_WRITTEN = (*INJECTION, *XSS, *AUTH, *CRYPTO, *FILE_OPS, *API, *SECRETS)
 RULE_PATTERNS, RULE_LANGUAGES = rule_patterns(read_rules())
@@ -103,7 +105,7 @@ def taint_scanner(routed: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Scan:
-    """The tables of a scan; nothing has run yet.
+    """The tables of a scan; of a folder, the files have been read into a table, else nothing has run yet.
 
     files: what is scanned; unreadable: path and size of files left out as they
     are not UTF-8; findings: in order; summary; exit_code: one row.
@@ -128,11 +130,15 @@ def scan(spark: SparkSession, source: str | DataFrame, config: Config = Config()
     nothing; it counts as scanned.
     """
     root = source if isinstance(source, str) else ""
-    files = read_files(spark, source) if root else source
+    ignore = [*(ignore_lines(spark, root) if root else ()), *config.exclude]
+    # Stores that only Spark's readers know are read by them, without names that begin with an underscore.
+    files = source if not root else read_tree(spark, root, ignore) if readable_by_tree(root) else read_files(spark, root)
     if "readable" not in files.columns:
         files = files.withColumn("readable", F.col("content").isNotNull())
-    ignore = [*(ignore_lines(spark, root) if root else ()), *config.exclude]
     chosen = route(discover(files, ignore, config.languages, config.include, root))
+    if root:
+        # Listed and opened once; all scanners read this table, each the columns it needs.
+        chosen = written(chosen, "files")
     routed = chosen.where(F.col("readable") & (F.length("content") > 0))
     parts = []
     if config.security:

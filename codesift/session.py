@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -37,3 +39,32 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(root.parent)))
     spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share: spark.checkpoint.dir, or where that is unset and all runs on one machine, a local one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = f"file://{tempfile.mkdtemp(prefix='codesift-')}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, which goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/codesift/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def drop() -> None:
+        try:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+        except Exception:  # the JVM may be gone by then
+            pass
+
+    atexit.register(drop)
+    return spark.read.schema(df.schema).parquet(path)
