@@ -1,7 +1,8 @@
 """MinHash near-dedup (operator 13): bottom-k sketches of one hash function, inverted lists, and exact Jaccard indexes.
 
 A text's sketch holds the least ``SKETCH`` hashes of its shingles.  Texts whose
-sketches begin alike meet in the inverted lists of the first ``LISTED`` values.
+sketches begin alike meet in the inverted lists of the first ``LISTED`` values,
+and texts that share too few of these with any other are done.
 The bottom values of two sketches together are a sample of the union of the two
 sets, so the share of them that both sketches hold estimates the Jaccard index:
 pairs that cannot reach it are left out, the rest are checked on the full sets.
@@ -14,8 +15,8 @@ similar to any.  They meet list by list with larger sketches, most of which
 are whole sets, and a pair is written only if it links two roots.
 
 What can be lost: texts at the threshold J share none of their first n values
-with probability (1 - J)^n (1e-10 at 12 and 0.85), and an estimate is below its
-bound with probability ``bottomk.LOSS``.  Texts of up to 73 shingles (at 0.85) lose nothing.
+with probability (1 - J)^n (1e-10 at 12 and 0.85), and each bound on shared
+values is missed with probability ``bottomk.LOSS``.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from codesift.llm.simhash import shingle_hashes, shingle_sets
 from codesift.llm.tables import free_name, identified, numbered, written
 
 U64 = np.uint64
-#: Values that a sketch retains, and those that have an inverted list.
-SKETCH, LISTED = 128, 12
+#: Values that a sketch retains, those that have an inverted list, and the first of these, whose lists are searched.
+SKETCH, LISTED, FIRST = 128, 20, 12
 #: Nodes of a list that one task compares; a longer list is dealt out as pairs of blocks.
 BLOCK = 4_000
 
@@ -144,7 +145,7 @@ def search(percent: int):
     def links(table: pa.Table) -> pa.RecordBatch:
         shard, node, root, size, value, half = (table.column(c).to_numpy() for c in ("shard", "node", "root", "size", "value", "half"))
         large = [np.frombuffer(x, np.uint32) for x in table.column("high").to_pylist()]
-        firsts = [np.array(x, np.int64).view(U64) for x in table.column("listed").to_pylist()]
+        firsts = [np.array(x[:FIRST], np.int64).view(U64) for x in table.column("listed").to_pylist()]
         edge = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
         found: list[tuple[int, int]] = []
         for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
@@ -172,11 +173,17 @@ def search(percent: int):
     return run
 
 
+def enough(lists: DataFrame) -> DataFrame:
+    """The rows of the nodes that are in as many of the lists as they need to be similar to any other."""
+    counts = lists.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least")).where("n >= least").select("node")
+    return written(lists.join(written(counts, "enough"), "node"), "enough-lists")
+
+
 def contested(met: DataFrame, sketched: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """value, node, root of lists whose nodes have several roots, without nodes that share too little of their sketch with other roots."""
-    rooted = written(met.select("value", "node").join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    rooted = written(met.select("value", "node", "place", "need").join(roots, "node", "left").select("value", "node", "place", "need", F.coalesce("root", "node").alias("root")), "rooted")
     open_ = written(rooted.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("value"), "open")
-    rooted = written(rooted.join(open_, "value"), "open-lists")
+    rooted = enough(written(rooted.join(open_, "value"), "open-lists"))
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +197,8 @@ def contested(met: DataFrame, sketched: DataFrame, roots: DataFrame, percent: in
     common = each.join(shared, "at").groupBy("node").agg(F.count(F.lit(1)).alias("common"))
     need = F.when(F.col("size") > SKETCH, least_matches(SKETCH, percent)).otherwise(F.ceil(percent * F.col("size") / 100))
     able = sketched.select("node", "size").join(common, "node").where(F.col("common") >= need).select("node")
-    return written(rooted.join(written(able, "able"), "node"), "contested")
+    # The least value that two texts have in common is among the first of both.
+    return written(rooted.where(F.col("place") < FIRST).select("value", "node", "root").join(written(able, "able"), "node"), "contested")
 
 
 def dealt(lists: DataFrame, large: DataFrame) -> DataFrame:
@@ -220,9 +228,11 @@ def minhash_groups(docs: DataFrame, words: int = 5, percent: int = 85, id_col: s
     prints = written(sketches(rows, words), "sketches")
     known = prints.where("size > 0").groupBy("digest").agg(F.min("_uid").alias("node"), F.min("_id").alias("least"), F.min(F.struct(F.coalesce("_id", F.lit(-(1 << 63))).alias("o"), "_uid")).alias("first"), F.any_value("listed").alias("listed"))
     nodes = written(known, "nodes")
-    lists = written(nodes.select(F.explode("listed").alias("value"), "node"), "lists")
+    # Of the least values of two sets' union, both have listed those that they share; of a short set all are.
+    need = F.least(F.lit(least_matches(LISTED, percent)), F.ceil(percent * F.size("listed") / 100)).cast("int")
+    lists = written(nodes.select(F.posexplode("listed").alias("place", "value"), "node", need.alias("need")), "lists")
     shared = written(lists.groupBy("value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("value", "hub"), "hubs")
-    met = written(lists.join(shared, "value"), "met")
+    met = enough(written(lists.join(shared, "value"), "met"))
     sketched = written(prints.select(F.col("_uid").alias("node"), "size", "sketch").join(met.select("node").distinct(), "node"), "sketched")
 
     # Similar texts meet in most of their lists; what meets its hub in few is left to the second search.
