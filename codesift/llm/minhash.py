@@ -41,6 +41,8 @@ U64 = np.uint64
 SKETCH, LISTED, FIRST = 128, 20, 12
 #: Nodes of a list that one task compares; a longer list is dealt out as pairs of blocks.
 BLOCK = 4_000
+#: Node ids (8 bytes each) that are broadcast to pick their rows; more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def sketches(rows: DataFrame, words: int) -> DataFrame:
@@ -173,6 +175,12 @@ def search(percent: int):
     return run
 
 
+def few(nodes: DataFrame) -> DataFrame:
+    """The distinct nodes, marked for broadcast if they are few, so that texts and sketches of all others do not move."""
+    nodes = written(nodes.select("node").distinct(), "ids")
+    return F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+
+
 def enough(lists: DataFrame) -> DataFrame:
     """The rows of the nodes that are in as many of the lists as they need to be similar to any other."""
     counts = lists.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("least")).where("n >= least").select("node")
@@ -233,15 +241,15 @@ def minhash_groups(docs: DataFrame, words: int = 5, percent: int = 85, id_col: s
     lists = written(nodes.select(F.posexplode("listed").alias("place", "value"), "node", need.alias("need")), "lists")
     shared = written(lists.groupBy("value").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("value", "hub"), "hubs")
     met = enough(written(lists.join(shared, "value"), "met"))
-    sketched = written(prints.select(F.col("_uid").alias("node"), "size", "sketch").join(met.select("node").distinct(), "node"), "sketched")
+    sketched = written(prints.select(F.col("_uid").alias("node"), "size", "sketch").join(few(met), "node"), "sketched")
 
     # Similar texts meet in most of their lists; what meets its hub in few is left to the second search.
     often = met.where("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LISTED // 4)
     stars = estimated(written(often.select("a", "b"), "stars"), sketched, percent)
-    ends = lambda links: links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    links = verified(stars, shingle_sets(rows, ends(stars), words), percent)
+    ends = stars.select(F.explode(F.array("a", "b")).alias("node"))
+    links = verified(stars, shingle_sets(rows, few(ends), words), percent)
     lists = contested(met, sketched, components(links), percent)
-    sets = shingle_sets(rows, lists.select("node").distinct(), words)
+    sets = shingle_sets(rows, few(lists), words)
     large = sets.select("node", (F.length("shingles") / 8).cast("long").alias("size"), "high").join(nodes.select("node", "listed"), "node")
     found = dealt(lists, large).repartition("shard").sortWithinPartitions("shard").mapInArrow(search(percent), "a long, b long")
     links = links.unionByName(verified(written(found, "found"), sets, percent))

@@ -122,6 +122,7 @@ def groups(sets, percent=85):
 def test_minhash(spark, monkeypatch, block):
     """Chains, groups around a base that comes last, texts near the threshold, shared passages, long and short texts, in lists cut into blocks."""
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BROADCAST_IDS", 1_000_000 if block > 7 else 0)
     rng = random.Random(block)
     text = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
     texts = []
