@@ -55,7 +55,7 @@ def plain_words(chunk: tokens.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray
     real = ~((end - begin == 1) & PUNCTUATION[low[begin]]) if begin.size else np.zeros(0, dtype=bool)
     before = np.concatenate([[0], np.cumsum(real)])
     place = np.flatnonzero(real)
-    hashes = tokens.Rolling(low, tokens.BASES[0]).ranges(begin[real], end[real])
+    hashes = tokens.names(low, begin[real], end[real], tokens.BASES[0])
     return hashes, before[chunk.word_bounds], place - np.repeat(chunk.word_bounds[:-1], np.diff(before[chunk.word_bounds]))
 
 

@@ -62,7 +62,7 @@ def phrase_names(values: np.ndarray, bounds: np.ndarray, window: int, modulus: i
     """The parse: names of the phrases between triggers, in order, and the document of each."""
     ends, doc = triggers(values, bounds, window, modulus)
     whole = np.flatnonzero(doc[1:] == doc[:-1])
-    return tokens.signed(repeats.roll(values, 1).ranges(ends[whole] - window, ends[whole + 1])), doc[whole]
+    return tokens.signed(tokens.names(values, ends[whole] - window, ends[whole + 1], tokens.BASES[1])), doc[whole]
 
 
 def parse_cores(length: int, gram: int, window: int, modulus: int):

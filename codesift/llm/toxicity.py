@@ -71,7 +71,7 @@ def trimmed(chunk: tokens.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def distinct(low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first occurrence of each word, and which of them each word is."""
-    name = tokens.Rolling(low, tokens.BASES[0]).ranges(begin, end)
+    name = tokens.names(low, begin, end, tokens.BASES[0])
     _, first, which = np.unique(name, return_index=True, return_inverse=True)
     return first, which
 

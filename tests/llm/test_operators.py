@@ -58,6 +58,34 @@ def test_words_and_ranges():
     assert tokens.sliding_argmin(h, 3).tolist() == [1, 1, 3, 3]
 
 
+def thue_morse(k, a="a", b="b"):
+    """2**k letters, and the same with the letters exchanged."""
+    text = [a]
+    for _ in range(k):
+        text += [b if c == a else a for c in text]
+    return "".join(text), "".join(b if c == a else a for c in text)
+
+
+def test_long_names_do_not_collide():
+    one, two = thue_morse(11)
+    buf = np.frombuffer((one + two + one).encode(), np.uint8)
+    start = np.arange(3) * 2048
+    for base in tokens.BASES:
+        old = tokens.Rolling(buf, base).ranges(start, start + 2048)
+        new = tokens.names(buf, start, start + 2048, base)
+        assert old[0] == old[1] and new[0] == new[2] != new[1]
+    short = np.array([0, 5, 2048]), np.array([511, 300, 2548])
+    assert (tokens.names(buf, *short, tokens.BASES[0]) == tokens.Rolling(buf, tokens.BASES[0]).ranges(*short)).all()
+
+
+def test_words_built_to_collide_are_kept(spark):
+    pairs = [thue_morse(10, chr(97 + k), chr(107 + k)) for k in range(6)] + [thue_morse(11, chr(77 + k), "z") for k in range(4)]
+    rows = [(1, " ".join(a for a, _ in pairs)), (2, " ".join(b for _, b in pairs)), (3, " ".join(a for a, _ in pairs))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs, length=10, anchor=4).collect()}
+    assert found == {1: (10, 0), 2: (10, 0), 3: (10, 10)}
+
+
 def removed(units_of, rows, length, earlier):
     """unit lists and their removal masks, by brute force."""
     seen, count = set(), Counter()
