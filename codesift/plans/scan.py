@@ -22,6 +22,7 @@ from codesift.functions.lexer import in_use
 from codesift.functions.text import explode_lines, severity_rank
 from codesift.operators import dependencies, flow, quality, taint
 from codesift.operators.findings import AROUND, ORDINALS, exit_code, findings, first_of_fingerprint, of_severity, ordered, resolve_overlaps, summary
+from codesift.operators.many import detect_many
 from codesift.operators.match import detect
 from codesift.session import written
 from codesift.sources.files import discover, ignore_lines, read_files, route
@@ -34,6 +35,8 @@ RULE_PATTERNS, RULE_LANGUAGES = rule_patterns(read_rules())
 
 #: Categories whose matches are text by nature: they stand in literals and count there.
 TEXTUAL = ("secrets",)
+#: Patterns beyond which lines walk an automaton instead of trying each; results are the same.
+MANY = 500
 
 
 def security_findings(routed: DataFrame, patterns=RULE_PATTERNS, languages: Sequence[tuple[str, ...]] = RULE_LANGUAGES, contexts: bool = False) -> DataFrame:
@@ -43,7 +46,8 @@ def security_findings(routed: DataFrame, patterns=RULE_PATTERNS, languages: Sequ
     ``contexts`` drops matches in text that does nothing (``functions.lexer``).
     """
     files = routed.where("to_security")
-    found = detect(files, (*HAND_WRITTEN, *patterns), ("language",), AROUND)
+    every = (*HAND_WRITTEN, *patterns)
+    found = (detect_many if len(every) > MANY else detect)(files, every, ("language",), AROUND)
     table = files.sparkSession.createDataFrame([(len(HAND_WRITTEN) + k, list(x)) for k, x in enumerate(languages)], "pattern_ord int, runs_on array<string>")
     found = found.join(F.broadcast(table), "pattern_ord", "left")
     found = found.where(F.col("runs_on").isNull() | F.array_contains("runs_on", "*") | F.array_contains("runs_on", F.col("language"))).drop("runs_on", "language")
