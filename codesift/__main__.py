@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 
 from codesift import config
 from codesift.operators import reports
+from codesift.operators.findings import exit_code, summary
 from codesift.plans.scan import scan
-from codesift.session import ship
+from codesift.session import ship, written
 from codesift.sources import rules
 
 
@@ -30,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--rules", help="a rule file or a folder of them")
     s.add_argument("--advisories", help="a JSON table of advisories; turns the cve scanner on")
     s.add_argument("--format", choices=sorted(reports.FORMATS), default="console")
-    s.add_argument("--output", help="folder for the report; printed if there is none")
+    s.add_argument("--output", help="the report: one file if it ends in .json, .sarif, .csv or .txt, else a folder of parts; printed if there is none")
     r = commands.add_parser("report", help="convert a JSON report")
     r.add_argument("source")
     r.add_argument("target")
@@ -76,13 +78,18 @@ def main(argv: list[str] | None = None) -> int:
         chosen = config.load(args.folder, args.preset, overrides(args))
         advisories = spark.read.schema(ADVISORY).json(args.advisories) if args.advisories else None
         result = scan(spark, args.folder, chosen, advisories=advisories)
-        if args.output:
-            reports.write_report(result.findings, args.output, args.format)
+        # The scan runs once; report, summary and exit code read its findings.
+        found = written(result.findings, "findings")
+        totals = summary(found, result.files)
+        if args.output and reports.is_file(args.output):
+            reports.write_file(found, args.output, args.format, totals, {"target": args.folder, "config": asdict(chosen)}, overwrite=True)
+        elif args.output:
+            reports.write_report(found, args.output, args.format)
         else:
-            for row in reports.FORMATS[args.format](result.findings).toLocalIterator():
+            for row in reports.FORMATS[args.format](found).toLocalIterator():
                 print(row.value)
-            reports.bars(result.summary).orderBy("dimension", "value").show(100, truncate=False)
-        return result.exit_code.first().exit_code
+            reports.bars(totals).orderBy("dimension", "value").show(100, truncate=False)
+        return exit_code(found).first().exit_code
     except Exception as error:
         print(f"codesift: {error}", file=sys.stderr)
         return 2
