@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from codesift.operators.findings import first_of_fingerprint, resolve_overlaps,
 from codesift.plans.scan import HAND_WRITTEN, RULE_LANGUAGES, RULE_PATTERNS, security_findings
 from codesift.queries.files import LANGUAGE_SQL, ROLES_SQL, SNIPPET_SQL, TRIM_SQL
 from codesift.queries.sql import detect_sql
+from codesift.session import drop_at_exit, shared_folder, written
 from codesift.sources import files as src
 from codesift.sources.corpus import files, quoted
 
@@ -95,6 +98,15 @@ def report_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.col("line_no").cast("long"), F.col("col").cast("long").alias("col"), "rule_id", "severity", reports.csv_line(*(F.col(c) for c in ("id", "rule_id", "scanner", "severity", "message"))).alias("csv"))
 
 
+@query(f"{BASE} SELECT {TAKE}, message, 'security-' || fingerprint AS id FROM best")
+def report_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings as one JSON file that many tasks wrote and many tasks read."""
+    path = f"{shared_folder(spark)}/codesift/report-{uuid.uuid4().hex}.json"
+    reports.write_file(written(_best(spark, sf_dir), "findings"), path, "json")
+    drop_at_exit(spark, path)
+    return reports.read_report(spark, path).select("path", F.col("line_no").cast("long"), F.col("col").cast("long").alias("col"), "rule_id", "severity", "message", "id")
+
+
 @query(f"""{BASE}, f AS (SELECT rule_id, min({{'path': path, 'p': pattern_ord, 'l': line_no, 'c': col}}) AS seen, count(*) AS results FROM best GROUP BY rule_id)
     SELECT rule_id, (row_number() OVER (ORDER BY seen) - 1)::BIGINT AS rule_index, results FROM f""")
 def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,11 +52,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, which goes when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/codesift/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder when the driver ends."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
     def drop() -> None:
@@ -67,4 +64,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
             pass
 
     atexit.register(drop)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, which goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/codesift/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    drop_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
