@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from codesift import config
-from codesift.functions.text import entropy, explode_lines, positions, snippet, trimmed
+from codesift.detectors import Pattern
+from codesift.functions.text import entropy, explode_lines, placed, positions, snippet, trimmed
 from codesift.operators import dependencies as deps
 from codesift.operators import evaluate, quality, reports, semantic, taint
 from codesift.operators.findings import resolve_overlaps
-from codesift.operators.match import detect
+from codesift.operators.match import detect, line_matches, matches, with_file_flags
 from codesift.plans.scan import HAND_WRITTEN, quality_findings, scan
 from codesift.sources import files as sources
 from codesift.sources import rules
@@ -381,3 +382,32 @@ def test_command_line(spark, tmp_path, capsys):
     assert overrides(args) == {"exclude": ["a/"], "severities": ["high"], "security": True, "quality": True}
     with pytest.raises(ValueError, match="parallel"):
         config.Config(parallel=0)
+
+
+def test_advisories_are_not_broadcast(spark, tmp_path):
+    """A small file of parts stands for many advisories once they are exploded."""
+    from codesift.queries import deps as q
+
+    spark.createDataFrame([(1, 10, 1, 3), (2, 10, 2, 4)], "l_orderkey long, l_suppkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(3, "red", 6), (4, "blue", 13)], "p_partkey long, p_name string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("advisory_match", "cve_findings"):
+        plan = q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan, name
+
+
+def test_places_of_expressions_that_match_nothing(spark):
+    rows = spark.createDataFrame([("axb", "x*"), ("xaxx", "x*"), ("", "x*"), ("a\nxx", "x+"), ("foo", "z")], "line string, e string")
+    found = [[(m.col, m.hit) for m in r.p] for r in rows.select(placed(F.col("line"), F.col("e")).alias("p")).collect()]
+    assert found == [[(2, "x")], [(1, "x"), (3, "xx")], [], [(3, "xx")], []]
+
+
+def test_equal_lines_are_judged_once(spark):
+    """The different lines are matched once; what a path or a file excludes is told for each of their places."""
+    patterns = (*HAND_WRITTEN, Pattern("r", "foo", "m", "low", "low", "c", "", "", skip_path=("tests/",)), Pattern("s", "foo", "m", "low", "low", "c", "", "", skip_file=("bar",), skip_hit=("x$",)))
+    texts = ["eval(req.query.code); foo(1);", "", "x = 1", "  // foo", "foo foo", "bar(foo)", "exec('ls ' + dir)"]
+    files = spark.createDataFrame([(f"{('src', 'tests')[k % 2]}/f{k}.js", "\n".join(texts[(k * j) % len(texts)] for j in range(1, 6 + k % 4))) for k in range(40)], "path string, content string")
+    assert line_matches(explode_lines(files.select("content")).where("line = 'foo foo'"), patterns).count() == 4
+    columns = ["path", "line_no", "line", "pattern_ord", "col", "hit"]
+    plain = matches(explode_lines(with_file_flags(files.where("length(content) >= 10"), patterns)), patterns)
+    got, want = (sorted(map(tuple, df.select(columns).collect())) for df in (detect(files, patterns), plain))
+    assert got == want and len({r[3] for r in got} & {len(patterns) - 2, len(patterns) - 1}) == 2
