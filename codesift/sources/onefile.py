@@ -84,6 +84,8 @@ class OneFileWriter(DataSourceArrowWriter):
                     with system.open_input_stream(f"{base}/{name}") as stream:
                         while block := stream.read(BLOCK):
                             out.write(block)
+                    # The report is on disk once, not twice.
+                    system.delete_file(f"{base}/{name}")
                 out.write(text.encode())
         system.move(f"{base}/whole", opened(self.target)[1])
         system.delete_dir(base)

@@ -171,3 +171,36 @@ def test_command_line_writes_one_file(spark, tmp_path):
     told = json.loads((tmp_path / "out.json").read_text())
     assert code == 1 and told["findings"] and told["target"] == str(tmp_path / "in") and told["config"]["security"] is True
     assert {s["n"] for s in told["summary"] if s["dimension"] == "scanned"} == {1}
+
+
+def test_parts_go_as_they_are_copied(tmp_path, monkeypatch):
+    """A report is on disk once while it is put together, not twice."""
+    import json
+
+    from codesift.sources import onefile
+
+    system, _ = onefile.opened(str(tmp_path))
+    seen = []
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(system, name)
+
+        def open_input_stream(self, path):
+            seen.append(sorted(p.name for p in folder.iterdir() if p.name != "whole"))
+            return system.open_input_stream(path)
+
+    writer = onefile.OneFileWriter({"path": str(tmp_path / "r.json"), "layout": json.dumps(["[", "]"]), "separator": ","})
+    folder = tmp_path / writer.folder.rsplit("/", 1)[1]
+    folder.mkdir()
+    parts = [onefile.Part(k, {0: f"0-{k}-9"}) for k in range(3)]
+    for k in range(3):
+        (folder / f"0-{k}-9").write_text(str(k))
+    monkeypatch.setattr(onefile, "opened", lambda path: (Watched(), onefile_path(path)))
+    writer.commit(parts)
+    assert (tmp_path / "r.json").read_text() == "[0,1,2]" and not folder.exists()
+    assert seen == [["0-0-9", "0-1-9", "0-2-9"], ["0-1-9", "0-2-9"], ["0-2-9"]]
+
+
+def onefile_path(path: str) -> str:
+    return path.removeprefix("file://")
