@@ -425,3 +425,27 @@ def test_equivalences_read_files_once(spark, tmp_path):
     found = semantic.equivalences(spark.read.parquet(str(tmp_path / "f")))
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     assert sorted((r.kind, r.line_no, r.original) for r in found.collect()) == [("demorgan", 2, "!(a && b)"), ("double-negation", 2, "!!c"), ("double-negation", 2, "!!d")]
+
+
+def test_measures_of_equal_lines_are_worked_out_once(spark):
+    from codesift.functions.text import measured
+
+    lines = spark.createDataFrame([("a", 1, "x y"), ("b", 1, "x y"), ("b", 2, ""), ("b", 3, None)], "path string, line_no int, line string")
+    got = measured(lines, "test", size=F.length("line"), once=F.expr("uuid()"))
+    rows = {(r.path, r.line_no): (r.size, r.once) for r in got.collect()}
+    assert {k: v[0] for k, v in rows.items()} == {("a", 1): 3, ("b", 1): 3, ("b", 2): 0} and rows["a", 1] == rows["b", 1]
+
+
+def test_contexts_of_null_empty_and_long_files(spark):
+    rows = [("a.js", None), ("auth/b.js", ""), ("c.js", "\n".join(["login(password);", "", "login(token)"] * 3))]
+    got = {r.path: (r.context, r.confidence) for r in semantic.contexts(spark.createDataFrame(rows, "path string, content string")).collect()}
+    assert got == {"a.js": ("general", 0.0), "auth/b.js": ("auth", 0.5), "c.js": ("auth", 1.0)}
+
+
+def test_overlaps_are_resolved_in_one_pass(spark, tmp_path):
+    schema = "path string, line_no int, col int, category string, scanner string, scanner_ord int, pattern_ord int, rule_id string, severity string, message string"
+    rows = [("a", 1, 1, "x", "security", 0, 0, "r1", "low", "m"), ("a", 1, 2, "x", "security", 0, 1, "r2", "high", "m"), ("a", 1, 1, "x", "quality", 1, 0, "q1", "low", "m"), ("a", 1, 1, "x", "quality", 1, 1, "q2", "low", "m")]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "f"))
+    best = resolve_overlaps(spark.read.parquet(str(tmp_path / "f")))
+    assert best._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert sorted(r.rule_id for r in best.collect()) == ["q1", "q2", "r2"]
