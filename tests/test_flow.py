@@ -294,3 +294,13 @@ def test_table(spark):
     assert found.count() == 2 * len(want) and {r.path for r in found.collect()} == {"a.js"}
     for language, (text, want) in GOLDEN.items():
         assert flow.structure_flows(spark.createDataFrame([("f", language, text)], "path string, language string, content string")).count() == len(want), language
+
+
+def test_only_texts_with_words_of_a_source_and_a_sink_are_read():
+    assert not flow.may_flow("javascript", "el.innerHTML = request; document.write(x)") and flow.structural_flows("javascript", "el.innerHTML = request; document.write(x)") == []
+    assert flow.may_flow("javascript", "const q = req\n  .query;\neval(q)") and flow.structural_flows("javascript", "const q = req\n  .query;\neval(q)")
+    assert not flow.may_flow("cobol", "eval(req.query)")
+    for language, needles in flow.SOURCES.items():
+        for source in needles:
+            for sink, _ in flow.SINKS[language]:
+                assert flow.may_flow(language, f"{source} {sink}")
