@@ -129,3 +129,26 @@ def test_sweep(spark):
     assert got.columns == m.columns and sorted(map(tuple, got.collect())) == sorted(want)
     assert 0.2 < len(want) / len(matches) < 0.98
     assert lexer.in_use(m.limit(0), spark.createDataFrame(files, "path string, language string, content string, col string")).count() == 0
+
+
+def test_stretches_by_line_say_the_same_as_spans_of_files(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["/* a\nb\n\nc */ x = 1\n// y", "const r = /a[/]b/;\n`plain\ntext` + f(`${v}`)", "'use strict'\nx = 'y'", "é /* ü\n*/ z\n", "", "\n\n/*\n\n", "import {\n a,\n b } from 'x'\nf(a)"]
+    files = spark.createDataFrame([(f"f{k}", language, t) for k, t in enumerate(texts) for language in ("javascript", "python")], "path string, language string, content string").withColumn("path", F.concat("path", "language"))
+    places = [(r.path, n, c) for r in files.collect() for n, line in enumerate(r.content.split("\n"), 1) for c in range(1, len(line) + 1)]
+    want = lexer.outside(spark.createDataFrame(places, "path string, line_no int, col int"), lexer.span_table(files).where(F.col("kind").isin(*lexer.HARMLESS)))
+    by_line = {r.path: r.h for r in files.select("path", lexer.harmless(F.col("language"), F.col("content")).alias("h")).collect()}
+    got = {(p, n, c) for p, n, c in places if not any(s.begin <= c < s.end for s in by_line[p][n - 1])}
+    assert got == {(r.path, r.line_no, r.col) for r in want.collect()} and 20 < len(got) < len(places)
+    assert spark.range(1).select(lexer.harmless(F.lit("go"), F.lit(None).cast("string")).alias("h")).first().h in (None, [])
+
+
+def test_contexts_are_judged_without_meeting_the_files_again(spark):
+    from codesift.plans.scan import security_findings
+    from codesift.sources import files as sources
+
+    files = spark.createDataFrame([("a.js", "/*\neval(req.query.x)\n*/\neval(req.query.x)")], "path string, content string")
+    found = security_findings(sources.route(sources.discover(files)), contexts=True)
+    assert {r.line_no for r in found.collect()} == {4}
+    assert "Window" not in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "MapInArrow" not in plan
