@@ -141,3 +141,18 @@ def test_patterns_are_met_once(spark):
     assert [r.m for r in found.collect()] == [[0, 2], [], []] and loose == [1]
     plain = spark.createDataFrame([("p", 1, "a food foo")], "path string, line_no int, line string")
     assert rows(many.matches_of_many(plain, [pattern("foo")])) == rows(matches(plain, [pattern("foo")])) and len(rows(matches(plain, [pattern("foo")]))) == 2
+
+
+def test_anchored_patterns_are_tried_at_their_texts_and_find_the_same(spark):
+    some = ["(?:abcde|bcd)[a-z]*x", "abc[a-e]{0,3}?", "(?:aab|aaba)[ab]*", "ab(?:c|d)[0-9]+", "kelvin[a-z]*"]
+    patterns = [Pattern(f"r{k}", e, "m", "low", "low", "c", "", "", skip_hit=("zz$",), case=k % 2 == 1) for k, e in enumerate(some)]
+    assert all(map(many.anchored, patterns))
+    others = [r"\babc", "abc$", "[a-z]+abc", "ab", "é+abc", "(a)bc.", "abc[^a]"]
+    assert not any(many.anchored(Pattern("r", e, "m", "low", "low", "c", "", "")) for e in others)
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("aabbcdex1ABİé") for _ in range(rng.randrange(60))) for _ in range(300)] + ["aabaabaab", "abcdebcdx", "Kelvin Kelvin İkelvins", "bcdx abcdezz abczz"]
+    lines = spark.createDataFrame([("p", n, t) for n, t in enumerate(texts)] + [("p", -1, None)], "path string, line_no int, line string")
+    mixed = [*patterns, Pattern("last", "[a-z]{2}1", "m", "low", "low", "c", "", "")]
+    for rules in (patterns, mixed):
+        got, want = (sorted((r.line_no, r.pattern_ord, r.col, r.hit) for r in f(lines, rules).collect()) for f in (many.matches_of_many, matches))
+        assert got == want and len(got) > 50
