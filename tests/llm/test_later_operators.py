@@ -176,3 +176,28 @@ def test_minhash_empty(spark):
     assert minhash.minhash_groups(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(None, "a b c d e f g", "x"), (None, "a b c d e f g", "x"), (3, None, "x")]
     assert sorted(map(str, (tuple(r)[:4] for r in minhash.minhash_groups(spark.createDataFrame(rows, DOCS)).collect()))) == ["(3, 0, 3, True)", "(None, 3, None, True)", "(None, 3, None, True)"]
+
+
+def test_toxicity_scores_in_small_chunks():
+    """A worker's arrays grow with the chunk, beside the model (pipeline, check of round 3: over 3000 MB in this stage)."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from codesift.llm import tokens, toxicity
+
+    names = ("ordinary", "toxic", "words", "ordinary_next", "toxic_next", "words_next")
+    model = toxicity.Model({"ord": np.zeros(0, np.int64), "context": np.zeros(0, np.int64)} | {n: np.zeros(0, np.float32) for n in names})
+    texts = pa.array([" ".join(f"w{(i * 7919 + j) % 99991}" for j in range(400)) for i in range(800)])
+
+    def scored(*limit: int) -> tuple[np.ndarray, int]:
+        tracemalloc.start()
+        found = np.concatenate([model.features(x) for x in tokens.chunks(texts, *limit)])
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return found, peak
+
+    small, low = scored(toxicity.CHUNK_BYTES)
+    usual, high = scored()
+    assert np.array_equal(small, usual) and low < high / 2
