@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codesift.llm import tokens
-from codesift.llm.tables import columns, written
+from codesift.llm.tables import columns, small_batches, written
 
 U64 = np.uint64
 ORDER = 5
@@ -266,6 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Of several labels of an id the largest counts; null labels, null ids and ids without a text are not used.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{label_col}`").cast("int").alias("toxic")).dropna().groupBy("_id").agg(F.max("toxic").alias("toxic"))
     if labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -409,6 +410,25 @@ def test_toxicity_learns_and_keeps_to_the_split(spark):
     assert again == {i: r.score for i, r in found.items()}
 
 
+def test_toxicity_takes_texts_in_small_batches(spark):
+    """A task of 40 MB goes to Python in batches of about 4 MB, but a size that the session has set stays."""
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(size)
+    d = spark.range(400, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 10_000).alias("text"))
+    toxicity.train(d.limit(10), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    found = [r.n for r in d.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 400 and max(found) * 110_000 < 6_000_000
+    spark.conf.set(size, "9m")
+    toxicity.train(d.limit(10), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int"))
+    assert spark.conf.get(size) == "9m"
+    spark.conf.unset(size)
+
+
 def test_toxicity_counts_all_training_rows(spark):
     rng = random.Random(11)
     good = [f"plain{k}" for k in range(300)]
