@@ -469,3 +469,36 @@ def test_plain_words_of_a_file_are_found_as_by_their_expression(spark):
 def test_blanks_before_a_next_line_sign_stay(spark):
     one = spark.range(1).select(trimmed(F.lit(" \t x \x85")).alias("a"), trimmed(F.lit("﻿ x y \n")).alias("b")).first()
     assert (one.a, one.b) == ("x \x85", "x y")
+
+
+def test_snippets_of_wanted_lines_alone(spark, monkeypatch):
+    """Few different lines with matches are broadcast and snippets follow the match; many are shuffled: same rows."""
+    from codesift.operators import match
+    from codesift.plans.scan import RULE_PATTERNS, security_findings
+    from codesift.sources.files import discover, route
+
+    eval_ = "eval(req.query.code); eval(user.input);"
+    texts = [eval_, f"a\nb\nc\nd\n{eval_}\ne\nf\ng\nh", f"{eval_}\n{eval_}\n", f"x\r\n{eval_}\r\n\n\n", "nothing here at all\n" * 3, f"\n\n\n\n{eval_}"]
+    files = spark.createDataFrame([(f"src/f{i}{e}", t) for i, t in enumerate(texts) for e in (".js", ".py")] + [("src/none.js", None)], "path string, content string")
+    columns = ["path", "line_no", "col", "pattern_ord", "rule_id", "hit", "snippet", "fingerprint"]
+    found = []
+    for few in (match.FEW, -1):
+        monkeypatch.setattr(match, "FEW", few)
+        for contexts in (False, True):
+            found.append(sorted(map(tuple, security_findings(route(discover(files)), RULE_PATTERNS, contexts=contexts).select(columns).collect())))
+    assert found[0] == found[2] and found[1] == found[3] and len(found[0]) > 10
+    shown = {(r[0], r[1]): r[6] for r in found[0]}
+    assert shown["src/f1.js", 5] == f"b\nc\nd\n{eval_}\ne\nf\ng" and shown["src/f2.js", 2] == f"{eval_}\n{eval_}\n"
+
+
+def test_names_and_extensions_read_no_expression(spark):
+    """As the expressions that found them before, on odd paths; the plan holds none of them."""
+    from codesift.sources.files import basename, extension
+
+    odd = ["a/b.JS", "b", ".env", "a/.env", "a.b/c", "a.b\\c.Py", "a/", "", None, "a..", "..", "...", "a/b.\n", "x\n", "a.b\n.", "/.a.b", "é/ü.ÄB", "a.\n/b", "a.b.c"]
+    df = spark.createDataFrame([(p,) for p in odd], "path string")
+    p = F.col("path")
+    got = df.select("path", basename(p).alias("name"), extension(p).alias("ext"))
+    want = df.select("path", F.regexp_extract(p, r"([^/\\]*)$", 1), F.lower(F.regexp_extract(p, r"[^/\\](\.[^./\\]*)$", 1)))
+    assert list(map(tuple, got.collect())) == list(map(tuple, want.collect()))
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
