@@ -55,7 +55,12 @@ def _take(found: DataFrame) -> DataFrame:
 
 
 def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return security_findings(src.route(src.discover(files(spark, sf_dir))))
+    return security_findings(_routed(spark, sf_dir))
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the security scanner; written, as the scan reads them twice: for its different lines and for all."""
+    return written(src.route(src.discover(files(spark, sf_dir))).where("to_security").select("path", "language", "content", "to_security"), "files")
 
 
 def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,7 +194,7 @@ def spans_sql() -> str:
     WHERE category = 'secrets' OR NOT EXISTS (SELECT 1 FROM harmless WHERE h_path = path AND b <= b_at + col - 1 AND b_at + col - 1 < e)""")
 def match_context_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings that stand in code, not in text that does nothing."""
-    return _take(security_findings(src.route(src.discover(files(spark, sf_dir))), contexts=True))
+    return _take(security_findings(_routed(spark, sf_dir), contexts=True))
 
 
 def evaluate_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
