@@ -7,6 +7,8 @@ visited in the order of that chance: a heap holds the next-best perturbations,
 each popped set gives at most three more, and the search ends at the wanted
 success.  A query with close neighbours visits few buckets and one without
 visits many.  Tables are merged and the candidates ranked by their true cosine.
+A shard of many vectors is cut into blocks, to each of which its queries go; a
+task holds one block and the cosines of a bounded number of pairs.
 
 k follows the number of vectors, the number of tables is that of the least
 estimated work.  Equal vectors are one candidate.  A bucket is scored as a
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codesift.llm.tables import written
+from codesift.llm.tables import small_batches, written
 
 WIDTH = 3.0
 #: Vectors of a bucket, about; hash functions that vary within a shard, the unit of a task's memory.
@@ -37,6 +39,8 @@ SAMPLE, SAMPLE_QUERIES = 20_000, 200
 TABLES, TRIALS = (1, 2, 3, 4), 24
 #: Vectors of a block of the exact search for queries that found too few.
 EXACT_BLOCK = 4096
+#: Numbers in the vectors of a block, and cosines of pairs, that a task holds at a time.
+BLOCK_NUMBERS, PAIRS = 1 << 20, 1 << 20
 #: Cells of a function that have a bucket of their own; those beyond share the outermost.
 CELLS = 16
 WORD = (1 << 64) - 1
@@ -184,12 +188,39 @@ def index_rows(hashes: Hashes):
                 u = units(matrix(batch.column("_vec")))
                 for t in range(hashes.tables):
                     shards, codes = hashes.codes(u, t)
-                    none = pa.array([None] * len(codes), pa.list_(pa.int64()))
+                    none = pa.nulls(len(codes), pa.list_(pa.int64()))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), t)), pa.array(shards), pa.array(codes), batch.column("class"), batch.column("_vec"), none], names=["lsh", "shard", "code", "class", "_vec", "probes"])
 
     return run
 
 
+def shard_rows(hashes: Hashes):
+    """The table and shard of each vector, without the vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                u = units(matrix(batch.column("_vec")))
+                for t in range(hashes.tables):
+                    shards, _ = hashes.codes(u, t)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(shards), t)), pa.array(shards)], names=["lsh", "shard"])
+
+    return run
+
+
+def blocked(index: DataFrame, probes: DataFrame, shards: DataFrame, dim: int) -> DataFrame:
+    """Vectors and queries with the block they belong to: a query goes to every block of its shard, and to no shard without vectors.
+
+    ``shards`` has table and shard of each vector.
+    """
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(max(1, BLOCK_NUMBERS // dim))).cast("int").alias("blocks")
+    # A row for each shard that holds any vector: 24 bytes for hundreds of vectors.
+    sizes = F.broadcast(written(shards.groupBy("lsh", "shard").agg(blocks), "shards"))
+    own = index.join(sizes, ["lsh", "shard"]).withColumn("block", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
+    asked = probes.join(sizes, ["lsh", "shard"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return own.unionByName(asked).drop("blocks")
+
+
 def probe_rows(hashes: Hashes):
     """One row for each query and shard that holds any bucket it visits."""
 
@@ -226,64 +257,75 @@ def best_of(near: np.ndarray, vector: np.ndarray, points: np.ndarray, ids: np.nd
 
 
 def score_shards(top: int):
-    """Rows sorted by table and shard, vectors before queries.  A query's best of a shard leave it."""
+    """Rows sorted by table, shard and block, vectors before queries.  A query's best of a block leave it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
+        at, held, ready = None, [], None
 
-        def closed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def closed() -> tuple[np.ndarray, ...]:
+            """Ids, vectors and unit vectors by bucket, and each bucket's code, begin and end."""
             code = np.concatenate([h[0] for h in held])
             order = np.argsort(code, kind="stable")
-            return code[order], np.concatenate([h[1] for h in held])[order], np.concatenate([h[2] for h in held])[order]
+            ids, points = np.concatenate([h[1] for h in held])[order], np.concatenate([h[2] for h in held])[order]
+            held.clear()
+            buckets, first = np.unique(code[order], return_index=True)
+            return ids, points, units(points), buckets, first, np.append(first[1:], code.size)
 
-        ready = None
         for batch in batches:
-            table, shard = batch.column("lsh").to_numpy(), batch.column("shard").to_numpy()
+            table, shard, block = (batch.column(c).to_numpy() for c in ("lsh", "shard", "block"))
             is_query = batch.column("code").is_null().to_numpy(zero_copy_only=False)
-            edge = np.flatnonzero(np.concatenate([[True], (table[1:] != table[:-1]) | (shard[1:] != shard[:-1]) | (is_query[1:] != is_query[:-1]), [True]])) if len(table) else []
+            changes = (table[1:] != table[:-1]) | (shard[1:] != shard[:-1]) | (block[1:] != block[:-1]) | (is_query[1:] != is_query[:-1])
+            edge = np.flatnonzero(np.concatenate([[True], changes, [True]])) if len(table) else []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                part, here = batch.slice(lo, hi - lo), (table[lo], shard[lo])
+                part, here = batch.slice(lo, hi - lo), (table[lo], shard[lo], block[lo])
                 if here != at:
-                    at, held, ready = here, [], None
+                    at, ready = here, None
+                    held.clear()
                 ids, vectors = part.column("class").to_numpy(), matrix(part.column("_vec"))
                 if not is_query[lo]:
                     held.append((part.column("code").to_numpy(), ids, vectors))
                     continue
-                if not held:
+                if not held and ready is None:
                     continue
                 ready = ready or closed()
-                code, own, points = ready
-                buckets, first = np.unique(code, return_index=True)
-                last = np.append(first[1:], code.size)
+                points, buckets = ready[1], ready[3]
                 lengths = part.column("probes").value_lengths().to_numpy()
                 flat = part.column("probes").flatten().to_numpy()
                 place = np.searchsorted(buckets, flat)
                 real = buckets[np.minimum(place, buckets.size - 1)] == flat
                 query, place = np.repeat(np.arange(len(ids)), lengths)[real], place[real]
-                order = np.argsort(place, kind="stable")
-                query, place = query[order], place[order]
-                u, q = units(points), units(vectors)
-                found: list[list] = [[] for _ in ids]
-                visit = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]])) if place.size else []
-                for a, b in zip(visit[:-1], visit[1:], strict=True):
-                    f, e = first[place[a]], last[place[a]]
-                    near = q[query[a:b]] @ u[f:e].T
-                    for j, row in zip(query[a:b].tolist(), near, strict=True):
-                        found[j].append((row, f, e))
-                rows = []
-                for j, parts in enumerate(found):
-                    if parts:
-                        near = np.concatenate([p[0] for p in parts])
-                        where = np.concatenate([np.arange(p[1], p[2]) for p in parts])
-                        rows += [(int(ids[j]), *x) for x in best_of(near, vectors[j], points, own, where, top)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "class", "score"])
+                # A few queries at a time: all of them against a block would be as many cosines as their product.
+                turn = query // max(1, PAIRS // len(points))
+                order = np.lexsort((place, turn))
+                query, place, turn = query[order], place[order], turn[order]
+                q = units(vectors)
+                turns = np.flatnonzero(np.concatenate([[True], turn[1:] != turn[:-1], [True]])) if turn.size else []
+                for t0, t1 in zip(turns[:-1], turns[1:], strict=True):
+                    yield from scored(q, vectors, ids, query[t0:t1], place[t0:t1], ready)
+
+    def scored(q: np.ndarray, vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, place: np.ndarray, ready: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        """The best of these queries, whose buckets are in order of place."""
+        own, points, u, _, first, last = ready
+        found: dict[int, list] = {}
+        visit = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1], [True]]))
+        for a, b in zip(visit[:-1], visit[1:], strict=True):
+            f, e = first[place[a]], last[place[a]]
+            near = q[query[a:b]] @ u[f:e].T
+            for j, row in zip(query[a:b].tolist(), near, strict=True):
+                found.setdefault(j, []).append((row, f, e))
+        rows = []
+        for j, parts in found.items():
+            near = np.concatenate([p[0] for p in parts])
+            where = np.concatenate([np.arange(p[1], p[2]) for p in parts])
+            rows += [(int(ids[j]), *x) for x in best_of(near, vectors[j], points, own, where, top)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query", "class", "score"])
 
     return run
 
 
 def searched(dealt: DataFrame, top: int) -> DataFrame:
-    return dealt.repartition("lsh", "shard").sortWithinPartitions("lsh", "shard", F.col("code").isNull()).mapInArrow(score_shards(top + 1), FOUND_ROW)
+    return dealt.repartition("lsh", "shard", "block").sortWithinPartitions("lsh", "shard", "block", F.col("code").isNull()).mapInArrow(score_shards(top + 1), FOUND_ROW)
 
 
 def exact(own: DataFrame, seekers: DataFrame, n: int, top: int) -> DataFrame:
@@ -291,7 +333,7 @@ def exact(own: DataFrame, seekers: DataFrame, n: int, top: int) -> DataFrame:
     blocks = math.ceil(n / EXACT_BLOCK)
     rows = own.select(F.lit(0).cast("long").alias("lsh"), F.pmod(F.xxhash64("class"), F.lit(blocks)).alias("shard"), F.lit(0).cast("long").alias("code"), "class", "_vec", F.lit(None).cast("array<long>").alias("probes"))
     asked = seekers.select(F.lit(0).cast("long").alias("lsh"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("shard"), F.lit(None).cast("long").alias("code"), "class", "_vec", F.array(F.lit(0).cast("long")).alias("probes"))
-    return searched(rows.unionByName(asked), top)
+    return searched(rows.unionByName(asked).withColumn("block", F.lit(0)), top)
 
 
 def nearest(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -305,6 +347,7 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "ve
     buckets search all rows.  An empty table gives an empty result; other
     columns are not read.
     """
+    small_batches(vectors.sparkSession)
     rows = usable(vectors, id_col, vector_col)
     same = Window.partitionBy("_vec").orderBy("_id")
     # The first top + 1 ids of a vector: enough for any query, its own id left out.
@@ -316,7 +359,8 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, id_col: str = "ve
         own = classes.where(F.col("dim") == dim)
         seekers = own.join(asked.select("class").distinct(), "class", "left_semi").select("class", "_vec")
         hashes = plan(own, dim, n, top)
-        dealt = own.select("class", "_vec").mapInArrow(index_rows(hashes), SHARD_ROW).unionByName(seekers.mapInArrow(probe_rows(hashes), SHARD_ROW))
+        indexed = own.select("class", "_vec")
+        dealt = blocked(indexed.mapInArrow(index_rows(hashes), SHARD_ROW), seekers.mapInArrow(probe_rows(hashes), SHARD_ROW), indexed.mapInArrow(shard_rows(hashes), "lsh long, shard long"), dim)
         hits = written(searched(dealt, top).distinct(), "candidates")
         reached = hits.join(own.select("class", F.size("ids").alias("m")), "class").groupBy("query").agg(F.sum("m").alias("m"))
         poor = written(seekers.join(reached.where(F.col("m") > top), F.col("class") == F.col("query"), "left_anti"), "poor")
