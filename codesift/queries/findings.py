@@ -54,8 +54,8 @@ def _take(found: DataFrame) -> DataFrame:
     return found.select("path", F.col("line_no").cast("long"), F.col("col").cast("long").alias("col"), "rule_id", "severity")
 
 
-def _all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return security_findings(_routed(spark, sf_dir))
+def _all(spark: SparkSession, sf_dir: str, by_file: bool = True) -> DataFrame:
+    return security_findings(_routed(spark, sf_dir), by_file=by_file)
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{BASE} SELECT {TAKE}, hit FROM all_found WHERE pattern_ord >= {len(HAND_WRITTEN)}")
 def detect_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all(spark, sf_dir).where(F.col("pattern_ord") >= len(HAND_WRITTEN)).select("path", F.col("line_no").cast("long"), F.col("col").cast("long").alias("col"), "rule_id", "severity", "hit")
+    return _all(spark, sf_dir, by_file=False).where(F.col("pattern_ord") >= len(HAND_WRITTEN)).select("path", F.col("line_no").cast("long"), F.col("col").cast("long").alias("col"), "rule_id", "severity", "hit")
 
 
 @query(f"{BASE} SELECT {TAKE}, fingerprint FROM firsts")
