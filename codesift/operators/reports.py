@@ -111,10 +111,18 @@ def read_report(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
         system, inner = opened(path)
         if system.get_file_info(inner).type == FileType.File:
             listed = read_list(spark, path, "findings", size)
-            return _of_lines(spark.read.text(path) if listed is None else listed)
+            if listed is not None or not path.lower().endswith(".gz"):
+                return _of_lines(spark.read.text(path) if listed is None else listed)
+            # Of other gzip files the text is not known before they are read from the begin.
+            return _of_texts(spark, path)
         names = [f.base_name for f in system.get_file_info(FileSelector(inner)) if not f.base_name.startswith((".", "_"))]
         if names and all(n.startswith("part-") for n in names):
             return _of_lines(spark.read.text(path))
+    return _of_texts(spark, path)
+
+
+def _of_texts(spark: SparkSession, path: str) -> DataFrame:
+    """The findings of files that are a row each."""
     rows = spark.read.text(path, wholetext=True).select(F.from_json("value", REPORT)["findings"].alias("fs"), "value")
     whole = rows.where("fs is not null").select(F.explode("fs").alias("f")).select("f.*")
     return whole.unionByName(_of_lines(rows.where("fs is null").select(F.explode(F.split("value", "\n")).alias("value")).where("value <> ''")))
@@ -167,16 +175,20 @@ def write_file(found: DataFrame, path: str, kind: str, totals: DataFrame | None
         layout = [head, '\n]}},"taxonomies":[{"name":"CWE","taxa":[\n', '\n]}],"results":[\n', "\n]}]}\n"]
         write_one([sarif_descriptors(found), taxa, sarif_results(found, in_order=True)], path, layout, separator=",\n", overwrite=overwrite)
     elif kind == "json":
-        totals = (summary(found) if totals is None else totals).orderBy("dimension", "value")
+        # A few rows, worked out before, so that their shuffles are gone when the findings are put in order; files stay whole, as the count of each would shuffle twice else.
+        by_file = found.select("path", "severity", "scanner", "category").repartition("path")
+        totals = written(summary(by_file) if totals is None else totals, "summary").orderBy("dimension", "value")
+        # As texts, which take less of a shuffle than rows of as many columns.
+        listed = ordered(found.select("severity", *ORDINALS, F.to_json(F.struct(*found.columns)).alias("value")))
         layout = [text(about)[:-1] + ',"summary":[\n', '\n],"findings":[\n', "\n]}\n"]
-        write_one([json_report(totals), json_report(ordered(found))], path, layout, separator=",\n", overwrite=overwrite)
+        write_one([json_report(totals), listed], path, layout, separator=",\n", overwrite=overwrite)
     else:
         raise ValueError(f"no report format {kind}")
 
 
 def is_file(path: str) -> bool:
-    """Whether a report's path names a file: it ends in a format's extension."""
-    return path.lower().endswith((".json", ".sarif", ".csv", ".txt"))
+    """Whether a report's path names a file: it ends in a format's extension, or that and .gz."""
+    return path.lower().removesuffix(".gz").endswith((".json", ".sarif", ".csv", ".txt"))
 
 
 def convert_report(spark: SparkSession, source: str, target: str, kind: str) -> None:

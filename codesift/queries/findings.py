@@ -13,7 +13,7 @@ from codesift.operators.findings import first_of_fingerprint, resolve_overlaps,
 from codesift.plans.scan import HAND_WRITTEN, RULE_LANGUAGES, RULE_PATTERNS, security_findings
 from codesift.queries.files import LANGUAGE_SQL, ROLES_SQL, SNIPPET_SQL, TRIM_SQL
 from codesift.queries.sql import detect_sql
-from codesift.session import drop_at_exit, shared_folder, written
+from codesift.session import drop_at_exit, held, shared_folder, written
 from codesift.sources import files as src
 from codesift.sources.corpus import files, quoted
 
@@ -106,8 +106,9 @@ def report_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{BASE} SELECT {TAKE}, message, 'security-' || fingerprint AS id FROM best")
 def report_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All findings as one JSON file that many tasks wrote and many tasks read."""
-    path = f"{shared_folder(spark)}/codesift/report-{uuid.uuid4().hex}.json"
-    reports.write_file(written(_best(spark, sf_dir), "findings"), path, "json")
+    path = f"{shared_folder(spark)}/codesift/report-{uuid.uuid4().hex}.json.gz"
+    with held(_best(spark, sf_dir), "findings") as found:
+        reports.write_file(found, path, "json")
     drop_at_exit(spark, path)
     return reports.read_report(spark, path).select("path", F.col("line_no").cast("long"), F.col("col").cast("long").alias("col"), "rule_id", "severity", "message", "id")
 

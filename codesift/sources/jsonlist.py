@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from codesift.sources import members
 from codesift.sources.tree import opened
 
 #: Bytes of a range, and of the blocks in which a task reads it.
@@ -178,9 +179,17 @@ def read_list(spark: SparkSession, path: str, name: str, size: int = RANGE) -> D
     without escapes).  The file is UTF-8, with or without a byte-order mark.
     An element is a row, however long; texts of any length and brackets in
     texts are told apart.  What is no JSON gives rows that are none either.
+    A path that ends in .gz is read by the places of its members
+    (``sources.members``); None if it has others.
     """
     system, inner = opened(path)
-    length = system.get_file_info(inner).size
+    length, index = system.get_file_info(inner).size, None
+    if path.lower().endswith(".gz"):
+        with system.open_input_file(inner) as file:
+            index = members.places(file)
+        if index is None:
+            return None
+        length = int(index[-1, 1])
     ranges = [(at, min(at + size, length)) for at in range(0, length, size)]
     if not ranges:
         return None
@@ -191,7 +200,8 @@ def read_list(spark: SparkSession, path: str, name: str, size: int = RANGE) -> D
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, inner = opened(path)
-            with system.open_input_file(inner) as file:
+            with system.open_input_file(inner) as raw:
+                file = raw if index is None else members.MemberFile(raw, index)
                 for batch in batches:
                     for k in batch.column("id").to_pylist():
                         for columns in function(file, *rows[k]):

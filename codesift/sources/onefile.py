@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from codesift.session import cleaned
+from codesift.sources.members import MemberStream, member
 from codesift.sources.tree import opened
 
 NAME = "codesift_onefile"
@@ -42,13 +44,14 @@ class OneFileWriter(DataSourceArrowWriter):
         self.target = options["path"]
         self.layout: list[str] = json.loads(options["layout"])
         self.separator, self.terminator = options.get("separator", ""), options.get("terminator", "")
+        self.compressed = options.get("compressed") == "true"
         self.folder = f"{self.target.rstrip('/')}.parts-{uuid.uuid4().hex}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         context = TaskContext.get()
         part = Part(context.partitionId())
         system, base = opened(self.folder)
-        streams: dict[int, fs.NativeFile] = {}
+        streams: dict[int, fs.NativeFile | MemberStream] = {}
         try:
             for batch in iterator:
                 sections, values = batch.column("section"), batch.column("value")
@@ -61,7 +64,8 @@ class OneFileWriter(DataSourceArrowWriter):
                     if section not in streams:
                         system.create_dir(base, recursive=True)
                         part.files[section] = f"{section}-{part.partition}-{context.taskAttemptId()}"
-                        streams[section] = system.open_output_stream(f"{base}/{part.files[section]}")
+                        stream = system.open_output_stream(f"{base}/{part.files[section]}")
+                        streams[section] = MemberStream(stream) if self.compressed else stream
                     elif self.separator:
                         streams[section].write(self.separator.encode())
                     streams[section].write((self.terminator + self.separator).join(texts).encode())
@@ -74,19 +78,20 @@ class OneFileWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Part | None]) -> None:
         system, base = opened(self.folder)
         system.create_dir(base, recursive=True)
+        packed = lambda text: member(text.encode()) if self.compressed and text else text.encode()
         parts = sorted((m for m in messages if m), key=lambda m: m.partition)
         with system.open_output_stream(f"{base}/whole") as out:
-            out.write(self.layout[0].encode())
+            out.write(packed(self.layout[0]))
             for section, text in enumerate(self.layout[1:]):
                 for k, name in enumerate(m.files[section] for m in parts if section in m.files):
                     if k:
-                        out.write(self.separator.encode())
+                        out.write(packed(self.separator))
                     with system.open_input_stream(f"{base}/{name}") as stream:
                         while block := stream.read(BLOCK):
                             out.write(block)
                     # The report is on disk once, not twice.
                     system.delete_file(f"{base}/{name}")
-                out.write(text.encode())
+                out.write(packed(text))
         system.move(f"{base}/whole", opened(self.target)[1])
         system.delete_dir(base)
 
@@ -97,7 +102,7 @@ class OneFileWriter(DataSourceArrowWriter):
 
 
 class OneFile(DataSource):
-    """Options: path; layout (n + 1 texts around n sections, as JSON); separator (between rows of a section); terminator (after each row)."""
+    """Options: path; layout (n + 1 texts around n sections, as JSON); separator (between rows of a section); terminator (after each row); compressed (as gzip members, if true)."""
 
     @classmethod
     def name(cls) -> str:
@@ -118,6 +123,7 @@ def write_one(sections: Sequence[DataFrame], path: str, layout: Sequence[str], s
     come in the order of the table where that is sorted.  Null values are left
     out, a section without rows writes nothing.  All machines must see the
     folder of the target.  Only the commit runs in one place; it copies blocks.
+    A path that ends in .gz is compressed where the rows are written.
     """
     if len(layout) != len(sections) + 1:
         raise ValueError("a layout has a text more than there are sections")
@@ -127,5 +133,6 @@ def write_one(sections: Sequence[DataFrame], path: str, layout: Sequence[str], s
     for k, section in enumerate(sections):
         part = section.select(F.lit(k).alias("section"), F.col("value").cast("string").alias("value"))
         rows = part if rows is None else rows.unionAll(part)
-    options = {"layout": json.dumps(list(layout)), "separator": separator, "terminator": terminator}
-    rows.write.format(NAME).options(**options).mode("overwrite" if overwrite else "append").save(path)
+    options = {"layout": json.dumps(list(layout)), "separator": separator, "terminator": terminator, "compressed": str(path.lower().endswith(".gz")).lower()}
+    with cleaned(spark):
+        rows.write.format(NAME).options(**options).mode("overwrite" if overwrite else "append").save(path)
